@@ -14,7 +14,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable by the Python workers of every executor; once per application."""
+    """Makes the package importable by the Python workers of every executor; once per application.
+
+    Also sets the session's zone to UTC, in which all times of the tables are meant.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
