@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..operators import history, units
 from ..session import ship
 
 _STATE = ["current_price_lkr", "in_stock"]
@@ -34,6 +34,10 @@ def p4_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.wrong_units(*(_table(spark, sf_dir, t) for t in ("scraped_items", "merchants", "fx_rates", "canonical_products")))
+
+
 _LAST_RECEIVED = """
     SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY listing_id, updated_at
@@ -66,4 +70,4 @@ SELECT listing_id, CAST(arg_max(current_price_lkr, updated_at) AS DOUBLE) AS pri
 FROM one GROUP BY listing_id""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of}
+QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of, "p5_found": p5_found}
