@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, mixing
+from . import byte_bpe, canonical_values, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = [
+        _table(spark, sf_dir, table).select(F.lit(table).alias("source_table"), F.col(key).alias("record_id"), F.col("brand").alias("value"))
+        for table, key in (("scraped_items", "item_id"), ("tech_specs", "spec_id"))
+    ]
+    return canonical_values.mapped(sources, _table(spark, sf_dir, "brand_reference"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +37,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
