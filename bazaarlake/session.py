@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +52,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and goes on from there, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: narrower on disk than a checkpoint.
+
+    The table is removed when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/bazaarlake-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended already; the cluster clears its folder
+        pass
