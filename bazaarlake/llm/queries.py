@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, canonical_values, mixing
+from . import byte_bpe, canonical_values, mixing, shared_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_chars(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
