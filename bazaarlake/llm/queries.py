@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, canonical_values, mixing, shared_spans
+from . import byte_bpe, canonical_values, mixing, shared_spans, template_residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.found(_table(spark, sf_dir, "page_inspections"), _table(spark, sf_dir, "scraped_items"))
+
+
+def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.residue(template_residue.fields_of(_table(spark, sf_dir, "page_inspections"), _table(spark, sf_dir, "scraped_items")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = [
         _table(spark, sf_dir, table).select(F.lit(table).alias("source_table"), F.col(key).alias("record_id"), F.col("brand").alias("value"))
@@ -41,7 +49,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p6_ids, p7_mixture, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
