@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, canonical_values, mixing, shared_spans, template_residue
+from . import byte_bpe, canonical_values, mixing, product_linkage, shared_spans, template_residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values.mapped(sources, _table(spark, sf_dir, "brand_reference"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_linkage.pairs_of(product_linkage.groups(_table(spark, sf_dir, "canonical_products"), _table(spark, sf_dir, "brand_reference")))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_linkage.groups(_table(spark, sf_dir, "canonical_products"), _table(spark, sf_dir, "brand_reference"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p6_ids, p7_mixture, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p3_found, p3_groups, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
