@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import general
+from .plans import general, serve, web
 
-_MODULES = (general,)
+_MODULES = (serve, web, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-
+"""Sources: pages, sitemaps, robots files, search results and form fields as DataFrames."""
