@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import general, serve, web
+from .plans import general, serve, state, web
 
-_MODULES = (serve, web, general)
+_MODULES = (serve, web, state, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

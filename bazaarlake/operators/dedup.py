@@ -11,9 +11,9 @@ def once(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
     Keys and order meet first; whole rows are taken by their place, with a combine before the shuffle.
     """
-    tagged = df.withColumn("_key", key).where(F.col("_key").isNotNull() & (F.col("_key").cast("string") != ""))
-    best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    return tagged.groupBy("_key").agg(best).select("_row.*")
+    tagged = df.withColumn("__bl_key", key).where(F.col("__bl_key").isNotNull() & (F.col("__bl_key").cast("string") != ""))
+    best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__bl_row")
+    return tagged.groupBy("__bl_key").agg(best).select("__bl_row.*")
 
 
 def ring(pages: DataFrame, url: Column, digest: Column, order: list[str]) -> DataFrame:
@@ -22,16 +22,16 @@ def ring(pages: DataFrame, url: Column, digest: Column, order: list[str]) -> Dat
     A page whose address was seen is a duplicate and leaves no digest; of the others one whose digest was seen
     is a duplicate too. Equal empty bodies have equal digests.
     """
-    seen = pages.withColumn("_u", url).withColumn("_d", digest)
-    by_url = seen.withColumn("_un", F.row_number().over(Window.partitionBy("_u").orderBy(*order)))
-    fresh = F.col("_un") == 1
+    seen = pages.withColumn("__bl_u", url).withColumn("__bl_d", digest)
+    by_url = seen.withColumn("__bl_un", F.row_number().over(Window.partitionBy("__bl_u").orderBy(*order)))
+    fresh = F.col("__bl_un") == 1
     # Only first addresses count for digests, so the two rings are taken one after the other.
-    by_both = by_url.withColumn("_dn", F.row_number().over(Window.partitionBy("_d", fresh).orderBy(*order)))
-    return by_both.withColumn("outcome", F.when(~fresh, "duplicate_url").when(F.col("_dn") > 1, "duplicate_content").otherwise("new")).drop("_u", "_d", "_un", "_dn")
+    by_both = by_url.withColumn("__bl_dn", F.row_number().over(Window.partitionBy("__bl_d", fresh).orderBy(*order)))
+    return by_both.withColumn("outcome", F.when(~fresh, "duplicate_url").when(F.col("__bl_dn") > 1, "duplicate_content").otherwise("new")).drop("__bl_u", "__bl_d", "__bl_un", "__bl_dn")
 
 
 def evidence(snippets: DataFrame, group: list[str], text: str, order: list[str], head: int = 160, most: int = 5) -> DataFrame:
     """At most ``most`` snippets of each group, in order, no two with the same first ``head`` characters."""
-    first = Window.partitionBy(*group, "_head").orderBy(*order)
-    kept = snippets.withColumn("_head", F.substring(text, 1, head)).where("_head <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= most).drop("_head", "_n", "_r")
+    first = Window.partitionBy(*group, "__bl_head").orderBy(*order)
+    kept = snippets.withColumn("__bl_head", F.substring(text, 1, head)).where("__bl_head <> ''").withColumn("__bl_n", F.row_number().over(first)).where("__bl_n = 1")
+    return kept.withColumn("__bl_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__bl_r") <= most).drop("__bl_head", "__bl_n", "__bl_r")

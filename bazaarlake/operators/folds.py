@@ -48,12 +48,12 @@ def merged_json(log: DataFrame, key: list[str], order: list[str], patch: str) ->
 
     Patches are split to keys and folded key by key, so a long log of one entity never meets in one row.
     """
-    single = log.where(F.col(patch).isNotNull()).select(*key, *order, F.explode(F.from_json(patch, "map<string,variant>")).alias("_k", "_v"))
-    state = single.select(*key, *order, "_k", F.to_json(F.struct(F.col("_v").alias("v"))).alias("_j")).groupBy(*key, "_k").agg(F.max_by("_j", _order(order)).alias("_j"))
-    pair = F.concat(F.to_json(F.array("_k")), F.lit(":"), F.regexp_extract("_j", r'^\{"v":(.*)\}$', 1))
+    single = log.where(F.col(patch).isNotNull()).select(*key, *order, F.explode(F.from_json(patch, "map<string,variant>")).alias("__bl_k", "__bl_v"))
+    state = single.select(*key, *order, "__bl_k", F.to_json(F.struct(F.col("__bl_v").alias("v"))).alias("__bl_j")).groupBy(*key, "__bl_k").agg(F.max_by("__bl_j", _order(order)).alias("__bl_j"))
+    pair = F.concat(F.to_json(F.array("__bl_k")), F.lit(":"), F.regexp_extract("__bl_j", r'^\{"v":(.*)\}$', 1))
     shown = F.regexp_replace(pair, r'^\["(.*?)"\]:', '"$1":')
-    return state.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", shown.alias("_p")))).alias("_a")).select(
-        *key, F.concat(F.lit("{"), F.array_join(F.transform("_a", lambda x: x["_p"]), ","), F.lit("}")).alias(patch)
+    return state.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__bl_k", shown.alias("__bl_p")))).alias("__bl_a")).select(
+        *key, F.concat(F.lit("{"), F.array_join(F.transform("__bl_a", lambda x: x["__bl_p"]), ","), F.lit("}")).alias(patch)
     )
 
 
@@ -62,8 +62,8 @@ def split_second_owner(log: DataFrame, key: str, owner: list[str], order: list[s
 
     Each owner may have one key only; every row of a later key is rejected.
     """
-    began = log.groupBy(*owner, key).agg(F.min(_order(order)).alias("_began"))
-    chosen = began.groupBy(*owner).agg(F.min_by(key, F.struct("_began", key)).alias(key))
+    began = log.groupBy(*owner, key).agg(F.min(_order(order)).alias("__bl_began"))
+    chosen = began.groupBy(*owner).agg(F.min_by(key, F.struct("__bl_began", key)).alias(key))
     return log.join(chosen, [*owner, key], "left_semi"), log.join(chosen, [*owner, key], "left_anti")
 
 
@@ -94,14 +94,14 @@ def runs(events: DataFrame, key: str, order: list[str], hit: Column) -> DataFram
     A key's events are sorted in one task; events of one key beyond a task's reach should be folded by a stream.
     """
     w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_island", F.sum((~F.col("_hit")).cast("int")).over(w))
-    found = marked.where("_hit").groupBy(key, "_island").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begins"), F.max(order[0]).alias("ends"))
-    return found.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("_island")).cast("bigint")).drop("_island")
+    marked = events.withColumn("__bl_hit", F.coalesce(hit, F.lit(False))).withColumn("__bl_island", F.sum((~F.col("__bl_hit")).cast("int")).over(w))
+    found = marked.where("__bl_hit").groupBy(key, "__bl_island").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begins"), F.max(order[0]).alias("ends"))
+    return found.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("__bl_island")).cast("bigint")).drop("__bl_island")
 
 
 def changes(log: DataFrame, key: list[str], order: list[str], value: str, flag: str, least: float = 0.01) -> DataFrame:
     """Rows of a log that differ from the one before of their key: a value more than ``least`` off, or another flag."""
     w = Window.partitionBy(*key).orderBy(*order)
-    before = log.withColumn("_v", F.lag(value).over(w)).withColumn("_f", F.lag(flag).over(w)).withColumn("_n", F.row_number().over(w))
-    news = (F.abs(F.col(value) - F.col("_v")) > least) | ~F.col(flag).eqNullSafe(F.col("_f"))
-    return before.where((F.col("_n") > 1) & F.coalesce(news, F.lit(False))).withColumnRenamed("_v", f"{value}_before").drop("_f", "_n")
+    before = log.withColumn("__bl_v", F.lag(value).over(w)).withColumn("__bl_f", F.lag(flag).over(w)).withColumn("__bl_n", F.row_number().over(w))
+    news = (F.abs(F.col(value) - F.col("__bl_v")) > least) | ~F.col(flag).eqNullSafe(F.col("__bl_f"))
+    return before.where((F.col("__bl_n") > 1) & F.coalesce(news, F.lit(False))).withColumnRenamed("__bl_v", f"{value}_before").drop("__bl_f", "__bl_n")

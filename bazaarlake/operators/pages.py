@@ -130,13 +130,13 @@ def cascade(pages: DataFrame, html: str = "html", selector: str = "price_selecto
     if told:
         tiers.append(F.col(told))
     none = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("boolean").alias("in_stock"), F.lit("none").alias("tier"))
-    first = pages.withColumn("fact", F.coalesce(*tiers, none)).withColumn("_vote", vote(button_signal(page), schema_signal(page), text_signal(page)))
+    first = pages.withColumn("fact", F.coalesce(*tiers, none)).withColumn("__bl_vote", vote(button_signal(page), schema_signal(page), text_signal(page)))
     full = (
         F.col("fact")
         .withField("title", F.coalesce(F.col("fact.title"), T.title(page)))
-        .withField("in_stock", F.coalesce(F.col("_vote.in_stock"), F.col("fact.in_stock"), F.lit(True)))
+        .withField("in_stock", F.coalesce(F.col("__bl_vote.in_stock"), F.col("fact.in_stock"), F.lit(True)))
     )
-    return first.withColumn("fact", full).drop("_vote").withColumn("usable", F.coalesce(F.col("fact.price") > 0, F.lit(False)) & F.col("fact.title").isNotNull())
+    return first.withColumn("fact", full).drop("__bl_vote").withColumn("usable", F.coalesce(F.col("fact.price") > 0, F.lit(False)) & F.col("fact.title").isNotNull())
 
 
 def schema_signal(html: Column) -> Column:
@@ -204,8 +204,8 @@ def preflight(html: Column, status: Column, least: int = 500) -> Column:
 def inspected(pages: DataFrame, told: str | None = None, html: str = "html", status: str = "status") -> DataFrame:
     """``pages`` with ``verdict`` and ``by_rules``: the rules' verdict, else a model's, else unknown."""
     unknown = F.struct(F.lit("UNKNOWN_JUNK").alias("page_type"), F.lit(False).alias("is_valid"), F.lit(0.0).alias("confidence"), F.lit("failed").alias("rule"))
-    ruled = pages.withColumn("_ruled", preflight(F.col(html), F.col(status)))
-    return ruled.withColumn("verdict", F.coalesce("_ruled", *([F.col(told)] if told else []), unknown)).withColumn("by_rules", F.col("_ruled").isNotNull()).drop("_ruled")
+    ruled = pages.withColumn("__bl_ruled", preflight(F.col(html), F.col(status)))
+    return ruled.withColumn("verdict", F.coalesce("__bl_ruled", *([F.col(told)] if told else []), unknown)).withColumn("by_rules", F.col("__bl_ruled").isNotNull()).drop("__bl_ruled")
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
