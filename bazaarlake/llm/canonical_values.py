@@ -18,6 +18,8 @@ SIMILARITY = 0.4
 #: Most edits between a value and its entry, as a share of the entry's length; names of under four letters must be equal.
 EDITS = 0.4
 SHORT = 4
+#: What rounding may take from a bound that is a whole number.
+SLACK = 1e-9
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOKALIKES = {
@@ -61,12 +63,11 @@ def key_of(name: Column) -> Column:
 
 
 def tokens_of(key: Column) -> Column:
-    """The set of a key's letters and pairs of neighbours, ends marked; the second of equal tokens is another token."""
+    """The set of a key's letters and pairs of neighbours, ends marked; linear in the key's length."""
     padded = F.concat(F.lit("^"), key, F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    letters = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(1)))
-    numbered = lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(xs, F.lit(1), i), lambda y: y == x)).cast("string")))
-    return F.when(F.length(key) > 0, F.array_distinct(F.concat(numbered(letters), numbered(pairs)))).otherwise(F.array().cast("array<string>"))
+    letters = F.regexp_extract_all(padded, F.lit(r"(?s)."), F.lit(0))
+    pairs = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1), lambda a, b: F.concat(a, b))
+    return F.when(F.length(key) > 0, F.array_distinct(F.concat(pairs, F.slice(letters, F.lit(2), F.size(letters) - 2)))).otherwise(F.array().cast("array<string>"))
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -84,12 +85,12 @@ def set_similarity_join(left: DataFrame, right: DataFrame, similarity: float = S
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("sorted"))
         .select("side", "id", F.transform("sorted", lambda x: x["token"]).alias("tokens"), F.size("sorted").alias("size"))
     )
-    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size")).cast("int") + 1
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - SLACK).cast("int") + 1
     indexed = ordered.select("side", "id", "tokens", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
     a = indexed.where("side = 0").select("token", F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.col("at").alias("la"))
     b = indexed.where("side = 1").select("token", F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("size").alias("rs"), F.col("at").alias("ra"))
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("ls") + F.col("rs")))
-    lengths = (F.col("rs") >= F.lit(similarity) * F.col("ls")) & (F.col("ls") >= F.lit(similarity) * F.col("rs"))
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("ls") + F.col("rs")) - SLACK)
+    lengths = (F.col("rs") >= F.lit(similarity) * F.col("ls") - SLACK) & (F.col("ls") >= F.lit(similarity) * F.col("rs") - SLACK)
     position = F.least(F.col("ls") - F.col("la"), F.col("rs") - F.col("ra")) >= needed
     # Of a pair's common prefix tokens only the first is kept: there the positions count the whole overlap.
     first = F.element_at(F.array_intersect("lt", "rt"), 1) == F.col("token")

@@ -2,8 +2,8 @@
 
 Titles, columns and attributes are parsed to one description with canonical units; equal descriptions are one
 node, however many rows have them. Nodes are compared field by field within blocks, the probabilities of each
-outcome for matches and others are fitted by expectation-maximisation over the counts of outcomes, and links
-above a threshold whose fields do not contradict each other are clustered.
+outcome for matches and for others are fitted by expectation-maximisation over the counts of outcomes, and
+links above a threshold whose fields do not contradict each other are clustered.
 """
 
 from __future__ import annotations
@@ -168,34 +168,38 @@ def compared(nodes: DataFrame) -> DataFrame:
     )
 
 
+#: What is expected of a match before any pair is seen: a field agrees so often. It weighs as much as all pairs
+#: together, so that the class of matches cannot drift to what a block has in common.
+AGREES = 0.98
+
+
 def fit(patterns: list[tuple[tuple[int, ...], float]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """The probability of a match for each pattern of outcomes, fitted to their counts by expectation-maximisation.
 
-    Fields are independent given match or not. Counts are smoothed, so no outcome is impossible.
+    Fields are independent given match or not; counts are smoothed, so no outcome is impossible.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return {}
     width = len(patterns[0][0])
-    levels = [sorted({p[k] for p, _ in patterns}) for k in range(width)]
-    start = lambda k, agree: {v: (agree if v == 3 else (1 - agree) / max(1, len(levels[k]) - 1)) for v in levels[k]}
-    m, u, share = [start(k, 0.95) for k in range(width)], [start(k, 0.5) for k in range(width)], 0.2
+    levels = [sorted({p[k] for p, _ in patterns} | {3}) for k in range(width)]
+    spread = lambda k, agree: {v: (agree if v == 3 else (1 - agree) / max(1, len(levels[k]) - 1)) for v in levels[k]}
+    match, other, share = [spread(k, AGREES) for k in range(width)], [spread(k, 0.5) for k in range(width)], 0.2
+    expected = [spread(k, AGREES) for k in range(width)]
     found: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         found = {}
         for p, _n in patterns:
-            a = math.log(share) + sum(math.log(m[k][v]) for k, v in enumerate(p))
-            b = math.log(1 - share) + sum(math.log(u[k][v]) for k, v in enumerate(p))
-            found[p] = 1 / (1 + math.exp(min(700.0, max(-700.0, b - a))))
-        matched = sum(n * found[p] for p, n in patterns)
-        share = min(0.99, max(1e-6, matched / total))
-        for table, weight in ((m, lambda p, n: n * found[p]), (u, lambda p, n: n * (1 - found[p]))):
-            for k in range(width):
-                sums = {v: 1e-3 for v in levels[k]}
-                for p, n in patterns:
-                    sums[p[k]] += weight(p, n)
-                whole = sum(sums.values())
-                table[k] = {v: s / whole for v, s in sums.items()}
+            odds = math.log(share / (1 - share)) + sum(math.log(match[k][v] / other[k][v]) for k, v in enumerate(p))
+            found[p] = 1 / (1 + math.exp(min(700.0, max(-700.0, -odds))))
+        share = min(0.99, max(1e-6, sum(n * found[p] for p, n in patterns) / total))
+        for k in range(width):
+            hits, misses = {v: total * x for v, x in expected[k].items()}, dict.fromkeys(levels[k], 1e-3)
+            for p, n in patterns:
+                hits[p[k]] += n * found[p]
+                misses[p[k]] += n * (1 - found[p])
+            match[k] = {v: max(1e-9, x / sum(hits.values())) for v, x in hits.items()}
+            other[k] = {v: x / sum(misses.values()) for v, x in misses.items()}
     return found
 
 
@@ -229,11 +233,11 @@ def groups(products: DataFrame, reference: DataFrame, threshold: float = THRESHO
     nodes = cut(nodes_of(described))
     pairs = cut(compared(nodes))
     counts = pairs.groupBy(*FIELDS).agg(F.sum("pairs").cast("double").alias("n"))
-    within = nodes.agg(F.sum(F.col("rows") * (F.col("rows") - 1) / 2).alias("n")).collect()[0][0] or 0.0
+    within = nodes.agg(F.sum(F.col("rows") * (F.col("rows") - 1) / 2)).first()[0]
     # One row for each pattern of outcomes: at most 4 ** 8, whatever the number of pairs.
     patterns = {tuple(r[f] for f in FIELDS): r["n"] for r in counts.collect()}
     whole = (3,) * len(FIELDS)
-    patterns[whole] = patterns.get(whole, 0.0) + float(within)
+    patterns[whole] = patterns.get(whole, 0.0) + float(within or 0)
     chance = fit([(p, n) for p, n in patterns.items() if n > 0])
     allowed = {"brand": (1, 3), "line": (2, 3)}
     matches = [p for p, x in chance.items() if x >= threshold and all(v in allowed.get(f, (3,)) for f, v in zip(FIELDS, p, strict=True))]

@@ -129,6 +129,8 @@ def _pack(span: int):
 
 def _verbatim(codes: np.ndarray, here: np.ndarray, there: np.ndarray, span: int) -> bool:
     """Whether the windows that begin ``here`` and ``there`` are equal; neighbours only compare their last character."""
+    if not len(here):
+        return True
     follows = np.concatenate(([False], (here[1:] == here[:-1] + 1) & (there[1:] == there[:-1] + 1)))
     if not np.array_equal(codes[here[follows] + span - 1], codes[there[follows] + span - 1]):
         return False
