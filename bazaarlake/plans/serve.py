@@ -202,7 +202,7 @@ def s22_context(spark: SparkSession, d: str) -> DataFrame:
     return inner.select("product_id", F.concat(F.lit("<local_listings>"), "l", F.lit("</local_listings>")).alias("context"))
 
 
-def p12_usable(spark: SparkSession, d: str) -> DataFrame:
+def pred12_usable(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "scraped_items").where((F.col("price_lkr") > 0) & (F.coalesce("raw_title", F.lit("")) != "")).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("usable"))
 
 
@@ -259,7 +259,7 @@ SQL = {
     "q1_claim": f"SELECT id, product_id FROM {_JOBS} WHERE status = 'pending' ORDER BY enqueued_at, id LIMIT 25",
     "q2_claim_of_domain": f"SELECT domain, id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY found_at, id) AS n FROM {_QUEUE} WHERE status = 'pending') WHERE n = 1",
     "s22_context": f"SELECT product_id, '<local_listings>' || string_agg('<listing merchant=\"' || replace(replace(replace(domain, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;') || '\" rank=\"' || rank || '\"/>', '' ORDER BY rank) || '</local_listings>' AS context FROM {_LISTINGS} GROUP BY product_id",
-    "p12_usable": "SELECT merchant_id, count(*) AS usable FROM scraped_items WHERE price_lkr > 0 AND coalesce(raw_title, '') <> '' GROUP BY merchant_id",
+    "pred12_usable": "SELECT merchant_id, count(*) AS usable FROM scraped_items WHERE price_lkr > 0 AND coalesce(raw_title, '') <> '' GROUP BY merchant_id",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

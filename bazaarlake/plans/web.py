@@ -119,7 +119,7 @@ def f4_hosts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "page_inspections").select("inspection_id", U.host(u).alias("host"), U.netloc(u).alias("netloc"), U.site_of(u).alias("site"), U.origin(u).alias("origin"))
 
 
-def p8_product_urls(spark: SparkSession, d: str) -> DataFrame:
+def pred8_product_urls(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
     return _table(spark, d, "page_inspections").select("inspection_id", U.is_product(u).alias("product"), U.hints_at_product(u).alias("hint"))
 
@@ -282,7 +282,7 @@ SQL = {
     "f2_canonical_keeping_query": "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(product_url, '#.*$', ''), '/+([?]|$)', '\\1'), '[?]$', '') AS url FROM scraped_items",
     "f4_hosts": """SELECT inspection_id, h AS host, h AS netloc, CASE WHEN len(p) <= 2 THEN h ELSE array_to_string(p[-2:], '.') END AS site, 'https://' || h || '/' AS origin
  FROM (SELECT inspection_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.') AS p FROM page_inspections)""",
-    "p8_product_urls": f"SELECT inspection_id, regexp_matches(url, '{U.PRODUCT_PAGE}') AND NOT regexp_matches(url, '{U.NO_PRODUCT}') AS product, regexp_matches(lower(url), 'product|/p/|/dp/|item|catalogue|-p-|buy') AS hint FROM page_inspections",
+    "pred8_product_urls": f"SELECT inspection_id, regexp_matches(url, '{U.PRODUCT_PAGE}') AND NOT regexp_matches(url, '{U.NO_PRODUCT}') AS product, regexp_matches(lower(url), 'product|/p/|/dp/|item|catalogue|-p-|buy') AS hint FROM page_inspections",
     "f6_content_hash": f"SELECT doc_id, {_HASH % 'text'} AS hash FROM documents",
     "f35_titles": f"SELECT item_id AS id, nullif(plain, '') AS title FROM {_ITEMS}",
     "f36_visible_text": "SELECT doc_id, md5(CASE WHEN contains(coalesce(text, ''), '<') THEN regexp_replace(text, '<[^>]+>', ' ', 'g') ELSE coalesce(text, '') END) AS visible FROM documents",
