@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,11 @@ ALIASES = [
 NUMBER_WORDS = {"half a": "0.5", "half": "0.5", "quarter": "0.25", "one": "1", "a": "1", "two": "2", "three": "3", "four": "4", "six": "6", "eight": "8", "twelve": "12", "sixteen": "16"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def alias_table(spark: SparkSession, *kinds: str) -> DataFrame:
     """The aliases of some kinds as a literal table; its size does not depend on data."""
     rows = ", ".join(f"('{a.replace(chr(39), chr(92) + chr(39))}', '{k}', '{u}', {f}D, {o}D)" for a, k, u, f, o in ALIASES if k in kinds)
@@ -48,6 +54,8 @@ _AFTER = r"(?![a-z0-9])"
 _PAIR = (
     rf"(?<![\w.-])(?:(\d{{1,3}})[+/]|(?<![\w.])(\d+(?:\.\d+)?)[\s-]*({MEMORY_UNIT})\s*[+/|]\s*)(\d+(?:\.\d+)?)[\s-]*({MEMORY_UNIT})(?![a-z0-9])(?!\s*(?:of\s+)?(?:ram|memory))"
 )
+#: A pair that was found, taken apart: without what must not stand around it.
+_IN_PAIR = rf"^(?:(\d{{1,3}})[+/]|(\d+(?:\.\d+)?)[\s-]*({MEMORY_UNIT})\s*[+/|]\s*)(\d+(?:\.\d+)?)[\s-]*({MEMORY_UNIT})$"
 _RAM = rf"{_QUANTITY}\s*(?:of\s+)?(?:ram|memory)\b"
 #: Amounts that are not built in: the size of cards that fit, and space elsewhere.
 _CARDS = rf"(?:micro\s?sd|cards?|expand\w*|up\s?to)[\s:]+(?:up\s?)?(?:to\s+)?{_QUANTITY.replace('(?<![\\w.])', '', 1)}{_AFTER}"
@@ -56,12 +64,17 @@ _CLOUD = rf"{_QUANTITY}\s+(?:of\s+)?(?:free\s+)?(?:i?cloud|online|drive)\b"
 
 def memory_text(col: Column) -> Column:
     """A text in lower case with digits for number words and without amounts that are not built in."""
-    s = F.lower(col)
-    for word, digits in NUMBER_WORDS.items():
-        s = F.regexp_replace(s, rf"\b{word}[\s-]+(?=tera|giga|gigs?\b|mega|[tgm]b\b)", f"{digits} ")
-    s = F.regexp_replace(s, _CARDS, " ")
-    s = F.regexp_replace(s, _CARDS, " ")
-    s = F.regexp_replace(s, _CLOUD, " ")
+    unit = r"(?=tera|giga|gigs?\b|mega|[tgm]b\b)"
+
+    def digits(s: Column) -> Column:
+        for word, number in NUMBER_WORDS.items():
+            s = F.regexp_replace(s, rf"\b{word}[\s-]+{unit}", f"{number} ")
+        return s
+
+    # Each step is taken only by texts that have what it is for.
+    s = bound(F.lower(col), lambda s: F.when(s.rlike(rf"\b(?:{'|'.join(NUMBER_WORDS)})[\s-]+{unit}"), digits(s)).otherwise(s))
+    s = bound(s, lambda s: F.when(s.rlike(r"sd\b|card|expand|up\s?to"), F.regexp_replace(F.regexp_replace(s, _CARDS, " "), _CARDS, " ")).otherwise(s))
+    s = bound(s, lambda s: F.when(s.rlike("cloud|online|drive"), F.regexp_replace(s, _CLOUD, " ")).otherwise(s))
     return F.regexp_replace(s, r"(?<![\w.])5g(?![a-z0-9])(?!\s*(?:of\s+)?(?:ram|memory|rom|storage|internal))", " ")
 
 
@@ -78,25 +91,26 @@ def memory_of(s: Column) -> Column:
     Read are ``8+256GB`` and the like, an amount before RAM or memory, and of the amounts left the first.
     Card slots' limits, cloud space and the radio standard 5G are no amounts.
     """
-    pair = F.regexp_extract(s, _PAIR, 0) != ""
-    bare, first, first_unit = (F.regexp_extract(s, _PAIR, k) for k in (1, 2, 3))
-    second, second_unit = F.regexp_extract(s, _PAIR, 4), F.regexp_extract(s, _PAIR, 5)
-    shared = F.when(second_unit.startswith("m"), F.lit("m")).otherwise(F.lit("g"))
-    ram_pair = F.coalesce(
-        F.nullif(bare, F.lit("")).try_cast("double") * _factor(shared), F.nullif(first, F.lit("")).try_cast("double") * _factor(first_unit)
-    )
-    number, unit = F.regexp_extract(s, _RAM, 1), F.regexp_extract(s, _RAM, 2)
-    rest = F.regexp_replace(s, _RAM, " # ")
-    other, other_unit = F.regexp_extract(rest, _QUANTITY + _AFTER, 1), F.regexp_extract(rest, _QUANTITY + _AFTER, 2)
-    return F.struct(
-        F.when(pair, ram_pair).otherwise(number.try_cast("double") * _factor(unit)).alias("ram_mb"),
-        F.when(pair, second.try_cast("double") * _factor(second_unit)).otherwise(other.try_cast("double") * _factor(other_unit)).alias("storage_mb"),
-    )
+    number = lambda text, k, pattern: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("double")
+    unit = lambda text, k, pattern: F.regexp_extract(text, pattern, k)
+
+    def of_pair(p: Column) -> Column:
+        second = unit(p, 5, _IN_PAIR)
+        shared = F.when(second.startswith("m"), F.lit("m")).otherwise(F.lit("g"))
+        ram = F.coalesce(number(p, 1, _IN_PAIR) * _factor(shared), number(p, 2, _IN_PAIR) * _factor(unit(p, 3, _IN_PAIR)))
+        return F.struct(ram.alias("ram_mb"), (number(p, 4, _IN_PAIR) * _factor(second)).alias("storage_mb"))
+
+    def of_singles(r: Column) -> Column:
+        rest = F.when(r != "", F.regexp_replace(s, _RAM, " # ")).otherwise(s)
+        ram = number(r, 1, _QUANTITY) * _factor(unit(r, 2, _QUANTITY))
+        return bound(F.regexp_extract(rest, _QUANTITY + _AFTER, 0), lambda q: F.struct(ram.alias("ram_mb"), (number(q, 1, _QUANTITY) * _factor(unit(q, 2, _QUANTITY))).alias("storage_mb")))
+
+    return bound(F.regexp_extract(s, _PAIR, 0), lambda p: F.when(p != "", of_pair(p)).otherwise(bound(F.regexp_extract(s, _RAM, 0), of_singles)))
 
 
 def amount_of(s: Column) -> Column:
     """MB of a ``memory_text`` that is an amount and nothing else, such as ``16 GB`` or ``one terabyte``."""
-    return F.regexp_extract(s, _QUANTITY + _AFTER, 1).try_cast("double") * _factor(F.regexp_extract(s, _QUANTITY + _AFTER, 2))
+    return bound(F.regexp_extract(s, _QUANTITY + _AFTER, 0), lambda q: F.regexp_extract(q, _QUANTITY, 1).try_cast("double") * _factor(F.regexp_extract(q, _QUANTITY, 2)))
 
 
 CURRENCY, SCALE = f"({_one_of('currency')})", f"({_one_of('scale')})"
