@@ -92,19 +92,18 @@ def parsed(products: DataFrame, reference: DataFrame) -> DataFrame:
         _plain(F.concat_ws(" ", F.coalesce("raw_title", "clean_title"))).alias("title"), _plain(F.coalesce("clean_title", F.lit(""))).alias("clean"),
         measures.memory_text(attribute(F.col("attributes"), RAM_KEYS)).alias("r"), measures.memory_text(attribute(F.col("attributes"), STORAGE_KEYS)).alias("s"),
     )
-    branded = texts.select(
-        "*", F.coalesce(F.nullif(F.regexp_extract("title", names, 1), F.lit("")), F.nullif(F.regexp_extract("clean", names, 1), F.lit(""))).alias("word"),
-        measures.memory_text(F.regexp_replace("title", names, " ~ ")).alias("m"), measures.memory_text(F.regexp_replace("clean", names, " ~ ")).alias("n"),
-    )
-    bare = branded.select(
-        "*", measures.memory_of(F.col("m")).alias("told"), measures.memory_of(F.col("n")).alias("told2"), _no_memory(F.col("m")).alias("rest"),
-        F.regexp_replace(_blank(F.col("model_family")), r"\s+", " ").alias("family"),
-    )
-    model = rf"(?<![\p{{L}}\p{{N}}.])(\p{{L}}{{3,}})[\s-]?({_NUMBER})(\+)?(?![\p{{L}}\p{{N}}.%\"])(?:[\s-]*({_SUB})(?![\p{{L}}\p{{N}}]))?"
+    told = lambda text: F.nullif(F.regexp_extract(text, names, 1), F.lit(""))
+    branded = texts.select("*", F.coalesce(told(F.col("title")), told(F.col("clean"))).alias("word"), measures.memory_text(F.regexp_replace("title", names, " ~ ")).alias("m"))
+    first = branded.select("*", measures.memory_of(F.col("m")).alias("told"), _no_memory(F.col("m")).alias("rest"), F.regexp_replace(_blank(F.col("model_family")), r"\s+", " ").alias("family"))
+    # The clean title is only read where the raw one leaves a size open.
+    more = F.when(F.col("told.ram_mb").isNull() | F.col("told.storage_mb").isNull(), measures.bound(measures.memory_text(F.regexp_replace("clean", names, " ~ ")), measures.memory_of))
+    model = rf"(?<![\p{{L}}\p{{N}}.])\p{{L}}{{3,}}[\s-]?{_NUMBER}\+?(?![\p{{L}}\p{{N}}.%\"])(?:[\s-]*(?:{_SUB})(?![\p{{L}}\p{{N}}]))?"
+    parts = rf"^(\p{{L}}+)[\s-]?({_NUMBER})(\+)?(?:[\s-]*({_SUB}))?$"
     family = rf"^(\p{{L}}+)(?:[\s-]*({_NUMBER}))?$"
+    bare = first.select("*", more.alias("told2"), F.regexp_extract("rest", model, 0).alias("found"))
     fields = bare.select(
         "id", "brand", "word", "told", "told2", "r", "s", "storage_gb", "ram_gb", "region_code", "attributes", "rest", "title",
-        *(F.nullif(F.regexp_extract("rest", model, k), F.lit("")).alias(f"t{k}") for k in (1, 2, 3, 4)), *(F.nullif(F.regexp_extract("family", family, k), F.lit("")).alias(f"f{k}") for k in (1, 2)),
+        *(F.nullif(F.regexp_extract("found", parts, k), F.lit("")).alias(f"t{k}") for k in (1, 2, 3, 4)), *(F.nullif(F.regexp_extract("family", family, k), F.lit("")).alias(f"f{k}") for k in (1, 2)),
         F.regexp_replace(_blank(F.col("sub_model")), r"[\s-]+", "").alias("column_sub"),
     )
     small = F.col("title").rlike(SMALL_PHONES) | (F.coalesce("told.ram_mb", "told2.ram_mb", measures.amount_of(F.col("r"))) < 1024)
