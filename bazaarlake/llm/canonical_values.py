@@ -13,6 +13,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import measures
+from ..session import stored
+
 #: Least Jaccard of the token sets of a value and its entry.
 SIMILARITY = 0.4
 #: Most edits between a value and its entry, as a share of the entry's length; names of under four letters must be equal.
@@ -87,20 +90,18 @@ def set_similarity_join(left: DataFrame, right: DataFrame, similarity: float = S
     )
     prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - SLACK).cast("int") + 1
     indexed = ordered.select("side", "id", "tokens", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
-    a = indexed.where("side = 0").select("token", F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.col("at").alias("la"))
+    # Few rows mean much work here, so they are spread by number, not by size.
+    spread = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = indexed.where("side = 0").repartition(spread, "token").select("token", F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.col("at").alias("la"))
     b = indexed.where("side = 1").select("token", F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("size").alias("rs"), F.col("at").alias("ra"))
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("ls") + F.col("rs")) - SLACK)
     lengths = (F.col("rs") >= F.lit(similarity) * F.col("ls") - SLACK) & (F.col("ls") >= F.lit(similarity) * F.col("rs") - SLACK)
     position = F.least(F.col("ls") - F.col("la"), F.col("rs") - F.col("ra")) >= needed
+    pairs = a.join(b, "token").where(lengths & position)
     # Of a pair's common prefix tokens only the first is kept: there the positions count the whole overlap.
-    first = F.element_at(F.array_intersect("lt", "rt"), 1) == F.col("token")
-    shared = F.size(F.array_intersect("lt", "rt"))
-    return (
-        a.join(b, "token")
-        .where(lengths & first & position)
-        .select("l", "r", (shared / (F.col("ls") + F.col("rs") - shared)).alias("jaccard"))
-        .where(F.col("jaccard") >= similarity)
-    )
+    overlap = measures.bound(F.array_intersect("lt", "rt"), lambda c: F.when(F.element_at(c, 1) == F.col("token"), F.size(c)))
+    scored = pairs.select("l", "r", measures.bound(overlap, lambda n: n / (F.col("ls") + F.col("rs") - n)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= similarity)
 
 
 def _forms(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -118,7 +119,7 @@ def best_entries(values: DataFrame, entries: DataFrame, similarity: float = SIMI
     the words around a name. Null and blank values have no row.
     """
     distinct = values.where("value is not null and value rlike '[^\\\\s\\\\p{Z}]'").select("value").distinct()
-    typed = _forms(distinct, "value", "value")
+    typed = stored(_forms(distinct, "value", "value"))  # used for the join and to find the values again
     listed = _forms(entries.where("entry_id is not null and name is not null"), "entry_id", "name")
     sets = lambda df: df.select("form").distinct().select(F.col("form").alias("id"), tokens_of(F.col("form")).alias("tokens"))
     pairs = set_similarity_join(sets(typed), sets(listed), similarity)
