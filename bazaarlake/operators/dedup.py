@@ -19,15 +19,22 @@ def once(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 def ring(pages: DataFrame, url: Column, digest: Column, order: list[str]) -> DataFrame:
     """``pages`` with ``outcome``: duplicate_url, duplicate_content or new, as they would come one after another.
 
-    A page whose address was seen is a duplicate and leaves no digest; of the others one whose digest was seen
+    ``order`` must be unique; a column named outcome is replaced. A page whose address was seen is a duplicate and leaves no digest; of the others one whose digest was seen
     is a duplicate too. Equal empty bodies have equal digests.
     """
-    seen = pages.withColumn("__bl_u", url).withColumn("__bl_d", digest)
-    by_url = seen.withColumn("__bl_un", F.row_number().over(Window.partitionBy("__bl_u").orderBy(*order)))
-    fresh = F.col("__bl_un") == 1
+    none = F.lit("\0")  # a missing address or digest is one of its own
+    seen = pages.withColumn("__bl_u", F.coalesce(url, none)).withColumn("__bl_d", F.coalesce(digest, none)).withColumn("__bl_o", F.struct(*order))
+
+    def flagged(df: DataFrame, key: str, among: DataFrame, flag: str) -> DataFrame:
+        """``df`` with whether a row is the first of its key; joined by key and place, so a hot key is no hot task."""
+        firsts = among.groupBy(key).agg(F.min("__bl_o").alias("__bl_o")).withColumn(flag, F.lit(True))
+        return df.join(firsts, [key, "__bl_o"], "left")
+
+    by_url = flagged(seen, "__bl_u", seen, "__bl_first")
     # Only first addresses count for digests, so the two rings are taken one after the other.
-    by_both = by_url.withColumn("__bl_dn", F.row_number().over(Window.partitionBy("__bl_d", fresh).orderBy(*order)))
-    return by_both.withColumn("outcome", F.when(~fresh, "duplicate_url").when(F.col("__bl_dn") > 1, "duplicate_content").otherwise("new")).drop("__bl_u", "__bl_d", "__bl_un", "__bl_dn")
+    by_both = flagged(by_url, "__bl_d", by_url.where("__bl_first"), "__bl_new")
+    outcome = F.when(F.col("__bl_first").isNull(), "duplicate_url").when(F.col("__bl_new").isNull(), "duplicate_content").otherwise("new")
+    return by_both.withColumn("outcome", outcome).select(*(c for c in pages.columns if c != "outcome"), "outcome")
 
 
 def evidence(snippets: DataFrame, group: list[str], text: str, order: list[str], head: int = 160, most: int = 5) -> DataFrame:

@@ -99,9 +99,18 @@ def runs(events: DataFrame, key: str, order: list[str], hit: Column) -> DataFram
     return found.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("__bl_island")).cast("bigint")).drop("__bl_island")
 
 
-def changes(log: DataFrame, key: list[str], order: list[str], value: str, flag: str, least: float = 0.01) -> DataFrame:
-    """Rows of a log that differ from the one before of their key: a value more than ``least`` off, or another flag."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    before = log.withColumn("__bl_v", F.lag(value).over(w)).withColumn("__bl_f", F.lag(flag).over(w)).withColumn("__bl_n", F.row_number().over(w))
-    news = (F.abs(F.col(value) - F.col("__bl_v")) > least) | ~F.col(flag).eqNullSafe(F.col("__bl_f"))
-    return before.where((F.col("__bl_n") > 1) & F.coalesce(news, F.lit(False))).withColumnRenamed("__bl_v", f"{value}_before").drop("__bl_f", "__bl_n")
+def changes(log: DataFrame, key: list[str], order: list[str], value: str, flag: str, period: Column, least: float = 0.01) -> DataFrame:
+    """Rows of a log that differ from the one before of their key: a value more than ``least`` off, or another flag.
+
+    ``period`` must grow with the order (a month of its time, say). Rows meet row by row within a period only;
+    across periods a row per key and period is handed on, so a key with a third of the log is many tasks.
+    The order must be unique within a key; the first row of a key is no change.
+    """
+    at = log.withColumn("__bl_p", period)
+    w = Window.partitionBy(*key, "__bl_p").orderBy(*order)
+    closing = at.groupBy(*key, "__bl_p").agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(flag).alias("f")), _order(order)).alias("__bl_c"))
+    handed = closing.select(*key, "__bl_p", F.lag("__bl_c").over(Window.partitionBy(*key).orderBy("__bl_p")).alias("__bl_h"))
+    here = F.lag(F.struct(F.col(value).alias("v"), F.col(flag).alias("f"))).over(w)
+    before = at.join(handed, [*key, "__bl_p"]).withColumn("__bl_b", F.coalesce(here, "__bl_h"))
+    news = (F.abs(F.col(value) - F.col("__bl_b.v")) > least) | ~F.col(flag).eqNullSafe(F.col("__bl_b.f"))
+    return before.where(F.col("__bl_b").isNotNull() & F.coalesce(news, F.lit(False))).withColumn(f"{value}_before", F.col("__bl_b.v")).drop("__bl_p", "__bl_h", "__bl_b")

@@ -97,7 +97,7 @@ def w5_runs(spark: SparkSession, d: str) -> DataFrame:
 def w4_price_changes(spark: SparkSession, d: str) -> DataFrame:
     """Updates that bring another price or stock than the update before."""
     log = _log(spark, d).select("listing_id", *_ORDER, F.col("current_price_lkr").alias("price"), "in_stock").distinct()
-    return folds.changes(log, ["listing_id"], _ORDER, "price", "in_stock").select("listing_id", "update_id", F.col("price").cast("double").alias("price"), F.col("price_before").cast("double").alias("price_before"))
+    return folds.changes(log, ["listing_id"], _ORDER, "price", "in_stock", F.date_format("updated_at", "yyyyMM")).select("listing_id", "update_id", F.col("price").cast("double").alias("price"), F.col("price_before").cast("double").alias("price_before"))
 
 
 def w8_fifo(spark: SparkSession, d: str) -> DataFrame:
