@@ -210,7 +210,7 @@ def _count(span: int, chunk: int):
 
 
 def _spread(span: int):
-    """Each window of a packed string by two hashes, 128 bits, and its place."""
+    """Each window of a packed string by two hashes, 128 bits, with the string's name and the window's place in it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,21 +223,36 @@ def _spread(span: int):
                 places = np.flatnonzero(np.arange(len(codes)) + span <= ends[which])
                 string = which[places]
                 a, b = (gram_hashes(codes, span, base)[places].view(np.int64) for base in _BASES)
-                doc, th, at = (part.column(c).to_numpy()[string] for c in ("doc", "th", "at"))
-                at = at + places - (ends - sizes)[string]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, doc, th, at)], names=["a", "b", "doc", "th", "at"])
+                p, q, low, high = (part.column(c).to_numpy()[string] for c in ("p", "q", "low", "high"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, p, q, low, high, places - (ends - sizes)[string])], names=["a", "b", "p", "q", "low", "high", "off"])
 
     return run
 
 
+def _spread_out(rows: DataFrame, span: int) -> DataFrame:
+    """(doc, th, lo, hi) of the shared runs in packed strings (doc, th, at, packed) of minimisers that many have.
+
+    Equal strings are one before their windows are spread, windows are counted with a combine before the shuffle,
+    and a string's shared windows are joined to runs before they meet the documents that have the string.
+    """
+    named = stored(rows.select("doc", "th", "at", "packed", F.xxhash64("packed").alias("p"), F.xxhash64(F.lit(span), "packed").alias("q")))
+    strings = named.groupBy("p", "q").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("packed").alias("packed"))
+    windows = stored(strings.mapInArrow(_spread(span), "a bigint, b bigint, p bigint, q bigint, low bigint, high bigint, off bigint"))
+    several = windows.groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "b")
+    place = F.row_number().over(Window.partitionBy("p", "q").orderBy("off"))  # a group is one string's windows
+    shared = windows.join(several, ["a", "b"]).select("p", "q", "off").withColumn("run", F.col("off") - place)
+    runs = shared.groupBy("p", "q", "run").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
+    return named.select("doc", "th", "at", "p", "q").join(runs, ["p", "q"]).select("doc", "th", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + span).alias("hi"))
+
+
 def shared_intervals(
     documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, seed_length: int = SEED_LENGTH, hot: int = HOT, chunk: int = CHUNK
 ) -> DataFrame:
     """(doc, th, lo, hi): runs of characters of a document that lie in spans another document has too; they may overlap.
 
     Buckets of up to ``hot`` super-k-mers are sorted in one task, strings compared as they are. The windows of
-    fuller ones, such as those of a text that a third of all documents has, are spread over all tasks by a
-    128-bit hash and pre-aggregated, so no bucket grows with the corpus.
+    fuller ones, such as those of a text that a third of all documents has, are spread over all tasks by 128-bit
+    hashes and pre-aggregated, so no bucket grows with the corpus.
     """
     source = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(
         F.col(key).cast("bigint").alias("doc"), F.shiftright(F.xxhash64(text), 32).alias("th"), F.col(text).alias("text")
@@ -254,9 +269,7 @@ def shared_intervals(
     found = packed(common.where("not hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_count(span, chunk), "doc bigint, th bigint, lo bigint, hi bigint")
     if common.where("hot").isEmpty():
         return found
-    windows = stored(packed(common.where("hot")).mapInArrow(_spread(span), "a bigint, b bigint, doc bigint, th bigint, at bigint"))
-    several = windows.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("a", "b")
-    return found.unionByName(windows.join(several, ["a", "b"]).select("doc", "th", F.col("at").alias("lo"), (F.col("at") + span).alias("hi")))
+    return found.unionByName(_spread_out(packed(common.where("hot")), span))
 
 
 def shared_chars(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, **sizes: int) -> DataFrame:
