@@ -38,6 +38,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.wrong_units(*(_table(spark, sf_dir, t) for t in ("scraped_items", "merchants", "fx_rates", "canonical_products")))
 
 
+def p5_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scraped price in whole rupees, as far as anything tells it."""
+    return units.price_amounts(*(_table(spark, sf_dir, t) for t in ("scraped_items", "merchants", "fx_rates"))).select("item_id", "amount", F.coalesce("in_unit", F.lit(False)).alias("in_unit"))
+
+
+def p5_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs such as 8/256GB in raw titles, in MB."""
+    told = units.memory_amounts(_table(spark, sf_dir, "canonical_products").where(r"raw_title rlike '(^| )[0-9]{1,2}[+/][0-9]{2,3}GB( |$)' and not raw_title rlike '(?i)ram|memory|up ?to|expand|cards|cloud'"))
+    return told.select("id", F.col("ram_told").cast("bigint").alias("ram_mb"), F.col("storage_told").cast("bigint").alias("storage_mb"))
+
+
 _LAST_RECEIVED = """
     SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY listing_id, updated_at
@@ -45,7 +56,47 @@ _LAST_RECEIVED = """
       FROM listing_updates WHERE listing_id IS NOT NULL AND updated_at IS NOT NULL) t
     WHERE pick = 1"""
 
+def _sql_currency(text: str) -> str:
+    return f"""CASE WHEN {text} SIMILAR TO '.*(indian rupee|inr|₹).*' THEN 'INR' WHEN {text} SIMILAR TO '.*(dollar|usd|[$]).*' THEN 'USD' WHEN {text} SIMILAR TO '.*(aed|dhs|dirham).*' THEN 'AED'
+  WHEN {text} SIMILAR TO '.*(eur|€).*' THEN 'EUR' WHEN regexp_matches({text}, '\\blkr\\b|\\brs\\b|රු|rupee') THEN 'LKR' END"""
+
+
+def _sql_scale(text: str) -> str:
+    return f"""CASE WHEN regexp_matches({text}, 'thousand|\\bk\\b|දහස්|''000') THEN 1000 WHEN regexp_matches({text}, 'lakh|lac|ලක්ෂ') THEN 100000
+  WHEN regexp_matches({text}, 'million|\\bmn\\b|\\bm\\b') THEN 1000000 WHEN regexp_matches({text}, 'cent|minor unit') THEN 0.01 END"""
+
+
 SQL = {
+    "p5_prices": f"""
+WITH cut AS (
+  SELECT item_id, merchant_id, price_lkr, CAST(scraped_timestamp AS DATE) AS day,
+         regexp_replace(lower(price_text), '(\\s+or\\s+[0-9]+\\s*x\\s.*|\\s*/\\s*[0-9]+\\s+instal.*|\\(\\s*[0-9]+\\s*x\\s.*)$', '') AS s FROM scraped_items),
+parts AS (
+  SELECT *, regexp_extract(s, '([0-9][0-9,.]*)[^0-9]*$', 1) AS raw,
+         regexp_extract(s, '([^0-9]*)[0-9][0-9,.]*([^0-9]*)$', 1) || ' ' || regexp_extract(s, '([^0-9]*)[0-9][0-9,.]*([^0-9]*)$', 2) AS u FROM cut),
+told AS (
+  SELECT *, {_sql_currency('u')} AS cur, {_sql_scale('u')} AS scale, regexp_replace(raw, '[,.]+$', '') AS n FROM parts),
+shown AS (
+  SELECT *, TRY_CAST(nullif(CASE WHEN scale IS NULL AND regexp_full_match(n, '[0-9]{{1,3}}(\\.[0-9]{{3}})+(,[0-9]+)?') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END, '') AS DECIMAL(24,6)) AS number FROM told),
+notes AS (
+  SELECT id, lower(feed_notes) AS f, TRY_CAST(nullif(regexp_extract(lower(feed_notes), '(from|since)\\s+([0-9-]{{10}})', 2), '') AS DATE) AS turn FROM merchants),
+noted AS (
+  SELECT i.*, CASE WHEN turn IS NULL THEN {_sql_currency('f')} WHEN day >= turn THEN 'LKR' END AS note_cur,
+         CASE WHEN turn IS NULL THEN {_sql_scale("replace(f, '(1/100 rupee)', '')")} WHEN day < turn THEN 0.01 END AS note_scale
+  FROM shown i LEFT JOIN notes ON notes.id = i.merchant_id),
+unit AS (
+  SELECT *, cur IS NOT NULL OR scale IS NOT NULL AS by_text FROM noted),
+final AS (
+  SELECT item_id, price_lkr, day, CASE WHEN by_text THEN number ELSE coalesce(TRY_CAST(price_lkr AS DECIMAL(24,6)), number) END AS number,
+         coalesce(CASE WHEN by_text THEN cur ELSE note_cur END, 'LKR') AS cur, coalesce(CASE WHEN by_text THEN scale ELSE note_scale END, 1) AS scale FROM unit),
+exact AS (
+  SELECT item_id, price_lkr, CAST(number * scale AS DECIMAL(28,6)) * CASE WHEN cur = 'LKR' THEN CAST(1 AS DECIMAL(12,2)) ELSE
+    (SELECT arg_max(r.lkr_per_unit, r.rate_date) FROM fx_rates r WHERE r.currency = final.cur AND r.rate_date <= final.day) END AS v FROM final)
+SELECT item_id, CAST(round(v) AS BIGINT) AS amount, coalesce(abs(price_lkr - CAST(v AS DOUBLE)) <= 0.02 * CAST(v AS DOUBLE), false) AS in_unit FROM exact""",
+    "p5_memory": """
+SELECT id, CAST(regexp_extract(raw_title, '(^| )([0-9]{1,2})[+/]([0-9]{2,3})GB( |$)', 2) AS BIGINT) * 1024 AS ram_mb,
+       CAST(regexp_extract(raw_title, '(^| )([0-9]{1,2})[+/]([0-9]{2,3})GB( |$)', 3) AS BIGINT) * 1024 AS storage_mb
+FROM canonical_products WHERE regexp_matches(raw_title, '(^| )[0-9]{1,2}[+/][0-9]{2,3}GB( |$)') AND NOT regexp_matches(lower(raw_title), 'ram|memory|up ?to|expand|cards|cloud')""",
     "p4_found": f"""
 WITH one AS ({_LAST_RECEIVED}),
 filled AS (
@@ -70,4 +121,4 @@ SELECT listing_id, CAST(arg_max(current_price_lkr, updated_at) AS DOUBLE) AS pri
 FROM one GROUP BY listing_id""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of, "p5_found": p5_found, "p5_prices": p5_prices, "p5_memory": p5_memory}

@@ -268,6 +268,7 @@ _BLANKS = "[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\
 _HASH = f"md5(trim(regexp_replace(coalesce(%s, ''), '{_BLANKS}', ' ', 'g')))"
 _BARE = "CASE WHEN {0} = '' THEN {0} ELSE regexp_replace({0}, '/+$', '') END"
 _CANON = "regexp_replace(regexp_replace({u}, '[?#].*$', ''), '(.)/+$', '\\1')"
+_B, _S = "\\b", "\\s+"
 _quoted = lambda words: "|".join(w.replace("|", "\\|").replace(".", "\\.").replace("'", "''") for w in words)
 
 SQL = {
@@ -278,6 +279,16 @@ SQL = {
     "x15_links": f"""SELECT link, count(*) AS n FROM (
  SELECT unnest([regexp_extract(product_url, '^(https?://[^/?#]*)', 1) || '/product/', regexp_replace(regexp_extract(regexp_replace(product_url, '[?#].*$', ''), '^(.*/)', 1), '([^/:]/)[^/]+/$', '\\1') || 'shop/x', 'https://other.example/p/', 'https://cdn.example/i.png',
    regexp_extract(regexp_replace(product_url, '[?#].*$', ''), '^(.*/)', 1) || 'about?ref=home&amp=']) AS link FROM {_ITEMS}) GROUP BY link""",
+    "x16_child_links": f"SELECT r.rank, count(DISTINCT product_url) AS n FROM {_ITEMS}, (SELECT unnest([0, 1, 2]) AS rank) r GROUP BY r.rank",
+    "x17_polled": f"""SELECT id, price, stock, stock <> sold OR coalesce(abs(price - was) > 0.01, false) AS news FROM (SELECT item_id AS id, price AS was, coalesce(TRY_CAST(replace(nullif(regexp_extract(lower(plain), '(?:rs[.]?|lkr)\\s*([0-9,]{{3,}}(?:[.][0-9]{{2}})?)', 1), ''), ',', '') AS DOUBLE), CASE WHEN price >= 100 THEN price END) AS price,
+ coalesce(in_stock, false) OR regexp_matches(lower(plain), '\\b(in stock|add to cart|buy now|available)\\b') AS stock, coalesce(in_stock, false) AS sold FROM {_ITEMS} WHERE way = 'text')""",
+    "f25_conditions": f"""SELECT id, CASE WHEN regexp_matches(t, '\\b(refurbished|renewed|refurb)\\b') THEN 'refurbished' WHEN regexp_matches(t, '\\b(used|pre-owned|preowned|second\\s*hand|2nd\\s*hand)\\b') THEN 'used'
+  WHEN regexp_matches(t, '\\b(open\\s*box|open-box|demo\\s*unit|display\\s*unit)\\b') THEN 'open_box' ELSE 'new' END AS condition,
+ CASE {" ".join(f"WHEN regexp_matches(t, '{_B}{m.lower().replace(' ', _S)}{_B}') THEN '{m.lower()}'" for m in titles.SUB_MODELS)} ELSE '' END AS sub_model,
+ TRY_CAST(nullif(regexp_extract(t, '([0-9]+)\\s*(gb?)?\\s*/\\s*[0-9]+\\s*gb', 1), '') AS BIGINT) AS ram_gb,
+ TRY_CAST(nullif(coalesce(nullif(regexp_extract(t, '[0-9]+\\s*(gb?)?\\s*/\\s*([0-9]+)\\s*gb', 2), ''), regexp_extract(t, '([0-9]+)\\s*gb', 1)), '') AS BIGINT) AS storage_gb,
+ regexp_matches(t, '\\b(monitor|display|keyboard|ssd|nvme|drone|headphones?|earbuds?|tws|charger|powerbank|power\\s+bank|mouse|gpu|graphics\\s+card)\\b') AS no_phone
+ FROM (SELECT id, lower(raw_title) AS t FROM canonical_products)""",
     "f1_canonical_url": f"SELECT item_id, {_CANON.format(u='product_url')} AS url FROM scraped_items",
     "f2_canonical_keeping_query": "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(product_url, '#.*$', ''), '/+([?]|$)', '\\1'), '[?]$', '') AS url FROM scraped_items",
     "f4_hosts": """SELECT inspection_id, h AS host, h AS netloc, CASE WHEN len(p) <= 2 THEN h ELSE array_to_string(p[-2:], '.') END AS site, 'https://' || h || '/' AS origin
@@ -318,5 +329,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x16_child_links", "x17_polled", "f25_conditions", "x20_normalised", "x7_plans", "x8_offers", "x9_surcharges"]
+_NAMES = [*SQL, "x20_normalised", "x7_plans", "x8_offers", "x9_surcharges"]
 QUERIES = {name: globals()[name] for name in _NAMES}
