@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures
+from ..session import small
 
 #: A number this near to an amount, relatively, is in the amount's unit.
 NEAR = 0.02
@@ -60,7 +61,7 @@ def price_amounts(items: DataFrame, merchants: DataFrame, fx_rates: DataFrame) -
     day of the scrape; without such a rate, or without the time of the scrape, they have no amount.
     """
     shown = items.select("item_id", "merchant_id", F.col("price_lkr").alias("given"), F.to_date("scraped_timestamp").alias("day"), measures.price_in(F.col("price_text")).alias("p"))
-    noted = shown.join(F.broadcast(_note_units(merchants)), "merchant_id", "left")  # merchants: a table of fixed size
+    noted = shown.join(small(_note_units(merchants)), "merchant_id", "left")
     told = (F.col("p.currency") != "") | (F.col("p.scale") != "")
     early = F.col("turn").isNotNull() & (F.col("day") < F.col("turn"))
     undated = F.col("turn").isNotNull() & F.col("day").isNull()
@@ -81,7 +82,7 @@ def price_amounts(items: DataFrame, merchants: DataFrame, fx_rates: DataFrame) -
         named.withColumn("currency", F.coalesce("currency", F.lit("LKR")))
         .alias("a")
         .join(
-            F.broadcast(rates).alias("r"),  # a row per currency and day of rates, whatever the number of prices
+            small(rates).alias("r"),  # a row per currency and day of rates, whatever the number of prices
             (F.col("a.currency") == F.col("r.currency")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))),
             "left",
         )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import folds, neighbours
+from ..session import small
 from .general import _table
 
 
@@ -84,7 +85,7 @@ def e3_queue_jobs(spark: SparkSession, d: str, status: str | None = "failed", li
 def e5_product_listings(spark: SparkSession, d: str) -> DataFrame:
     """Each listing with its merchant, ranked by price within its product; no price or none above 0 comes last."""
     merchants = _table(spark, d, "merchants").select(F.col("id").alias("merchant_id"), "domain", "is_verified_agent")
-    rows = _table(spark, d, "listings").join(F.broadcast(merchants), "merchant_id")  # merchants: a table of fixed size
+    rows = _table(spark, d, "listings").join(small(merchants), "merchant_id")
     rank = F.row_number().over(Window.partitionBy("product_id").orderBy(F.nullif(F.col("current_price_lkr"), F.lit(0)).asc_nulls_last(), "id"))
     return rows.select("product_id", F.col("id").alias("listing_id"), "domain", "is_verified_agent", F.col("current_price_lkr").cast("double").alias("price"), rank.cast("bigint").alias("rank"))
 
@@ -130,7 +131,7 @@ def e8_domain_rollup(spark: SparkSession, d: str) -> DataFrame:
 def e9_domain_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Pages with the profile of their site, looked up by host without www."""
     sites = _table(spark, d, "merchants").select(F.col("domain").alias("site"), F.col("id").alias("profile_id"), "city")
-    return _queue(spark, d).withColumn("site", F.regexp_replace("domain", r"^www\.", "")).join(F.broadcast(sites), "site", "left").select("id", "site", "profile_id", "city")
+    return _queue(spark, d).withColumn("site", F.regexp_replace("domain", r"^www\.", "")).join(small(sites), "site", "left").select("id", "site", "profile_id", "city")
 
 
 def e10_complete_products(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -159,7 +160,7 @@ def j10_authorised(spark: SparkSession, d: str) -> DataFrame:
     pairs = _table(spark, d, "merchants").select(F.col("id").alias("merchant_id"), F.explode("authorized_brands").alias("brand")).distinct()
     offers = _table(spark, d, "listings").select("product_id", "merchant_id")
     products = _table(spark, d, "canonical_products").select(F.col("id").alias("product_id"), "brand").where("brand is not null")
-    return offers.join(products, "product_id").join(F.broadcast(pairs), ["merchant_id", "brand"]).groupBy("brand").agg(F.count(F.lit(1)).alias("offers"), F.countDistinct("merchant_id").alias("merchants"))
+    return offers.join(products, "product_id").join(small(pairs), ["merchant_id", "brand"]).groupBy("brand").agg(F.count(F.lit(1)).alias("offers"), F.countDistinct("merchant_id").alias("merchants"))
 
 
 def j11_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +169,7 @@ def j11_rates(spark: SparkSession, d: str) -> DataFrame:
 
     days = _table(spark, d, "scraped_items").select(F.to_date("scraped_timestamp").alias("day")).where("day is not null").distinct()
     rates = rates_as_of(_table(spark, d, "fx_rates"))
-    held = days.join(F.broadcast(rates), (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    held = days.join(small(rates), (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     return held.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "currency", F.col("rate").cast("double").alias("rate"))
 
 

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import commerce, dedup, graph, pages, titles
 from ..sources import web
+from ..session import small
 from .general import _table
 
 _WAYS = ("jsonld", "opengraph", "microdata", "text")
@@ -189,7 +190,7 @@ def s11_robots(spark: SparkSession, d: str) -> DataFrame:
 def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
     """An index per merchant, a sitemap of its pages each, and an index over all."""
     sites = _table(spark, d, "merchants").select("id", "domain")
-    one = _table(spark, d, "page_inspections").join(F.broadcast(sites), F.col("merchant_id") == F.col("id")).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
+    one = _table(spark, d, "page_inspections").join(small(sites), F.col("merchant_id") == F.col("id")).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
     leaf = one.select(F.concat("domain", F.lit("/pages.xml")).alias("url"), F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("body"))
     index = sites.where("id % 2 = 0").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex><sitemap><loc>"), "domain", F.lit("/pages.xml</loc></sitemap><loc></loc></SitemapIndex>")).alias("body"))
     return web.sitemap_locations(leaf.unionByName(index))

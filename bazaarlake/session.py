@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
@@ -73,3 +74,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session has ended already; the cluster clears its folder
         pass
+
+
+#: Rows up to which a side of a join is sent to all tasks.
+SMALL = 20_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which are counted; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
