@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures
-from ..session import stored
+from ..session import small, stored
 
 #: Least Jaccard of the token sets of a value and its entry.
 SIMILARITY = 0.4
@@ -150,7 +150,7 @@ def mapped(sources: list[DataFrame], reference: DataFrame) -> DataFrame:
     for more in sources[1:]:
         rows = rows.unionByName(more)
     names = reference.where("brand_name is not null").select(F.col("brand_name").alias("value")).distinct()
-    rows = rows.join(F.broadcast(names), "value", "left_anti")  # the list of brands: a table of fixed size
+    rows = rows.join(small(names), "value", "left_anti")
     # A hot value is one row here, and its rows meet it by a join that may be split or broadcast.
     best = best_entries(rows, entries_of(reference))
     return rows.join(best.select("value", F.col("entry_id").alias("brand_id")), "value").select("source_table", "record_id", "brand_id")

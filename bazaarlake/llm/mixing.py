@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 from .byte_bpe import DEFAULT_VOCABULARY, token_counts
 
 #: Tokens of a budget that are left to the exact fit; the rest is filled in proportion to the lengths.
@@ -90,7 +90,7 @@ def mixture(
         F.sum(F.coalesce(F.col("target_share"), F.lit(0.0))).cast("double").alias("target_share"),
         F.min(F.greatest(F.coalesce(F.col("max_repeats"), F.lit(0)), F.lit(0))).cast("bigint").alias("max_repeats"),
     )
-    mine = documents.select("doc_id", "source", "text").join(F.broadcast(wanted.select("source")), "source", "left_semi")
+    mine = documents.select("doc_id", "source", "text").join(small(wanted.select("source")), "source", "left_semi")
     # Tokenised once; three narrow columns are kept, a part number of each document among them.
     sized = cut(
         token_counts(mine, ["doc_id", "source"], path=path)
@@ -100,15 +100,15 @@ def mixture(
     )
     spread = cut(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")))
     have = spread.groupBy("source").agg(F.sum("docs").alias("docs_available"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens_available"))
-    stock = wanted.join(F.broadcast(have), "source", "left").fillna(0, ["docs_available", "tokens_available"])
+    stock = wanted.join(have, "source", "left").fillna(0, ["docs_available", "tokens_available"])
     if total_tokens is None:
         whole = stock.where("tokens_available > 0 and target_share > 0").agg(
             F.min(F.floor(F.col("tokens_available") * F.col("max_repeats") / F.col("target_share"))).alias("total")
         )
     else:
         whole = spark.range(1).select(F.lit(int(total_tokens)).cast("bigint").alias("total"))
-    # One row per source: the table of targets bounds it.
-    plan = (
+    # One row per source of the targets.
+    plan = cut(
         stock.join(F.broadcast(whole.select(F.coalesce("total", F.lit(0)).alias("total"))), F.lit(True), "left")
         .withColumn("target_tokens", F.round(F.col("total") * F.col("target_share")).cast("bigint"))
         .withColumn("budget", F.least("target_tokens", F.col("tokens_available") * F.col("max_repeats")))
@@ -123,7 +123,7 @@ def mixture(
 
     # A group is the spread of one source: a row per distinct length, however many documents there are.
     taken = cut(
-        spread.join(F.broadcast(plan.select("source", "passes", "rest")), "source")
+        spread.join(plan.select("source", "passes", "rest"), "source")
         .groupBy("source")
         .applyInPandas(fit, "source string, n_tokens bigint, passes bigint, take bigint")
     )
@@ -142,7 +142,7 @@ def mixture(
     extra = drawn.where("here = docs").select("source", "doc_id", "n_tokens").unionByName(
         drawn.where("here < docs").withColumn("rank", rank).where("rank <= here").select("source", "doc_id", "n_tokens")
     )
-    full = sized.join(F.broadcast(plan.where("passes > 0").select("source", "passes")), "source").select("source", "doc_id", "n_tokens", "passes")
+    full = sized.join(small(plan.where("passes > 0").select("source", "passes")), "source").select("source", "doc_id", "n_tokens", "passes")
     picked = (
         full.withColumnRenamed("passes", "copies")
         .unionByName(extra.withColumn("copies", F.lit(1).cast("bigint")))
@@ -153,7 +153,7 @@ def mixture(
         F.sum(F.col("n_tokens") * F.col("take")).alias("extra_tokens"), F.sum("take").alias("extra_docs")
     )
     reached = (
-        plan.join(F.broadcast(used), "source", "left")
+        plan.join(used, "source", "left")
         .withColumn("actual_tokens", F.col("passes") * F.col("tokens_available") + F.coalesce("extra_tokens", F.lit(0)))
         .withColumn("docs_used", F.when(F.col("passes") > 0, F.col("docs_available")).otherwise(F.coalesce("extra_docs", F.lit(0))))
     )

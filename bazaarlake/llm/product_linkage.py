@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..operators.units import RAM_KEYS, STORAGE_KEYS, attribute
-from ..session import cut
+from ..session import cut, small
 
 # Marketing phrases of titles, which are no part of a product.
 PHRASES = [
@@ -37,6 +37,8 @@ SMALL_PHONES = r"\b(?:button|keypad|feature)\s+(?:phone|mobile)\b"
 FIELDS = ("brand", "line", "number", "sub", "ram", "storage", "region", "condition")
 #: Least probability of a match at which two descriptions are linked.
 THRESHOLD = 0.5
+#: Entries that a list of brands may have to be made one pattern.
+MOST_BRANDS = 10_000
 #: Rounds of expectation-maximisation.
 ROUNDS = 60
 _NUMBER = r"\d{1,4}[a-z]?"
@@ -45,7 +47,9 @@ _SUB = "|".join(s.replace(" ", r"[\s-]?") for s in SUB_MODELS)
 
 def _names(reference: DataFrame) -> str:
     """A pattern for the names and aliases of the list of brands, longest first; the list is of fixed size."""
-    rows = reference.select("brand_name", "aliases").limit(10_000).collect()
+    rows = reference.select("brand_name", "aliases").limit(MOST_BRANDS + 1).collect()
+    if len(rows) > MOST_BRANDS:
+        raise ValueError(f"a list of more than {MOST_BRANDS} brands makes no pattern")
     names = sorted({n.strip().lower() for r in rows for n in [r[0], *(r[1] or [])] if n and len(n.strip()) > 2}, key=lambda n: (-len(n), n))
     quote = lambda n: "".join(c if c.isalnum() or c == " " else f"\\{c}" if c.isascii() else c for c in n)
     return r"(?<![\p{L}\p{N}])(" + "|".join(map(quote, names)) + r")(?![\p{L}\p{N}])" if names else r"(?!)"
@@ -106,12 +110,12 @@ def parsed(products: DataFrame, reference: DataFrame) -> DataFrame:
         *(F.nullif(F.regexp_extract("found", parts, k), F.lit("")).alias(f"t{k}") for k in (1, 2, 3, 4)), *(F.nullif(F.regexp_extract("family", family, k), F.lit("")).alias(f"f{k}") for k in (1, 2)),
         F.regexp_replace(_blank(F.col("sub_model")), r"[\s-]+", "").alias("column_sub"),
     )
-    small = F.col("title").rlike(SMALL_PHONES) | (F.coalesce("told.ram_mb", "told2.ram_mb", measures.amount_of(F.col("r"))) < 1024)
-    ram_column = F.when(F.col("ram_gb") >= 1024, F.col("ram_gb").cast("double")).when(small & (F.col("ram_gb") >= 16), F.col("ram_gb").cast("double")).otherwise(F.col("ram_gb") * 1024.0)
+    feature = F.col("title").rlike(SMALL_PHONES) | (F.coalesce("told.ram_mb", "told2.ram_mb", measures.amount_of(F.col("r"))) < 1024)
+    ram_column = F.when(F.col("ram_gb") >= 1024, F.col("ram_gb").cast("double")).when(feature & (F.col("ram_gb") >= 16), F.col("ram_gb").cast("double")).otherwise(F.col("ram_gb") * 1024.0)
     storage_column = (
         F.when(F.col("storage_gb") > 16384, F.col("storage_gb").cast("double"))
-        .when(small & (F.col("storage_gb") >= 16), F.col("storage_gb").cast("double"))
-        .when(~F.coalesce(small, F.lit(False)) & (F.col("storage_gb") < 16), F.col("storage_gb") * 1048576.0)
+        .when(feature & (F.col("storage_gb") >= 16), F.col("storage_gb").cast("double"))
+        .when(~F.coalesce(feature, F.lit(False)) & (F.col("storage_gb") < 16), F.col("storage_gb") * 1048576.0)
         .otherwise(F.col("storage_gb") * 1024.0)
     )
     said = F.coalesce(_first(F.regexp_replace("rest", r"\bnot used\b", " "), CONDITIONS), _first(F.lower(attribute(F.col("attributes"), ("condition",))), CONDITIONS), F.lit("new"))
@@ -122,7 +126,7 @@ def parsed(products: DataFrame, reference: DataFrame) -> DataFrame:
         F.coalesce("told.storage_mb", "told2.storage_mb", measures.amount_of(F.col("s")), storage_column).cast("bigint").alias("storage"),
         F.coalesce(_first(F.col("rest"), REGIONS), _blank(F.col("region_code")), F.lit("")).alias("region"), said.alias("condition"),
     )
-    named = listed.join(F.broadcast(_brand_ids(reference)), "word", "left")  # the list of brands: a table of fixed size
+    named = listed.join(small(_brand_ids(reference)), "word", "left")
     return named.select("id", F.coalesce("name", "word").alias("brand"), *FIELDS[1:])
 
 
