@@ -272,7 +272,55 @@ _CANON = "regexp_replace(regexp_replace({u}, '[?#].*$', ''), '(.)/+$', '\\1')"
 _B, _S = "\\b", "\\s+"
 _quoted = lambda words: "|".join(w.replace("|", "\\|").replace(".", "\\.").replace("'", "''") for w in words)
 
+
+
+def _normalised_sql() -> str:
+    """The normaliser step by step; words end at ASCII boundaries here, which is the same on these titles."""
+    lit = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    word = lambda p: lit(rf"\b(?:{p})\b")
+    one = lambda p, k=1: f"nullif(regexp_extract(c, {lit(p)}, {k}), '')"
+    has = lambda p: f"regexp_matches(c, {lit(p)})"
+    junk = "|".join(rf"\b{j.replace(' ', _S)}" + ("" if j.startswith("\\") else r"\b") for j in titles.JUNK)
+    conditions = " ".join(f"WHEN regexp_matches(raw_title, {word(p)}) THEN '{n}'" for n, p in titles.CONDITIONS)
+    subs = " ".join(f"WHEN regexp_matches(c, {word(m.replace(' ', _S))}) THEN '{m.lower()}'" for m in titles.SUB_MODELS)
+    pair, single, region = r"(\d+)\s*gb?\s*/\s*(\d+)\s*gb|(\d+)\s*/\s*(\d+)\s*gb", r"\d+\s*gb", r"\b(" + "|".join(titles.REGIONS) + r")\b"
+    tight = lambda x: f"regexp_replace(lower({x}), '\\s+', '', 'g')"
+    plug = lambda n, k: f"CASE WHEN ports IS NULL THEN coalesce({one(rf'(\d)\s*[-x]?\s*(?:{k})' + _B)} || '{n}', CASE WHEN {has(_B + f'(?:{k})' + _B)} THEN '1{n}' END) END"
+    parts = [
+        tight(one(r"\b(rtx\s*[34]0\d0(?:\s*ti)?|rx\s*7\d00(?:\s*xtx|\s*xt)?)\b")), f"lower({one(r'\b(b650e?|x670e?|z790|b760|x870e?|z890|am5|lga1700)\b')})", f"{one(r'(\d{1,2})\s*gb\s*vram\b')} || 'gb_vram'", f"lower({one(r'\b(ddr5|ddr4)\b')})",
+        f"replace(lower({one(r'\b(gen5|gen4|nvme|m\.2)\b')}), '.', '')", f"{one(r'(\d{1,4})\s*w\b')} || 'w'", tight(one(r"\b((?:110|120|220|230|240)\s*v)\b")), "lower(ports)", plug("c", r"usb[-\s]?c|type[-\s]?c"), plug("a", r"usb[-\s]?a"), f"{one(r'(\d{4,6})\s*mah\b')} || 'mah'",
+        *(f"CASE WHEN {has(_B + f'(?:{p})' + ('' if 'cancell' in p else _B))} THEN '{t}' END" for t, p in titles.TAGS),
+    ]
+    symbol = "[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    return f"""
+WITH a AS (SELECT id, brand, raw_title, CASE {conditions} ELSE 'new' END AS k,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(raw_title, ''), '{titles._EMOJI}', ' ', 'g'), {lit(junk)}, ' ', 'g'), '\\([^)]{{0,60}}\\)', ' ', 'g'), '[★✓✅☆►•·\\-]{{2,}}', ' ', 'g'), '{_BLANKS}', ' ', 'g')) AS c FROM canonical_products),
+b AS (SELECT *, coalesce(lower({one(_B + '(' + '|'.join(titles.BRANDS) + ')' + _B)}), trim(lower(brand)), '') AS b, CASE {subs} ELSE '' END AS s, lower(regexp_extract(c, {lit(region)}, 1)) AS r,
+  coalesce({one(r"\b(\dc\da)\b")}, {one(r"\b(\dc)\b")}, {one(r"\b(\da)\b")}) AS ports, regexp_matches(c, {lit(pair)}) AS paired FROM a),
+m AS (SELECT *, CASE WHEN paired THEN TRY_CAST(coalesce({one(pair, 1)}, {one(pair, 3)}) AS INTEGER) END AS ram, TRY_CAST(CASE WHEN paired THEN coalesce({one(pair, 2)}, {one(pair, 4)}) ELSE {one(r"(\d+)\s*gb")} END AS INTEGER) AS sto,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(parts)}], lambda x: x IS NOT NULL))), '_'), '') AS att,
+  CASE WHEN b <> '' THEN regexp_replace(c, '(?i)\\b' || regexp_escape(b) || '\\b', '', 'g') ELSE c END AS f1 FROM b),
+f AS (SELECT *, CASE WHEN s <> '' THEN regexp_replace(f1, '(?i)\\b' || regexp_escape(s) || '\\b', '', 'g') ELSE f1 END AS f2 FROM m),
+g AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f2, {lit(pair)}, '', 'g'), {lit(single)}, '', 'g'), {lit(region)}, '', 'g'), '{symbol}', ' ', 'g'), '{_BLANKS}', ' ', 'g')) AS f3 FROM f),
+h AS (SELECT *, array_to_string(string_split(lower(f3), ' ')[1:5], ' ') AS f4 FROM g),
+i AS (SELECT *, CASE WHEN length(f4) < 3 AND att <> '' THEN att ELSE f4 END AS fam FROM h)
+SELECT id, b AS brand, trim(fam) AS model_family, s AS sub_model, ram AS ram_gb, sto AS storage_gb, r AS region_code, k AS condition, att AS technical_attributes,
+  sha256(trim(b) || '|' || trim(lower(fam)) || '|' || s || '|' || coalesce(CAST(ram AS VARCHAR), '') || '|' || coalesce(CAST(sto AS VARCHAR), '') || '|' || r || CASE WHEN k <> 'new' OR att <> '' THEN '|' || k || '|' || lower(att) ELSE '' END) AS spec_fingerprint
+FROM i"""
+
+
+_AMOUNT = "(?:rs[.]?|lkr|₨)?\\s*([0-9][0-9,]*(?:[.][0-9]{1,2})?)"
+_PLANS = f"""
+WITH d AS (SELECT doc_id, regexp_replace(text, 'Split (?:LKR|Rs[.]?) ([0-9,]+) into ([0-9]+) parts', 'Pay \\2 x Rs. \\1 with koko', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, t, unnest(range(1, CAST(length(t) AS BIGINT) - 2)) AS pos FROM d WHERE contains(lower(t), 'koko')),
+w AS (SELECT doc_id, substring(t, greatest(1, pos - 80), pos + 160 - greatest(1, pos - 80)) AS w FROM p WHERE lower(substring(t, pos, 4)) = 'koko'),
+m AS (SELECT doc_id, regexp_extract(w, '(?i)([0-9]{{1,2}})\\s*(?:x|×|installments?\\s+of|payments?\\s+of|of)\\s*{_AMOUNT}', 1) AS n, regexp_extract(w, '(?i)([0-9]{{1,2}})\\s*(?:x|×|installments?\\s+of|payments?\\s+of|of)\\s*{_AMOUNT}', 2) AS v FROM w),
+c AS (SELECT DISTINCT doc_id, TRY_CAST(n AS INTEGER) AS n, TRY_CAST(replace(v, ',', '') AS DOUBLE) AS v FROM m)
+SELECT doc_id, 'koko' AS provider, n AS cycles, v AS installment_amount, round(n * v, 2) AS total_payable FROM c WHERE n BETWEEN 2 AND 60 AND v > 0"""
+
 SQL = {
+    "x7_plans": _PLANS,
+    "x20_normalised": _normalised_sql(),
     **{f"x{k}_{way}": _facts_sql(way) for k, way in ((1, "jsonld"), (2, "opengraph"), (3, "microdata"))},
     "x4_remembered": f"SELECT item_id AS id, plain AS title, price, 'cached' AS tier FROM {_ITEMS} WHERE way = 'text'",
     "x6_cascade": f"SELECT CASE way WHEN 'text' THEN 'cached' ELSE way END AS tier, count(*) AS n, CAST(sum(CAST(price_lkr AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS usable FROM {_ITEMS} GROUP BY 1",
@@ -290,6 +338,8 @@ SQL = {
  TRY_CAST(nullif(coalesce(nullif(regexp_extract(t, '[0-9]+\\s*(gb?)?\\s*/\\s*([0-9]+)\\s*gb', 2), ''), regexp_extract(t, '([0-9]+)\\s*gb', 1)), '') AS BIGINT) AS storage_gb,
  regexp_matches(t, '\\b(monitor|display|keyboard|ssd|nvme|drone|headphones?|earbuds?|tws|charger|powerbank|power\\s+bank|mouse|gpu|graphics\\s+card)\\b') AS no_phone
  FROM (SELECT id, lower(raw_title) AS t FROM canonical_products)""",
+    "x9_surcharges": """SELECT doc_id, CAST(len(f) AS BIGINT) AS n, list_sum(CAST(f AS DOUBLE[])) AS total
+ FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, 'Card holders save ([0-9]{1,2})%', 1)) AS f FROM documents WHERE text IS NOT NULL) WHERE len(f) > 0""",
     "f1_canonical_url": f"SELECT item_id, {_CANON.format(u='product_url')} AS url FROM scraped_items",
     "f2_canonical_keeping_query": "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(product_url, '#.*$', ''), '/+([?]|$)', '\\1'), '[?]$', '') AS url FROM scraped_items",
     "f4_hosts": """SELECT inspection_id, h AS host, h AS netloc, CASE WHEN len(p) <= 2 THEN h ELSE array_to_string(p[-2:], '.') END AS site, 'https://' || h || '/' AS origin
@@ -330,5 +380,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x20_normalised", "x7_plans", "x8_offers", "x9_surcharges"]
+_NAMES = [*SQL, "x8_offers"]
 QUERIES = {name: globals()[name] for name in _NAMES}

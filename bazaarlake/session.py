@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +19,8 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Makes the package importable by the Python workers of every executor; once per application.
 
-    Also sets the session's zone to UTC, in which all times of the tables are meant.
+    On a cluster it goes as an archive through the shared folder. Also sets the session's zone to UTC, in which
+    all times of the tables are meant.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
@@ -28,12 +29,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
     if sc.master.startswith("local["):
         return  # the workers of a local session see the driver's files
-    handle, name = tempfile.mkstemp(prefix="bazaarlake-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(name, "w") as z:
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, f"{_PACKAGE.name}/{p.relative_to(_PACKAGE)}")
-    sc.addPyFile(name)
+    path = f"{checkpoint_dir(spark)}/{_PACKAGE.name}-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    atexit.register(_remove, spark, path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
