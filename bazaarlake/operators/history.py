@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 #: Days between two checkpoints of an entity.
 PERIOD_DAYS = 7
@@ -100,12 +100,12 @@ def as_of(patches: DataFrame, checkpoints: DataFrame, key: str, attributes: list
 
 def versions(log: DataFrame, key: str, attributes: list[str], days: int = PERIOD_DAYS, **columns: str) -> DataFrame:
     """The whole history of a log: its patches are stored once, checkpoints made, and versions rebuilt."""
-    stored = cut(patches(log, key, attributes, days=days, **columns))
-    return reconstruct(stored, checkpoints(stored, key, attributes), key, attributes)
+    said = stored(patches(log, key, attributes, days=days, **columns))
+    return reconstruct(said, checkpoints(said, key, attributes), key, attributes)
 
 
 def write_store(log: DataFrame, path: str, key: str, attributes: list[str], days: int = PERIOD_DAYS, **columns: str) -> None:
     """Writes ``path``/patches and ``path``/checkpoints, both by period, for readers that want a part of the time."""
     patches(log, key, attributes, days=days, **columns).write.mode("overwrite").partitionBy("period").parquet(f"{path}/patches")
-    stored = log.sparkSession.read.parquet(f"{path}/patches")
-    checkpoints(stored, key, attributes).write.mode("overwrite").partitionBy("period").parquet(f"{path}/checkpoints")
+    said = log.sparkSession.read.parquet(f"{path}/patches")
+    checkpoints(said, key, attributes).write.mode("overwrite").partitionBy("period").parquet(f"{path}/checkpoints")
