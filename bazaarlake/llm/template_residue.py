@@ -79,14 +79,21 @@ _EMPTY = "|".join(EMPTY_WORDS)
 #: A field of nothing but empty values and units, or one with two of them.
 EMPTY = rf"(?i)^[\s\W]*(?:(?:{_EMPTY})(?:[\s\W]+|$)|\d+\s?(?:gb|tb|mb)\b[\s\W]*)*(?<![a-z])(?:{_EMPTY})(?![a-z])(?:[\s\W]*(?:(?:{_EMPTY})\b|\d*\s?(?:gb|tb|mb|lkr|rs)\b))*[\s\W]*$|(?i)\b({_EMPTY})\s+(?:\1)\b"
 
-# Parts of the messages above by which a field may hold one of them; the rest is content for sure.
+def _cue(phrase: str) -> str:
+    """A phrase as it may stand in a text in lower case: any blanks, any number or id, and no optional words before it."""
+    while (cut := re.sub(r"^\(\?:[^()]*\)\?", "", phrase)) != phrase:
+        phrase = cut
+    return phrase.replace(r"\d", r"\S").replace(r"\w", r"\S").replace(" ", r"(?:[\s\x1c-\x1f]+)")
+
+
+#: What a text holds if any of its messages can be filler or an error: a listed phrase, a filler word, or a word said twice.
 CUES = (
-    r"(?i)not found|could not|can't|broken|no such|does not exist|went wrong|error|gateway|bad request|unavailable|maintenance|too many|blocked|timed out|denied|forbidden|permission|failed|unexpected|too long|connection|introuvable|gefunden|encontrada|trovata|හමු නොවීය|දෝෂයකි|கிடைக்கவில்லை|பிழை|exception|removed"
-    r"|script|\bjs\b|just a moment|checking|human|attention required|one more step|robot|captcha"
-    r"|\bhere\b|insert|tbc|tba|to follow|product name|product title|demo|test|dummy|sample|example|todo|copy|untitled|new product|new item|placeholder|coming soon|asdf|blah|xxx"
-    rf"|\b(?:{'|'.join(w for w in LOREM if len(w) > 3)})\b"
-    r"|(?:^|[.!?/\n])\W*(\w{2,})(?:\W+\1\b)+\W*(?:$|[.!?/\n])"
+    rf"(?i)(?<![a-z_])(?:{'|'.join(_cue(p) for p in [*FILLERS, *ERRORS, *NOTICES])})"
+    rf"|(?<![a-z])(?:{'|'.join(w for w in LOREM if len(w) > 3)})(?![a-z])"
+    r"|(?<!\w)(\w{2,}+)\W++\1(?!\w)"
 )
+#: The same for Java and texts in lower case.
+_LOWER_CUES = "(?U)" + CUES.removeprefix("(?i)")
 
 #: Marks that any slot has, and words that any empty value has: looked for first, since most texts have none.
 _MARKED = r"[{}<>%$~@\[]|__|:[A-Za-z]"
@@ -228,7 +235,7 @@ def residue(fields: DataFrame) -> DataFrame:
     slot, failed = text.rlike(_MARKED) & text.rlike(SLOTS), text.rlike(FAILED) | (text.rlike(_EMPTIES) & text.rlike(EMPTY))
     marked = known.select("source_table", "record_id", "field", "text", "host", F.when(slot, "slot").when(failed, "failed fill").alias("kind"))
     # The few fields that are residue or hold a cue are written once; texts are searched in this step only.
-    kept = stored(marked.where(F.col("kind").isNotNull() | ((F.col("field") != "page_type") & text.rlike(CUES))))
+    kept = stored(marked.where(F.col("kind").isNotNull() | ((F.col("field") != "page_type") & F.lower(text).rlike(_LOWER_CUES))))
     direct = kept.where("kind is not null").select("source_table", "record_id", "field", "kind")
     cut = (
         kept.where("kind is null")

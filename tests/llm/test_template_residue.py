@@ -42,6 +42,48 @@ def test_repeated_words_are_cues():
         assert re.search(tr.CUES, text), text
 
 
+def spoken(pattern):
+    """Every wording that a listed pattern stands for, with its optional parts and without."""
+    from itertools import product
+    from re import _parser
+
+    def of(parsed):
+        steps = []
+        for op, arg in parsed:
+            if str(op) == "LITERAL":
+                steps.append([chr(arg)])
+            elif str(op) == "SUBPATTERN":
+                steps.append(of(arg[3]))
+            elif str(op) == "BRANCH":
+                steps.append([w for b in arg[1] for w in of(b)])
+            elif str(op) == "MAX_REPEAT":
+                least, most, inner = arg
+                words = ["7"] if "DIGIT" in str(inner) else ["big"] if "WORD" in str(inner) and len(inner) == 1 else of(inner)
+                steps.append(([""] if least == 0 else []) + (words if most else []))
+            elif str(op) == "IN":
+                steps.append([chr(a) for o, a in arg if str(o) == "LITERAL"])
+            else:
+                raise AssertionError(op)
+        return ["".join(p) for p in product(*steps)]
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_listed_phrase_passes_the_gate(spark):
+    phrases = [w for p in [*tr.FILLERS, *tr.ERRORS, *tr.NOTICES] for w in spoken(p)]
+    assert len(phrases) > 300
+    rows = [(form,) for w in [*phrases, "foo foo", "qwerty qwerty", "qux qux qux", "lorem_ipsum_dolor"] for form in (w, w.upper(), f"{w.capitalize()} | Kirobmart", w.replace(" ", "\u00a0 "))]
+    rows += [(f"404{w}. Fine lens",) for w in phrases]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r.t for r in df.where(~F.lower("t").rlike(tr._LOWER_CUES)).collect()] == []
+
+
+def test_messages_that_the_gate_once_dropped(spark):
+    texts = ["The page cannot be found", "Please try again later", "Enter title", "Add headline", "New page", "New document 2", "foo foo | Kirobmart", "qwerty qwerty - Kirobmart"]
+    df = spark.createDataFrame([("p", k, "page_title", t, "kirobmartexample") for k, t in enumerate(texts)], "source_table string, record_id bigint, field string, text string, host string")
+    assert {texts[r.record_id] for r in tr.residue(df).collect()} == set(texts)
+
+
 def test_verdicts_do_not_depend_on_what_else_is_mined(spark):
     """A message has the verdict alone that it has among many, since deciding words never vary in a template."""
     messages = [tr.masked(t) for t in RESIDUE + HONEST if t] + [tr.masked(f"the lens of unit {k} is an error of {w}") for k in range(30) for w in ("light", "sound", "colour")]
