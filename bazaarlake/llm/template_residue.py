@@ -114,6 +114,8 @@ def _whole(patterns: list[str]) -> re.Pattern:
 
 _FILLER = re.compile("(?:(?:" + "|".join(sorted(FILLERS, key=len, reverse=True)).replace(r"\d+", "#") + r"|(\w{2,})(?:\W+\1\b){2,}|(asdf|test|blah|xxxx|qwerty|foo)(?: \2\b)+)(?!\w)[\s\W]*)+")
 _ERROR, _NOTICE = _whole([rf"(?<!\w){e}(?!\w)" for e in ERRORS]), _whole([rf"(?<!\w){n}(?!\w)" for n in NOTICES])
+#: Script notices for Java.
+_NOTED = "|".join(rf"(?<!\w)(?:{n})(?!\w)" for n in NOTICES)
 _AROUND = _whole([rf"(?<!\w){a}(?!\w)" if a != "#" else "#" for a in AROUND])
 _LOREM = frozenset(LOREM)
 #: Words that keep a template together: two messages that differ in one of them never share a template.
@@ -228,14 +230,15 @@ def residue(fields: DataFrame) -> DataFrame:
     """(source_table, record_id, field, kind) of the fields (source_table, record_id, field, text, host) that are residue.
 
     kind is 'slot', 'failed fill', 'filler' or 'error'. Null and blank texts are none. Every field is judged by
-    itself, whole; only fields that hold a cue of some message are cut in messages.
+    itself, whole; only fields that hold a cue of some message are cut in messages. A page_type that merely
+    says error is none.
     """
     known = fields.where("record_id is not null and text is not null")
     text = F.col("text")
     slot, failed = text.rlike(_MARKED) & text.rlike(SLOTS), text.rlike(FAILED) | (text.rlike(_EMPTIES) & text.rlike(EMPTY))
     marked = known.select("source_table", "record_id", "field", "text", "host", F.when(slot, "slot").when(failed, "failed fill").alias("kind"))
     # The few fields that are residue or hold a cue are written once; texts are searched in this step only.
-    kept = stored(marked.where(F.col("kind").isNotNull() | ((F.col("field") != "page_type") & F.lower(text).rlike(_LOWER_CUES))))
+    kept = stored(marked.where(F.col("kind").isNotNull() | F.lower(text).rlike(_LOWER_CUES)))
     direct = kept.where("kind is not null").select("source_table", "record_id", "field", "kind")
     cut = (
         kept.where("kind is null")
@@ -244,8 +247,10 @@ def residue(fields: DataFrame) -> DataFrame:
     )
     messages = cut.mapInArrow(_mask_rows, "source_table string, record_id bigint, field string, message string, leaf string")
     judged = messages.where("message <> ''").join(mined(messages).select("message", "verdict"), "message")
+    # A page_type that merely says error is a label; one that is a script notice is none.
+    stands = (F.col("verdict") == "error") & ((F.col("field") != "page_type") | F.col("message").rlike(_NOTED))
     by_field = judged.groupBy("source_table", "record_id", "field").agg(
-        F.bool_or(F.col("verdict") == "filler").alias("filler"), F.bool_or(F.col("verdict") == "error").alias("error"), F.bool_or(F.col("verdict") == "content").alias("content")
+        F.bool_or(F.col("verdict") == "filler").alias("filler"), F.bool_or(stands).alias("error"), F.bool_or(F.col("verdict") == "content").alias("content")
     )
     told = by_field.select("source_table", "record_id", "field", F.when(F.col("filler"), "filler").when(F.col("error") & ~F.col("content"), "error").alias("kind"))
     return direct.unionByName(told.where("kind is not null"))

@@ -84,6 +84,14 @@ def test_messages_that_the_gate_once_dropped(spark):
     assert {texts[r.record_id] for r in tr.residue(df).collect()} == set(texts)
 
 
+def test_page_types_are_judged_and_labels_are_none(spark):
+    residue = ["lorem ipsum dolor", "placeholder text", "TODO: add title", "test test test", "tbc - copy to follow", "Please enable JavaScript", "Just a moment..."]
+    labels = ["PRODUCT_PAGE", "Product Page", "CATEGORY_GRID", "OUT_OF_STOCK_PLACEHOLDER", "Out Of Stock Placeholder", "ERROR_404_PAGE", "Error 404 Page", "Page not found", "internal server error", "Bot Challenge Captcha", "PageTypeEnum.BOT_CHALLENGE_CAPTCHA", "Unknown Junk", "error"]
+    pages = spark.createDataFrame([(k, "https://shop.example/p", t, "Good lens 5", "Fine.") for k, t in enumerate(residue + labels)], "inspection_id bigint, url string, page_type string, page_title string, page_text string")
+    items = spark.createDataFrame([], "item_id bigint, raw_title string, product_url string")
+    assert {r.record_id for r in tr.found(pages, items).collect()} == set(range(len(residue)))
+
+
 def test_verdicts_do_not_depend_on_what_else_is_mined(spark):
     """A message has the verdict alone that it has among many, since deciding words never vary in a template."""
     messages = [tr.masked(t) for t in RESIDUE + HONEST if t] + [tr.masked(f"the lens of unit {k} is an error of {w}") for k in range(30) for w in ("light", "sound", "colour")]
