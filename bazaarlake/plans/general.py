@@ -44,11 +44,17 @@ def p5_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs such as 8/256GB in raw titles, in MB."""
+    """Pairs such as 8/256GB in raw titles, in MB; p5_memory_all has all amounts of the whole table."""
     told = units.memory_amounts(_table(spark, sf_dir, "canonical_products").where(r"raw_title rlike '(^| )[0-9]{1,2}[+/][0-9]{2,3}GB( |$)' and not raw_title rlike '(?i)ram|memory|up ?to|expand|cards|cloud'"))
     return told.select("id", F.col("ram_told").cast("bigint").alias("ram_mb"), F.col("storage_told").cast("bigint").alias("storage_mb"))
 
 
+def p5_memory_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAM and storage of every product in MB, however its titles or attributes tell them; null where nothing does."""
+    told = units.memory_amounts(_table(spark, sf_dir, "canonical_products"))
+    return told.select("id", F.round("ram_told").cast("bigint").alias("ram_mb"), F.round("storage_told").cast("bigint").alias("storage_mb"))
+
+
 _LAST_RECEIVED = """
     SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY listing_id, updated_at
@@ -121,4 +127,4 @@ SELECT listing_id, CAST(arg_max(current_price_lkr, updated_at) AS DOUBLE) AS pri
 FROM one GROUP BY listing_id""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of, "p5_found": p5_found, "p5_prices": p5_prices, "p5_memory": p5_memory}
+QUERIES = {"p4_found": p4_found, "p4_as_of": p4_as_of, "p5_found": p5_found, "p5_prices": p5_prices, "p5_memory": p5_memory, "p5_memory_all": p5_memory_all}

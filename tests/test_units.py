@@ -58,3 +58,49 @@ def test_memory_fields(spark):
     items, merchants, rates = (f.limit(0) for f in frames(spark))
     got = {(r.record_id, r.field_name): r.amount for r in units.wrong_units(items, merchants, rates, products).collect()}
     assert got == {(1, "storage_gb"): 2097152, (1, "ram_gb"): 8192, (2, "storage_gb"): 64, (2, "ram_gb"): 32, (3, "ram_gb"): 16384, (3, "storage_gb"): 1048576}
+
+
+def by_hand(raw, clean, attributes):
+    """(RAM, storage) in MB as read by plain Python, text by text."""
+    import json
+    import re
+
+    unit = "(terabytes?|tb|t|gigabytes?|gigs?|gb|g|megabytes?|mb)"
+    size = lambda n, u: float(n) * {"t": 1048576, "g": 1024, "m": 1}[u[0]]
+
+    def read(text):
+        s = (text or "").lower()
+        for word, number in {"half a": "0.5", "half": "0.5", "one": "1", "two": "2", "eight": "8"}.items():
+            s = re.sub(rf"\b{word}[ -]+(?=tera|giga|mega|[tgm]b\b)", f"{number} ", s)
+        s = re.sub(rf"(?:micro ?sd|cards?|expand\w*|up ?to)[ :]+(?:up )?(?:to )?[0-9.]+ ?{unit}\b", " ", s)
+        s = re.sub(rf"[0-9.]+ ?{unit} (?:of )?(?:free )?(?:cloud|online|drive)\b", " ", s)
+        s = re.sub(r"\b5g\b", " ", s)
+        if m := re.search(rf"\b(\d+) ?(?:{unit})? ?[+/|] ?(\d+) ?{unit}\b(?! ?(?:ram|memory))", s):
+            return size(m[1], m[2] or "g"), size(m[3], m[4])
+        ram = re.search(rf"([0-9.]+) ?{unit} ?(?:of )?(?:ram|memory)\b", s)
+        rest = s.replace(ram[0], " ", 1) if ram else s
+        one = re.search(rf"\b([0-9.]+) ?{unit}\b", rest)
+        return ram and size(ram[1], ram[2]), one and size(one[1], one[2])
+
+    try:
+        told = {k.lower(): v for k, v in json.loads(attributes or "{}").items()}
+    except ValueError:
+        told = {}
+    named = [read(next((told[k] for k in keys if k in told), None))[1] for keys in (("ram", "ram size", "system ram"), ("storage", "internal memory", "capacity"))]
+    first, second = read(raw), read(clean)
+    return tuple(a if a is not None else b if b is not None else c for a, b, c in zip(first, second, named, strict=True))
+
+
+def test_memory_of_the_whole_table(spark, tmp_path):
+    from bazaarlake.plans import general
+
+    rows = [
+        ("Pumon 9255 8/256GB Handset", None, None), ("Pumon 8GB RAM 128GB", None, None), ("Tab 64 GB", None, None), ("Drive one terabyte", None, None), ("Button phone 64MB 32MB RAM", None, None), ("two TB storage 8 GB memory", None, None),
+        ("Phone 6GB RAM microSD up to 1TB", "Phone 64GB", None), ("5G 16GB+64GB 100GB cloud space", None, None), ("Pumon 9255", "Pumon 9255 4/64GB", '{"RAM": "16 GB"}'), ("x", None, '{"ram size": "16G", "Capacity": "half terabyte"}'),
+        ("8/256GB expandable to 2 TB", None, None), ("4/64GB", "8/128GB", "broken"), (None, None, None), ("", "", "{}"), ("earbuds", "cards and cloud", None),
+    ]
+    df = spark.createDataFrame([(k, None, None, *r) for k, r in enumerate(rows)], "id bigint, storage_gb int, ram_gb int, raw_title string, clean_title string, attributes string")
+    df.write.parquet(f"{tmp_path}/canonical_products.parquet")
+    got = {r.id: (r.ram_mb, r.storage_mb) for r in general.QUERIES["p5_memory_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: by_hand(*r) for k, r in enumerate(rows)}
+    assert len([v for v in got.values() if v != (None, None)]) == 12
