@@ -85,17 +85,35 @@ def x6_cascade(spark: SparkSession, d: str) -> DataFrame:
     return pages.cascade(ready).groupBy(F.col("fact.tier").alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fact.price").cast("decimal(18,2)")).cast("double").alias("total"), F.count_if("usable").alias("usable"))
 
 
-def x13_stock_votes(spark: SparkSession, d: str) -> DataFrame:
+def _votes(mine: DataFrame) -> DataFrame:
     html = F.col("html")
-    voted = _pages(spark, d).select("id", "way", pages.vote(pages.button_signal(html), pages.schema_signal(html), pages.text_signal(html)).alias("v"))
-    return voted.where("way = 'text'").select("id", F.col("v.in_stock").alias("in_stock"), F.col("v.confidence").cast("bigint").alias("confidence"), F.col("v.agreed").alias("agreed"))
+    voted = mine.select("id", pages.vote(pages.button_signal(html), pages.schema_signal(html), pages.text_signal(html)).alias("v"))
+    return voted.select("id", F.col("v.in_stock").alias("in_stock"), F.col("v.confidence").cast("bigint").alias("confidence"), F.col("v.agreed").alias("agreed"))
+
+
+def x13_stock_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes on pages without markup; x13_stock_votes_all has those of all pages."""
+    return _votes(_pages(spark, d).where("way = 'text'"))
+
+
+def x13_stock_votes_all(spark: SparkSession, d: str) -> DataFrame:
+    return _votes(_pages(spark, d))
+
+
+def _polls(mine: DataFrame) -> DataFrame:
+    html, before = F.col("html"), F.coalesce("in_stock", F.lit(False))
+    polled = mine.select("id", pages.polled_price(html).alias("price"), F.col("price").alias("p0"), pages.polled_stock(html, F.lit(200), before).alias("stock"), before.alias("before"))
+    return polled.select("id", "price", "stock", pages.changed(F.col("price"), F.col("p0"), F.col("stock"), F.col("before")).alias("news"))
 
 
 def x17_polled(spark: SparkSession, d: str) -> DataFrame:
-    """What a poll of pages brings, and whether it is news against the price and the stock before."""
-    html = F.col("html")
-    polled = _pages(spark, d).where("way = 'text'").select("id", pages.polled_price(html).alias("price"), F.col("price").alias("p0"), pages.polled_stock(html, F.lit(200), F.lit(None).cast("boolean")).alias("stock"), "in_stock")
-    return polled.select("id", "price", "stock", pages.changed(F.col("price"), F.col("p0"), F.col("stock"), F.coalesce("in_stock", F.lit(False))).alias("news"))
+    """What a poll of pages without markup brings, and whether it is news against the price and the stock before."""
+    return _polls(_pages(spark, d).where("way = 'text'"))
+
+
+def x17_polled_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all pages; stock that a page does not tell is as before."""
+    return _polls(_pages(spark, d))
 
 
 def x15_links(spark: SparkSession, d: str) -> DataFrame:
@@ -380,5 +398,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x8_offers"]
+_NAMES = [*SQL, "x8_offers", "x13_stock_votes_all", "x17_polled_all"]
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -199,3 +199,39 @@ def test_neighbours_equal_brute_force(spark):
     assert {q: sorted(v) for q, v in got.items()} == want
     assert neighbours.nearest(df, df.limit(0), 5).count() == 0
     assert neighbours.nearest_to(df, [1.0, 0.0, 0.0, 0.0], 3).count() == 3
+
+
+def test_votes_and_polls_of_all_pages(spark, data):
+    """Against plain Python, page by page, whatever their markup."""
+    import re
+
+    from bazaarlake.plans import web as plans
+
+    find = lambda p, s: re.search(p, s, re.I | re.A)
+    rows = plans._pages(spark, data).collect()
+    votes = {r.id: (r.in_stock, r.confidence, r.agreed) for r in plans.QUERIES["x13_stock_votes_all"](spark, data).collect()}
+    polls = {r.id: (r.price, r.stock, r.news) for r in plans.QUERIES["x17_polled_all"](spark, data).collect()}
+    assert {r.way for r in rows} == set(plans._WAYS) and len(rows) == len(votes) == len(polls)
+    cart = r"add[\s_-]?to[\s_-]?cart"
+    with_schema = 0
+    for r in rows:
+        low = r.html.lower()
+        shut = find(rf"{cart}[^>]*\bdisabled\b|\bdisabled\b[^>]*{cart}|(?:btn|button)[^>]*(?:out-?of-?stock|sold-?out|unavailable)", r.html)
+        button = False if shut else True if find(rf"{cart}|buy[\s_-]?now", r.html) else None
+        schema = find(r"availability\W+(?:https?://schema\.org/)?(InStock|OutOfStock|SoldOut|PreOrder|BackOrder|Discontinued)", r.html)
+        schema = schema and schema[1].lower() == "instock"
+        words = False if any(w in low for w in pages.SOLD_OUT) else True if any(w in low for w in pages.IN_STOCK) else None
+        signals = [button, schema, words]
+        said = next((v for v in (True, False) if signals.count(v) >= 2), None)
+        assert votes[r.id] == (said, signals.count(said) if said is not None else 0, said is not None), r
+        with_schema += schema is not None
+
+        found = [find(r'"price"\s*:\s*["\']?([\d,]+(?:\.\d{2})?)', r.html), find(r"(?:Rs\.?|LKR)\s*([\d,]{3,}(?:\.\d{2})?)", r.html)]
+        numbers = [float(m[1].replace(",", "")) for m in found if m and m[1].strip(",")]
+        price = next((n for n in numbers if n > 0), None)
+        before = bool(r.in_stock)
+        there = find(r"\b(in stock|add to cart|buy now|available)\b", r.html)
+        out = find(r"\b(out of stock|sold out|unavailable|discontinued|no stock)\b", r.html)
+        stock = True if there else False if out else before
+        assert polls[r.id] == (price, stock, (price is not None and abs(price - r.price) > 0.01) or stock != before), r
+    assert with_schema > 0
