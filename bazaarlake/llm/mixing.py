@@ -79,8 +79,8 @@ def mixture(
     shares: source, target_share, max_repeats, docs_available, tokens_available, target_tokens, actual_tokens,
     docs_used, actual_share, short_by (tokens); one row per row of ``targets``, also where nothing is there.
 
-    Without ``total_tokens`` the total is the largest at which every source that has any tokens meets its
-    target. A source without tokens gets nothing and is reported as short of its whole target; the others'
+    Without ``total_tokens`` the total is the largest at which every source that has any tokens and a cap
+    above 0 meets its target. A source without tokens or with cap 0 gets nothing and is reported as short of its whole target; the others'
     budgets stay target_share of the total. Documents of no target source, without source or without tokens
     are not used; a null share or cap counts as 0; a source named twice in ``targets`` has its shares added
     and its lowest cap. A null doc_id is a document like any other.
@@ -102,7 +102,7 @@ def mixture(
     have = spread.groupBy("source").agg(F.sum("docs").alias("docs_available"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens_available"))
     stock = wanted.join(have, "source", "left").fillna(0, ["docs_available", "tokens_available"])
     if total_tokens is None:
-        whole = stock.where("tokens_available > 0 and target_share > 0").agg(
+        whole = stock.where("tokens_available > 0 and target_share > 0 and max_repeats > 0").agg(
             F.min(F.floor(F.col("tokens_available") * F.col("max_repeats") / F.col("target_share"))).alias("total")
         )
     else:

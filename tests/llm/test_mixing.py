@@ -58,6 +58,18 @@ def test_shares_and_caps_hold(spark, monkeypatch, parts):
     assert sum(r.actual_share for r in told.values()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("cap", [0, None, -1])
+def test_a_source_with_cap_0_leaves_the_others_whole(spark, cap):
+    docs, _ = frames(spark)
+    targets = spark.createDataFrame([("hot", 0.5, 1), ("small", 0.3, 3), ("other", 0.2, cap)], "source string, target_share double, max_repeats int")
+    picked, shares = mixing.mixture(docs, targets)
+    told = {r.source: r for r in shares.collect()}
+    assert {r.source for r in picked.select("source").distinct().collect()} == {"hot", "small"}
+    assert told["hot"].actual_tokens > 0 and told["other"].tokens_available > 0
+    assert all(abs(told[s].short_by) <= 1 for s in ("hot", "small"))
+    assert told["other"].actual_tokens == 0 and told["other"].short_by == told["other"].target_tokens > 0
+
+
 def test_a_total_beyond_reach_is_reported(spark):
     docs, targets = frames(spark)
     _, shares = mixing.mixture(docs, targets, total_tokens=10**6)
