@@ -64,11 +64,17 @@ ALIKE = 0.7
 
 _WORD = "|".join(SLOT_WORDS)
 _NAME = rf"(?:(?:[A-Za-z]\w*[_.\-])+[A-Za-z0-9]+|[a-z]+[A-Z]\w*|(?i:(?:{_WORD})+)|(?i:[\w ]{{2,30}} here))"
-_ANY = r"[A-Za-z_][\w.\- ]{0,40}"
-#: Slots: any name between strong delimiters, slot names between weak ones.
+
+
+def _within(opening: str, closing: str) -> str:
+    """Any run that holds a letter or _ between two delimiters."""
+    return rf"{opening}(?:(?!{closing})[^\p{{L}}_])*+(?!{closing})[\p{{L}}_](?:(?!{closing}).)*+{closing}"
+
+
+#: Slots: any run between strong delimiters, slot names between weak ones.
 SLOTS = "|".join(
     [
-        rf"\{{\{{\{{?\s*{_ANY}\s*\}}?\}}\}}", rf"[$#]\{{\s*{_ANY}\s*\}}", rf"<%[=\-]?\s*{_ANY}\s*%>", rf"\{{%\s*{_ANY}\s*%\}}", rf"\[\[\s*{_ANY}\s*\]\]", rf"<<\s*{_ANY}\s*>>", r"@@[A-Za-z_][\w.\-]*@@", r"(?<![A-Za-z0-9])__[A-Za-z][\w.\-]*?__(?![A-Za-z0-9])",
+        _within(r"\{\{", r"\}\}"), _within(r"[$#]\{", r"\}"), _within("<%", "%>"), _within(r"\{%", r"%\}"), _within(r"\[\[", r"\]\]"), _within("<<", ">>"), r"@@[\p{L}_][\p{L}\p{M}\p{N}_.\-]*@@", r"(?<![\p{L}\p{N}])__\p{L}[\p{L}\p{M}\p{N}_.\-]*?__(?![\p{L}\p{N}])",
         rf"(?<![\w{{$#])\{{\s?(?:{_NAME}|\d{{1,2}})\s?\}}(?![\w}}])", rf"(?<![\w%])%{_NAME}%(?![\w%])", rf"(?<![\w~])~{_NAME}~(?![\w~])", rf"(?<![\w$])\$(?:{_NAME})\$(?![\w$])", rf"(?<![\w:]):{_NAME}:(?![\w:])", rf"(?<![\w\[])\[{_NAME}\](?![\w\]])",
         rf"(?<![\w<])<(?!/)(?:{_NAME})>(?![\w>])",
     ]

@@ -84,6 +84,13 @@ def test_messages_that_the_gate_once_dropped(spark):
     assert {texts[r.record_id] for r in tr.residue(df).collect()} == set(texts)
 
 
+def test_slots_of_any_name(spark):
+    slots = ["{{ title | upper }}", "{{ item['name'] }}", "{{ catalogue.section.product.attributes.display_name.value }}", "{{නම}}", "${பெயர்}", "<%= item[:name].upcase %>", "{% if item.name == 'x' %}", "[[ page['type'] ]]", "<<product: name>>", "@@මිල@@", "__නම__", "#{item['model']}"]
+    honest = ["{ curly } { }", "set {{ }} of 5", "[[5]] pack", "a {{ never closed", "5 << 6", "$5 {2-in-1} trimmer", "{{" + " long text" * 5000]
+    df = spark.createDataFrame([("p", k, "page_title", f"Phone {t} 64GB", "x") for k, t in enumerate(slots + honest)], "source_table string, record_id bigint, field string, text string, host string")
+    assert {r.record_id: r.kind for r in tr.residue(df).collect()} == dict.fromkeys(range(len(slots)), "slot")
+
+
 def test_page_types_are_judged_and_labels_are_none(spark):
     residue = ["lorem ipsum dolor", "placeholder text", "TODO: add title", "test test test", "tbc - copy to follow", "Please enable JavaScript", "Just a moment..."]
     labels = ["PRODUCT_PAGE", "Product Page", "CATEGORY_GRID", "OUT_OF_STOCK_PLACEHOLDER", "Out Of Stock Placeholder", "ERROR_404_PAGE", "Error 404 Page", "Page not found", "internal server error", "Bot Challenge Captcha", "PageTypeEnum.BOT_CHALLENGE_CAPTCHA", "Unknown Junk", "error"]
