@@ -205,12 +205,12 @@ def s11_robots(spark: SparkSession, d: str) -> DataFrame:
     return rules.select("domain", F.array_join("sitemaps", " ").alias("sitemaps"), F.array_join("disallows", " ").alias("disallows"))
 
 
-def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
-    """An index per merchant, a sitemap of its pages each, and an index over all."""
+def _sitemaps(spark: SparkSession, d: str, indexed: str = "id % 2 = 0") -> DataFrame:
+    """The locations in a sitemap of each merchant's pages and in the index of each merchant that is indexed."""
     sites = _table(spark, d, "merchants").select("id", "domain")
     one = _table(spark, d, "page_inspections").join(small(sites), F.col("merchant_id") == F.col("id")).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
     leaf = one.select(F.concat("domain", F.lit("/pages.xml")).alias("url"), F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("body"))
-    index = sites.where("id % 2 = 0").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex><sitemap><loc>"), "domain", F.lit("/pages.xml</loc></sitemap><loc></loc></SitemapIndex>")).alias("body"))
+    index = sites.where(indexed).select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex><sitemap><loc>"), "domain", F.lit("/pages.xml</loc></sitemap><loc></loc></SitemapIndex>")).alias("body"))
     return web.sitemap_locations(leaf.unionByName(index))
 
 
@@ -218,11 +218,22 @@ def s12_sitemap_locs(spark: SparkSession, d: str) -> DataFrame:
     return _sitemaps(spark, d).groupBy("is_index").agg(F.count(F.lit(1)).alias("n"))
 
 
+def s12_sitemap_locs_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same where every merchant has an index."""
+    return _sitemaps(spark, d, "true").groupBy("is_index").agg(F.count(F.lit(1)).alias("n"))
+
+
 def s13_sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
     starts = _table(spark, d, "merchants").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"))
     return graph.sitemap_leaves(_sitemaps(spark, d), starts)
 
 
+def s13_sitemap_walk_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same where every merchant has an index."""
+    starts = _table(spark, d, "merchants").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"))
+    return graph.sitemap_leaves(_sitemaps(spark, d, "true"), starts)
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Products that one merchant lists next to each other, as links."""
     a = _table(spark, d, "listings").select("merchant_id", "product_id", "id")
@@ -234,6 +245,12 @@ def q7_reached(spark: SparkSession, d: str) -> DataFrame:
     return graph.reached(_edges(spark, d), seeds, 3).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
+def q7_reached_all(spark: SparkSession, d: str) -> DataFrame:
+    """What is reached in three steps from the first listing of each merchant."""
+    seeds = _table(spark, d, "listings").groupBy("merchant_id").agg(F.min_by("product_id", "id").alias("node")).select("node")
+    return graph.reached(_edges(spark, d), seeds, 3).select("node", F.col("depth").cast("bigint").alias("depth"))
+
+
 def f25_conditions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("raw_title")
     return _table(spark, d, "canonical_products").select("id", titles.condition(t).alias("condition"), titles.sub_model(t).alias("sub_model"), titles.memory(t)["ram_gb"].alias("ram_gb"), titles.memory(t)["storage_gb"].alias("storage_gb"), titles.no_phone(t).alias("no_phone"))
@@ -398,5 +415,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x8_offers", "x13_stock_votes_all", "x17_polled_all"]
+_NAMES = [*SQL, "x8_offers", "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -235,3 +235,36 @@ def test_votes_and_polls_of_all_pages(spark, data):
         stock = True if there else False if out else before
         assert polls[r.id] == (price, stock, (price is not None and abs(price - r.price) > 0.01) or stock != before), r
     assert with_schema > 0
+
+
+def test_walks_from_every_merchant(spark, data):
+    """Against plain Python, with every merchant's index and first listing."""
+    from bazaarlake.plans import web as plans
+
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{data}/{name}.parquet").select(*columns).collect()]
+    domains = dict(read("merchants", "id", "domain"))
+    leaves = {(domains[m], u) for m, u in read("page_inspections", "merchant_id", "url") if m in domains and u}
+    assert {r.loc for r in plans.QUERIES["s13_sitemap_walk_all"](spark, data).collect()} == {u for _, u in leaves}
+    assert dict(map(tuple, plans.QUERIES["s12_sitemap_locs_all"](spark, data).collect())) == {False: len(leaves), True: len(domains)}
+
+    mine = {}
+    for k, m, p in sorted(read("listings", "id", "merchant_id", "product_id")):
+        mine.setdefault(m, []).append((k, p))
+    after = {}
+    for listed in mine.values():
+        for k, p in listed:
+            after.setdefault(p, set()).update(q for j, q in listed if 1 <= j - k <= 40)
+    depth = {listed[0][1]: 0 for listed in mine.values()}
+    edge = set(depth)
+    for step in (1, 2, 3):
+        edge = {q for p in edge for q in after.get(p, ())} - set(depth)
+        depth |= dict.fromkeys(edge, step)
+    assert dict(map(tuple, plans.QUERIES["q7_reached_all"](spark, data).collect())) == depth
+
+
+def test_pages_without_an_index_are_not_reached(spark):
+    from bazaarlake.sources import web
+
+    files = spark.createDataFrame([("a/sitemap.xml", "<sitemapindex><sitemap><loc>a/pages.xml</loc></sitemap></sitemapindex>"), ("a/pages.xml", "<urlset><loc>a/1</loc></urlset>"), ("b/pages.xml", "<urlset><loc>b/1</loc></urlset>")], "url string, body string")
+    starts = spark.createDataFrame([("a/sitemap.xml",), ("b/sitemap.xml",)], "url string")
+    assert [r.loc for r in graph.sitemap_leaves(web.sitemap_locations(files), starts).collect()] == ["a/1"]
