@@ -1,10 +1,10 @@
 """Template residue, filler, error pages and script notices in records.
 
 Two detectors. Unresolved slots and what failed fills leave behind are found inside ordinary records by
-pattern. Messages that stand instead of content are found by their templates: messages that hold any cue are
-mined with a fixed-depth prefix tree (length, then the first tokens), each template is classified once, and
-its verdict is propagated to all its messages. A field is residue if it holds filler, or if it holds an error
-message or a script notice and no content beside it.
+pattern. Messages that stand instead of content are found by their templates: all messages of all fields are
+mined with a fixed-depth prefix tree (length, then the first tokens), each template is classified once, by its
+constant words and by what mining tells of it, and its verdict is propagated to all its messages. A field is
+residue if it holds filler, or if it holds an error message or a script notice and no content beside it.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small, stored
+from . import message_classifier
+from .message_classifier import KINDS, Classifier
 
 # Words that name slots; between weak delimiters only these, and compounds, make a slot.
 SLOT_WORDS = (
@@ -25,42 +28,20 @@ SLOT_WORDS = (
 ).split()
 # What a failed fill prints.
 EMPTY_WORDS = "null undefined nan none nil".split()
-# Filler, each standing for a whole message; \d+ for a number.
-FILLERS = [
-    r"your (?:headline|text|title|content|description|message) (?:goes )?here", r"type your text here", r"(?:insert|enter|add) (?:\w+ )?(?:description|title|text|name|headline|copy)(?: here)?",
-    r"tbc(?: - copy to follow)?", r"tba - copy to follow", r"copy to follow", r"(?:product |page |item )?(?:title|name|description|text) goes here", r"product name \d+", r"product title", r"(?:demo|test|dummy|sample|example) (?:product|item|page|listing|title)(?: #?\d+)?(?: do not buy)?",
-    r"todo:? (?:write|add|insert|fill in)? ?(?:title|text|description|copy|name)", r"new (?:product|item|page) \(copy \d+\)", r"(?:new |untitled )(?:product|item|page|document)(?: \d+)?", r"placeholder(?: text| title)?", r"lorem ipsum(?: dolor sit amet)?", r"coming soon text",
-]
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
-    "veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit "
-    "esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-).split()
-# Error messages.
-ERRORS = [
-    r"(?:this |the )?page (?:could not be|was not|cannot be|can't be|not) found", r"page not found", r"not found", r"we can't seem to find what you are looking for", r"we could not find (?:that|this|the) page", r"the link is broken or was removed", r"no such (?:product|page|item)",
-    r"the (?:item|page|product) you (?:requested|are looking for) (?:does not exist|could not be found|was not found|was removed)", r"something went wrong(?: on our side)?", r"(?:an )?(?:unexpected |internal )?(?:server )?error (?:has )?occurred", r"internal server error", r"bad gateway", r"bad request", r"gateway time(?:d )?-?out",
-    r"(?:the )?service (?:is )?(?:temporarily )?unavailable", r"we are (?:currently )?down for maintenance", r"(?:under|down for) maintenance", r"too many requests(?:, (?:please )?try again later)?", r"(?:your )?request (?:was |has been )?(?:blocked|timed out|denied)", r"(?:your )?access (?:was |has been |is )?denied", r"forbidden",
-    r"you do not have permission to (?:view|access) this (?:resource|page)", r"(?:the )?database connection (?:has )?failed", r"unexpected end of (?:input|file)", r"the server took too long to (?:reply|respond)", r"connection (?:timed out|refused|reset)", r"page introuvable", r"seite nicht gefunden", r"página no encontrada", r"pagina non trovata",
-    r"පිටුව හමු නොවීය", r"සේවාදායක දෝෂයකි", r"பக்கம் கிடைக்கவில்லை", r"சேவையக பிழை", r"(?:please )?try again later",
-]
-# Notices that scripts are required, and bot checks.
-_SCRIPTS = r"(?:java ?script(?: and cookies)?|cookies and java ?script|js(?: and cookies)?|(?:browser )?script(?:s|ing)?(?: support)?(?: and cookies)?)"
-NOTICES = [
-    rf"(?:please |kindly )?(?:enable|activate|turn on|switch on|allow) {_SCRIPTS}", rf"you (?:need to|must|have to) (?:enable|activate|turn on|switch on|allow) {_SCRIPTS}", rf"(?:this |the )?(?:shop|site|page|app|we|store|website)(?: needs?| requires?| require) {_SCRIPTS}",
-    rf"your browser (?:has disabled|does not support|has turned off) {_SCRIPTS}", rf"{_SCRIPTS} (?:is|are) (?:required|disabled|off)(?: in this browser)?", r"noscript", r"just a moment", r"checking (?:if the site connection is secure|your browser(?: before (?:access|you access|accessing))?)", r"verify(?:ing)? (?:that )?you are (?:a )?human",
-    r"attention required", r"one more step", r"are you a robot", r"complete the captcha",
-]
-# What goes with such messages and is no content.
-AROUND = [
-    r"http", r"(?:fatal )?error", r"exception", r"oops", r"uh-oh", r"whoops", r"sorry", r"warning", r"request id #", r"ray(?: id)? #", r"contact the .{1,40} desk", r"go back(?: to the home ?page)?", r"try searching(?: .{1,60})?", r"status(?: code)?", r"code", r"#",
-    r"to (?:view this page|continue|proceed|see prices)", r"in order to (?:view this page|continue|see prices)", r"so that this (?:app|page|site|shop) can (?:run|load|be shown)", r"before the (?:shop|page|site) can be shown", r"and (?:reload|try again|refresh)", r"the item", r"please",
-]
-
-#: Fewest tokens of a message's prefix that the tree branches on, after the length.
-DEPTH = 3
+#: Tokens of a message's beginning that the tree branches on, after the length; a leaf that more distinct messages
+#: share branches on as many again, so no leaf grows with the corpus.
+DEPTH, DEEPER, FULL = 3, 3, 20_000
 #: Share of equal tokens at which a message joins a template.
-ALIKE = 0.7
+ALIKE = 0.6
+#: Messages of a template, the first by order, whose varying words are looked at.
+SHOWN = 8
+#: A template is no content where the probability of content is below this.
+CONTENT = 0.3
+#: Below this, words of filler count within a field that has content as well.
+SURE = 0.05
+#: How often a page that is nothing but an error is flagged as one (by status, say), the pages and hosts that must
+#: have shown a template before flags count, and the most that flags may add to a template's log odds.
+FLAGGED, WITNESSES, MOST_ODDS = 0.75, 3, 4.0
 
 _WORD = "|".join(SLOT_WORDS)
 _NAME = rf"(?:(?:[A-Za-z]\w*[_.\-])+[A-Za-z0-9]+|[a-z]+[A-Z]\w*|(?i:(?:{_WORD})+)|(?i:[\w ]{{2,30}} here))"
@@ -85,137 +66,177 @@ _EMPTY = "|".join(EMPTY_WORDS)
 #: A field of nothing but empty values and units, or one with two of them.
 EMPTY = rf"(?i)^[\s\W]*(?:(?:{_EMPTY})(?:[\s\W]+|$)|\d+\s?(?:gb|tb|mb)\b[\s\W]*)*(?<![a-z])(?:{_EMPTY})(?![a-z])(?:[\s\W]*(?:(?:{_EMPTY})\b|\d*\s?(?:gb|tb|mb|lkr|rs)\b))*[\s\W]*$|(?i)\b({_EMPTY})\s+(?:\1)\b"
 
-def _cue(phrase: str) -> str:
-    """A phrase as it may stand in a text in lower case: any blanks, any number or id, and no optional words before it."""
-    while (cut := re.sub(r"^\(\?:[^()]*\)\?", "", phrase)) != phrase:
-        phrase = cut
-    return phrase.replace(r"\d", r"\S").replace(r"\w", r"\S").replace(" ", r"(?:[\s\x1c-\x1f]+)")
-
-
-#: What a text holds if any of its messages can be filler or an error: a listed phrase, a filler word, or a word said twice.
-CUES = (
-    rf"(?i)(?<![a-z_])(?:{'|'.join(_cue(p) for p in [*FILLERS, *ERRORS, *NOTICES])})"
-    rf"|(?<![a-z])(?:{'|'.join(w for w in LOREM if len(w) > 3)})(?![a-z])"
-    r"|(?<!\w)(\w{2,}+)\W++\1(?!\w)"
-)
-#: The same for Java and texts in lower case.
-_LOWER_CUES = "(?U)" + CUES.removeprefix("(?i)")
-
 #: Marks that any slot has, and words that any empty value has: looked for first, since most texts have none.
 _MARKED = r"[{}<>%$~@\[]|__|:[A-Za-z]"
 _EMPTIES = rf"(?i)\b(?:{_EMPTY})\b"
 
-_TOKEN = re.compile(r"\w+(?:['’\-/.]\w+)*|[^\w\s]", re.UNICODE)
-_HEXED = re.compile(r"(?<![^\W_])(?=[0-9a-f]*\d)[0-9a-f]{3,}(?![^\W_])|\d+", re.IGNORECASE)
-
-
-def masked(message: str) -> str:
-    """A message in lower case with # for numbers and hexadecimal ids."""
-    return _HEXED.sub("#", message.lower()).strip()
-
-
-def _whole(patterns: list[str]) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in sorted(patterns, key=len, reverse=True)))
-
-
-_FILLER = re.compile("(?:(?:" + "|".join(sorted(FILLERS, key=len, reverse=True)).replace(r"\d+", "#") + r"|(\w{2,})(?:\W+\1\b){2,}|(asdf|test|blah|xxxx|qwerty|foo)(?: \2\b)+)(?!\w)[\s\W]*)+")
-_ERROR, _NOTICE = _whole([rf"(?<!\w){e}(?!\w)" for e in ERRORS]), _whole([rf"(?<!\w){n}(?!\w)" for n in NOTICES])
-#: Script notices for Java.
-_NOTED = "|".join(rf"(?<!\w)(?:{n})(?!\w)" for n in NOTICES)
-_AROUND = _whole([rf"(?<!\w){a}(?!\w)" if a != "#" else "#" for a in AROUND])
-_LOREM = frozenset(LOREM)
-#: Words that keep a template together: two messages that differ in one of them never share a template.
-_KEPT = frozenset(w for p in [*FILLERS, *ERRORS, *NOTICES, *AROUND] for w in re.findall(r"\w+", p.replace("\\w", " ").replace("\\d", " "))) | _LOREM
-
-
-def verdict(template: str) -> str:
-    """'filler', 'error', 'around' or 'content' for a masked message or a template with <*> for what varies."""
-    text = re.sub(r"\s+", " ", template).strip()
-    words = re.findall(r"[^\W\d_]+", text)
-    if _FILLER.fullmatch(text.strip(" .!?-–|/:*\"'")) or _FILLER.fullmatch(text):
-        return "filler"
-    if len(words) >= 3 and sum(w in _LOREM for w in words) >= 0.8 * len(words) and sum(len(w) > 3 and w in _LOREM for w in words) >= 2:
-        return "filler"
-    parts = [p for p in re.split(r"\s*/\s*", text) if p]
-    if len(parts) > 1 and all(verdict(p) == "filler" for p in parts):
-        return "filler"
-    rest, errors = _ERROR.subn(" ", text)
-    rest, notices = _NOTICE.subn(" ", rest)
-    # A trailing name after a separator, such as that of the shop, is no content if an error stands before it.
-    rest = _AROUND.sub(" ", rest)
-    left = re.sub(r"[^\w<>*]+", " ", rest, flags=re.UNICODE).strip()
-    if not left:
-        return "error" if errors + notices else "around"
-    if errors + notices:
-        head, sep, tail = re.sub(r"(?<=\w)[|–-](?=\w)", "", rest).rpartition(" | ")
-        if not sep:
-            head, sep, tail = rest.rpartition(" - ")
-        if sep and not re.search(r"\w", head) and re.search(r"\w", tail) and len(tail.split()) <= 3 and _ERROR.search(text.rpartition(sep)[0]):
-            return "error"
-    return "content"
+
+#: Tokens are words and separators that stand alone; separators do not count for how much messages have in common.
+_TOKENS = r"[\p{L}\p{M}\p{N}#]+(?:['’\-/.][\p{L}\p{M}\p{N}#]+)*|(?<!\S)[|–-](?!\S)"
+_SIGNS = frozenset("|–-")
 
 
 class PrefixTree:
-    """Templates by length and first tokens; a leaf holds the templates that begin alike."""
-
-    def __init__(self, depth: int = DEPTH, alike: float = ALIKE):
-        self.depth, self.alike, self.leaves = depth, alike, {}
-
-    def place(self, message: str) -> tuple[list[str], str]:
-        """The template that a masked message joins or founds, and its verdict, settled as it is founded."""
-        tokens = _TOKEN.findall(message)
-        leaf = self.leaves.setdefault((len(tokens), *tokens[: self.depth]), [])
-        best, most = None, self.alike * len(tokens)
-        for entry in leaf:
-            same = 0
-            for a, b in zip(entry[0], tokens, strict=True):
+    """The templates of messages that begin alike; those of one tree have one length.
+
+    A message joins the template with which it has most tokens in common, ``alike`` of them at least, if no word
+    that the classifier knows differs; where they differ the template varies from then on. Candidates are found
+    by the tokens they must share, so a full leaf is not searched from end to end.
+    """
+
+    def __init__(self, telling=lambda word: False, alike: float = ALIKE):
+        self.telling, self.alike = telling, alike
+        self.templates: list[list[str]] = []
+        self._at: dict[tuple[int, str], list[int]] = {}
+
+    def place(self, tokens: list[str]) -> int:
+        """The number of the template that a message joins or founds."""
+        words = [k for k, t in enumerate(tokens) if t not in _SIGNS]
+        needed = max(1, int(np.ceil(self.alike * len(words) - 1e-9)))
+        lists = sorted((self._at.get((k, tokens[k]), ()) for k in words), key=len)
+        best, most = -1, needed - 1
+        # Whoever shares that many words shares one of any words - needed + 1 of them: the rarest are looked at.
+        for number in sorted({n for found in lists[: len(words) - needed + 1] for n in found}):
+            template, same = self.templates[number], 0
+            for a, b in zip(template, tokens, strict=True):
                 if a == b:
-                    same += 1
-                elif a in _KEPT or b in _KEPT:
+                    same += b not in _SIGNS
+                elif self.telling(b) or (a != "<*>" and self.telling(a)):
                     same = -1
                     break
-            if same >= most:
-                best, most = entry, same
-        if best is None:
-            best = [tokens, verdict(message)]
-            leaf.append(best)
-        else:
-            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], tokens, strict=True)]
-        return best[0], best[1]
-
-
-def leaf_of(message: str, depth: int = DEPTH) -> str:
-    tokens = _TOKEN.findall(message)
-    return " ".join([str(len(tokens)), *tokens[:depth]])
+            if same > most:
+                best, most = number, same
+        if best < 0:
+            self.templates.append(list(tokens))
+            for k, t in enumerate(tokens):
+                self._at.setdefault((k, t), []).append(len(self.templates) - 1)
+            return len(self.templates) - 1
+        template = self.templates[best]
+        for k, (a, b) in enumerate(zip(template, tokens, strict=True)):
+            if a != b and a != "<*>":
+                self._at[k, a].remove(best)
+                template[k] = "<*>"
+        return best
+
+
+def odds_of_flags(flagged: int, judged: int, hosts: bool, usual: float) -> float:
+    """What a template's flags add to its log odds of being no content: 0 for few pages, or pages of one host.
+
+    Nothing is taken away: pages of filler are flagged by nobody.
+    """
+    if judged < WITNESSES or not hosts or not 0 < usual < FLAGGED:
+        return 0.0
+    odds = flagged * np.log(FLAGGED / usual) + (judged - flagged) * np.log((1 - FLAGGED) / (1 - usual))
+    return float(np.clip(odds, 0.0, MOST_ODDS))
 
 
-def _mask_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        messages = [masked(m) if m else "" for m in batch.column("message").to_pylist()]
-        columns = [batch.column(c) for c in ("source_table", "record_id", "field")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(messages, pa.string()), pa.array(map(leaf_of, messages), pa.string())], names=["source_table", "record_id", "field", "message", "leaf"])
+def verdict(model: Classifier, template: str, odds: float = 0.0, messages: list[str] = ()) -> tuple[str, float]:
+    """(kind, probability of content) of a template, <*> standing for what varies; ``odds`` is what mining adds.
 
+    Its constant words weigh as much as all words of some of its ``messages``, so what varies counts half: names
+    in an error's message do not make it content, and content of one build stays content. The words of an error
+    also stand with a name of up to three words after a separator, such as a shop's.
+    """
 
-def _mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree, leaf = PrefixTree(), None
-    for batch in batches:
-        out = []
-        for here, message in zip(batch.column("leaf").to_pylist(), batch.column("message").to_pylist(), strict=True):
-            if here != leaf:  # rows come leaf by leaf: a task holds the templates of one leaf
-                tree, leaf = PrefixTree(), here
-            template, found = tree.place(message)
-            out.append((message, " ".join(template), found))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["message", "template", "verdict"])
+    def judged(text: str) -> tuple[str, float]:
+        scores = model.scores(text)
+        if "<*>" in text and messages:
+            scores = (scores + sum(map(model.scores, messages)) / len(messages)) / 2
+        rest = np.logaddexp.reduce(scores[1:])
+        content = 1 / (1 + np.exp(np.clip(rest - scores[0] + odds, -700, 700)))
+        if content >= CONTENT or not model.can_tell(text):
+            return "content", float(content)
+        return KINDS[1 + int(scores[1:].argmax())], float(content)
+
+    kind, content = judged(template)
+    if kind == "content":
+        head, sign, tail = re.sub(r"\s+", " ", template).rpartition(" | ")
+        if not sign:
+            head, sign, tail = re.sub(r"\s+", " ", template).rpartition(" - ")
+        if sign and 0 < len(message_classifier.words_of(tail)) <= 3 and "#" not in tail:
+            before = judged(head)
+            kind, content = before if before[0] in ("error", "notice") else (kind, content)
+    return kind, content
+
+
+def _mine(model, usual: float):
+    """Rows (leaf, key, message, tokens, ...) sorted by leaf -> a row for each message and, as a leaf ends, for each template."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, here, sums = None, None, []
+        out: list[list] = [[] for _ in range(6)]
+
+        def close() -> None:
+            for number, (template, (n, flagged, judged, low, high, some)) in enumerate(zip(tree.templates if tree else [], sums, strict=True)):
+                said = " ".join(template)
+                odds = odds_of_flags(flagged, judged, low != high, usual)
+                kind, content = verdict(model.value, said, odds, some)
+                for column, value in zip(out, (None, f"{here} {number}", said, kind, content, n), strict=True):
+                    column.append(value)
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.int64())],
+                names=["message", "template_id", "template", "verdict", "content", "records"],
+            )
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("leaf", "message", "tokens", "n", "flagged", "judged", "low", "high")]
+            for leaf, message, tokens, n, flagged, judged, low, high in zip(*columns, strict=True):
+                if leaf != here:
+                    close()
+                    tree, here, sums = PrefixTree(model.value.telling), leaf, []
+                number = tree.place(tokens)
+                if number == len(sums):
+                    sums.append([0, 0, 0, low, high, []])
+                total = sums[number]
+                total[0], total[1], total[2] = total[0] + n, total[1] + flagged, total[2] + judged
+                if len(total[5]) < SHOWN:
+                    total[5].append(message)
+                if low is not None:
+                    total[3], total[4] = (low, high) if total[3] is None else (min(total[3], low), max(total[4], high))
+                for column, value in zip(out, (message, f"{leaf} {number}", None, None, None, n), strict=True):
+                    column.append(value)
+            yield rows()
+        close()
+        yield rows()
+
+    return run
+
+
+def classifier_of(messages: DataFrame) -> Classifier:
+    """The classifier for a corpus of messages (message, leaf, n, flagged, judged): fitted to the examples and a bounded pool.
+
+    Half of the pool are two messages of each leaf that most records have, half are taken by hash. Messages that
+    mostly flagged pages show are kept out of it, since it stands for content.
+    """
+    half, usable = message_classifier.POOL // 2, messages.where("flagged * 2 <= judged")
+    leaves = usable.groupBy("leaf").agg(F.sum("n").alias("n"), F.min("message").alias("a"), F.max("message").alias("b")).where("a < b")
+    alike = leaves.orderBy(F.desc("n"), "leaf").limit(half // 2).select("a", "b").collect()
+    drawn = usable.select("message").orderBy(F.xxhash64("message"), "message").limit(half).collect()
+    return message_classifier.fit([r[0] for r in drawn], [tuple(r) for r in alike])
 
 
 def mined(messages: DataFrame) -> DataFrame:
-    """(message, template, verdict) of each distinct masked message (message, leaf).
+    """(message, template_id) of each message and (template_id, template, verdict, content, records) of each template.
 
-    A template is shown as it stood when the message joined it; its verdict was settled by its first message
-    and holds for all, since words that decide verdicts never vary within a template.
+    ``messages`` has (message, n, flagged, judged, low, high): each masked message once, the records that have it,
+    how many of those that show nothing else are flagged as errors, how many could be, and the least and the
+    greatest host. Rows of messages have a null verdict, rows of templates a null message. Only words that every
+    message of a template has count for its verdict, and so do its flags, if several hosts show it.
     """
-    one = messages.select("leaf", "message").distinct()
-    return one.repartition("leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine, "message string, template string, verdict string")
+    leaf = lambda depth: F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
+    first = messages.select("*", F.regexp_extract_all("message", F.lit(_TOKENS), F.lit(0)).alias("tokens")).withColumn("leaf", leaf(DEPTH))
+    usual = messages.agg(F.sum("flagged"), F.sum("judged")).first()
+    usual = (usual[0] or 0) / usual[1] if usual[1] else 0.0
+    model = messages.sparkSession.sparkContext.broadcast(classifier_of(first))
+    full = first.groupBy("leaf").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > FULL).select("leaf", F.lit(True).alias("full"))
+    placed = first.join(small(full), "leaf", "left").withColumn("leaf", F.when(F.col("full"), leaf(DEPTH + DEEPER)).otherwise(F.col("leaf")))
+    rows = placed.select("leaf", "message", "tokens", "n", "flagged", "judged", "low", "high").repartition("leaf").sortWithinPartitions("leaf", "message")
+    return rows.mapInArrow(_mine(model, usual), "message string, template_id string, template string, verdict string, content double, records bigint")
 
 
 def _letters(col: Column) -> Column:
@@ -229,37 +250,60 @@ def _without_shop(message: Column, host: Column) -> Column:
         tail = F.regexp_extract(message, rf"((?:^|[\s|–-]+)(?:[\p{{L}}\p{{N}}().]+\s+){{{words - 1}}}[\p{{L}}\p{{N}}().]+)[\s.]*$", 1)
         name = F.regexp_replace(_letters(tail), "pvtltd$", "")
         out = F.when((F.length(name) >= 4) & host.startswith(name), F.substring(message, F.lit(1), F.greatest(F.lit(0), F.length(F.rtrim(message)) - F.length(tail)))).otherwise(out)
-    return out
+    # Most messages end with no word of the host's name.
+    last = _letters(F.regexp_extract(message, r"([\p{L}\p{N}().]+)[\s.]*$", 1))
+    return F.when(F.coalesce(host.contains(F.regexp_replace(last, "^pvtltd$|^ltd$", "")), F.lit(False)), out).otherwise(message)
+
+
+def _masked(message: Column) -> Column:
+    """A message in lower case, without tags and entities, # for numbers and hexadecimal ids, one blank between words."""
+    bare = F.regexp_replace(message, r"<[^<>]{1,200}>|&#?\w{2,8};", " ")
+    ids = F.regexp_replace(F.lower(bare), r"(?<![\p{L}\p{N}])(?=[0-9a-f]*[0-9])[0-9a-f]{3,}(?![\p{L}\p{N}])|[0-9]+", "#")
+    return F.trim(F.regexp_replace(ids, r"(?U)\s+", " "))
+
+
+def messages_of(fields: DataFrame) -> DataFrame:
+    """(source_table, record_id, field, of, message, host, flagged): each message of a field, masked; ``of`` is their number."""
+    cut = F.transform(F.split("text", r"(?<=[.!?])\s+|[\r\n]+"), lambda m: _masked(_without_shop(m, F.col("host"))))
+    told = fields.select("source_table", "record_id", "field", "host", "flagged", F.filter(cut, lambda m: m.rlike(r"\p{L}")).alias("said"))
+    return told.select("source_table", "record_id", "field", "host", "flagged", F.size("said").alias("of"), F.explode("said").alias("message"))
 
 
 def residue(fields: DataFrame) -> DataFrame:
     """(source_table, record_id, field, kind) of the fields (source_table, record_id, field, text, host) that are residue.
 
-    kind is 'slot', 'failed fill', 'filler' or 'error'. Null and blank texts are none. Every field is judged by
-    itself, whole; only fields that hold a cue of some message are cut in messages. A page_type that merely
-    says error is none.
+    kind is 'slot', 'failed fill', 'filler' or 'error'. Null and blank texts are none, and neither are texts
+    without letters. Every field is judged by itself, whole. A page_type that merely says error is none. Whether a
+    page is flagged as an error may be told by a boolean column ``flagged``, null where nothing tells it; flags
+    say nothing about their own page, but a template that flagged pages of several hosts show is suspect. Repeated
+    rows have a row each only if they are residue directly; a field named twice for a record is one field.
     """
-    known = fields.where("record_id is not null and text is not null")
+    named = fields if "flagged" in fields.columns else fields.withColumn("flagged", F.lit(None).cast("boolean"))
+    known = named.where("record_id is not null and text is not null")
     text = F.col("text")
     slot, failed = text.rlike(_MARKED) & text.rlike(SLOTS), text.rlike(FAILED) | (text.rlike(_EMPTIES) & text.rlike(EMPTY))
-    marked = known.select("source_table", "record_id", "field", "text", "host", F.when(slot, "slot").when(failed, "failed fill").alias("kind"))
-    # The few fields that are residue or hold a cue are written once; texts are searched in this step only.
-    kept = stored(marked.where(F.col("kind").isNotNull() | F.lower(text).rlike(_LOWER_CUES)))
-    direct = kept.where("kind is not null").select("source_table", "record_id", "field", "kind")
-    cut = (
-        kept.where("kind is null")
-        .select("source_table", "record_id", "field", "host", F.explode(F.split("text", r"(?<=[.!?])\s+|[\r\n]+")).alias("message"))
-        .select("source_table", "record_id", "field", _without_shop(F.col("message"), F.col("host")).alias("message"))
+    marked = known.select("source_table", "record_id", "field", "text", "host", "flagged", F.when(slot, "slot").when(failed, "failed fill").alias("kind"))
+    direct = marked.where("kind is not null").select("source_table", "record_id", "field", "kind")
+    said = stored(messages_of(marked.where("kind is null")))
+    # Each message once, with what its records tell; a message that a third of all records have is one row from here on.
+    alone = F.col("of") == 1
+    one = stored(
+        said.groupBy("message").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(alone & F.col("flagged")).alias("flagged"), F.count_if(alone & F.col("flagged").isNotNull()).alias("judged"), F.min("host").alias("low"), F.max("host").alias("high")
+        )
     )
-    messages = cut.mapInArrow(_mask_rows, "source_table string, record_id bigint, field string, message string, leaf string")
-    judged = messages.where("message <> ''").join(mined(messages).select("message", "verdict"), "message")
-    # A page_type that merely says error is a label; one that is a script notice is none.
-    stands = (F.col("verdict") == "error") & ((F.col("field") != "page_type") | F.col("message").rlike(_NOTED))
-    by_field = judged.groupBy("source_table", "record_id", "field").agg(
-        F.bool_or(F.col("verdict") == "filler").alias("filler"), F.bool_or(stands).alias("error"), F.bool_or(F.col("verdict") == "content").alias("content")
+    found = stored(mined(one))
+    bad = found.where("message is null and verdict <> 'content'").select("template_id", "verdict", "content")
+    judged = found.where("message is not null").select("message", "template_id").join(small(bad), "template_id").select("message", "verdict", (F.col("content") < SURE).alias("sure"))
+    hits = said.join(small(judged), "message").select("source_table", "record_id", "field", "of", "message", "verdict", "sure")
+    # A single word is filler only where it is the whole field.
+    plain = F.col("message").rlike(r"[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+[\p{L}\p{N}]") & F.col("sure")
+    stands = ((F.col("verdict") == "error") & (F.col("field") != "page_type")) | (F.col("verdict") == "notice")
+    by_field = hits.groupBy("source_table", "record_id", "field").agg(
+        F.bool_or((F.col("verdict") == "filler") & plain).alias("within"), F.bool_or(F.col("verdict") == "filler").alias("filler"), F.bool_or(stands).alias("error"), (F.count(F.lit(1)) >= F.max("of")).alias("whole")
     )
-    told = by_field.select("source_table", "record_id", "field", F.when(F.col("filler"), "filler").when(F.col("error") & ~F.col("content"), "error").alias("kind"))
-    return direct.unionByName(told.where("kind is not null"))
+    kind = F.when(F.col("within") | (F.col("filler") & F.col("whole")), "filler").when(F.col("error") & F.col("whole"), "error")
+    return direct.unionByName(by_field.select("source_table", "record_id", "field", kind.alias("kind")).where("kind is not null"))
 
 
 def host_letters(url: Column) -> Column:
@@ -268,13 +312,15 @@ def host_letters(url: Column) -> Column:
 
 
 def fields_of(pages: DataFrame, items: DataFrame) -> DataFrame:
-    """The judged fields of page_inspections and scraped_items as rows."""
+    """The judged fields of page_inspections and scraped_items as rows; pages are flagged by their status and type."""
+    flagged = F.coalesce(F.col("http_status") >= 400, F.lit(False)) | F.coalesce(F.lower("page_type").rlike("error|bot|captcha"), F.lit(False))
+    told = F.col("http_status").isNotNull() | F.col("page_type").isNotNull()
     page = pages.select(
-        F.lit("page_inspections").alias("source_table"), F.col("inspection_id").alias("record_id"), host_letters(F.col("url")).alias("host"),
+        F.lit("page_inspections").alias("source_table"), F.col("inspection_id").alias("record_id"), host_letters(F.col("url")).alias("host"), F.when(told, flagged).alias("flagged"),
         F.explode(F.create_map(*(x for c in ("page_type", "page_title", "page_text") for x in (F.lit(c), F.col(c))))).alias("field", "text"),
     )
     item = items.select(
-        F.lit("scraped_items").alias("source_table"), F.col("item_id").alias("record_id"), host_letters(F.col("product_url")).alias("host"), F.lit("raw_title").alias("field"), F.col("raw_title").alias("text")
+        F.lit("scraped_items").alias("source_table"), F.col("item_id").alias("record_id"), host_letters(F.col("product_url")).alias("host"), F.lit(None).cast("boolean").alias("flagged"), F.lit("raw_title").alias("field"), F.col("raw_title").alias("text")
     )
     return page.unionByName(item)
 
