@@ -52,6 +52,60 @@ def test_typed_lines_link_when_enough_rows_agree(spark, reference):
     assert {frozenset(v) for v in true.values()} == {frozenset(k for k in got if got[k] == g) for g in set(got.values())}
 
 
+def phones(rng, n=1200):
+    """Rows of phones, each told by title and columns; some products recur often, as in a catalogue, with siblings beside them."""
+    lines = ["Rokifu", *("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(40))]
+    products = [("Rokifu", 1001, "Pro ", 128, 8)]
+    for k, line in enumerate(lines):
+        products += [(line, 1000 + 7 * k + rng.randrange(3), rng.choice(["Pro ", "Lite ", ""]), rng.choice([64, 128, 256]), 4 if rng.random() < 0.05 else 8) for _ in range(6)]
+    popular = [1 / (1 + rng.randrange(40)) for _ in products]
+    rows = []
+    for k in range(n):
+        line, number, sub, storage, ram = rng.choices(products, popular)[0] if k else products[0]
+        typed = line[:2] + line[3] + line[2] + line[4:] if k and rng.random() < 0.04 else line  # a slip in the title; the column is right
+        rows.append((k, "Velonix", f"{line} {number}", None, storage, ram, None, f"Velonix {typed} {number} {sub}{ram}/{storage}GB", None, None))
+    return rows
+
+
+def test_open_memory_joins_what_fits_and_only_that(spark, reference):
+    rows = phones(random.Random(4))
+    rows += [(1800 + k, "Velonix", "Zanolo 5001", None, 128, 8, None, "Velonix Zanolo 5001 8/128GB", None, None) for k in range(3)]
+    rows += [(1810, "Velonix", "Zanolo 5001", None, 128, None, None, "Velonix Zanolo 5001 128GB", None, None)]  # the only Zanolo 5001 of 128 GB has 8 GB
+    rows += [(1820 + k, "Velonix", "Tufelo 6001", None, 128, 4 + 4 * (k % 2), None, f"Velonix Tufelo 6001 {4 + 4 * (k % 2)}/128GB", None, None) for k in range(4)]
+    rows += [(1830, "Velonix", "Tufelo 6001", None, 128, None, None, "Velonix Tufelo 6001 128GB", None, None)]  # 4 or 8 GB: told by nothing
+    rows += [(1840, "Velonix", "Kamiro", None, 64, 8, None, "Velonix Kamiro 8/64GB", None, None), (1841, "Velonix", "Kamirro", None, 64, 8, None, "Velonix Kamirro 8/64GB", None, None)]
+    got = {r.id: r.group_id for r in pl.groups(frame(spark, rows), reference).collect()}
+    assert {got[k] for k in (1800, 1801, 1802, 1810)} == {1800}
+    assert got[1820] == got[1822] != got[1821] == got[1823] and got[1830] == 1830
+
+
+def test_weights_decide(spark, reference, monkeypatch):
+    """Without the fit, which holds a misspelt line for a match, only equal descriptions are together."""
+    rows = [*phones(random.Random(4)), (1900, "Velonix", None, None, 128, 8, None, "Velonix Rokfiu 1001 Pro 8/128GB", None, None)]
+    grouped = lambda: {r.id: r.group_id for r in pl.groups(frame(spark, rows), reference).collect()}
+    same = {r[0] for r in rows if r[7] == "Velonix Rokifu 1001 Pro 8/128GB"}
+    assert same and grouped()[1900] == min(same)
+    real = pl.fit
+    monkeypatch.setattr(pl, "fit", lambda patterns, twice: {p: float(all(v == 3 for v in p)) for p in real(patterns, twice)})
+    assert grouped()[1900] == 1900
+
+
+def test_rows_that_tell_a_field_twice_teach_how_often_it_differs():
+    patterns = [((3, 3, 3), 1000.0), ((3, 3, 0), 40.0), ((3, 0, 0), 300.0), ((0, 3, 0), 300.0), ((3, 0, 3), 200.0), ((3, 1, 3), 10.0)]
+    sure = pl.fit(patterns, [{3: 900.0}, {3: 900.0}, {3: 900.0}])
+    doubtful = pl.fit(patterns, [{3: 900.0}, {3: 900.0}, {3: 600.0, 0: 300.0}])
+    assert sure[(3, 3, 0)] < 0.2 < doubtful[(3, 3, 0)] and sure[(3, 3, 3)] > 0.9
+    assert sure[(3, 0, 3)] < sure[(3, 1, 3)] < sure[(3, 3, 3)]
+
+
+def test_large_blocks_are_compared_in_parts(spark, monkeypatch):
+    rows = [(k, 1, "velonix", "mates", "44", f"s{k % 7}", k, 128, "", "new") for k in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, rows long, brand string, line string, number string, sub string, ram long, storage long, region string, condition string")
+    whole = sorted(map(tuple, pl.compared(nodes).collect()))
+    monkeypatch.setattr(pl, "BLOCK", 6)
+    assert sorted(map(tuple, pl.compared(nodes).collect())) == whole and len(whole) == 40 * 39 // 2
+
+
 def test_pairs_of_groups_are_whole_and_once(spark, monkeypatch):
     monkeypatch.setattr(pl, "SPLIT", 3)
     rows = [(k, 1) for k in range(20)] + [(50, 50), (60, 60), (61, 60), (61, 60)]
