@@ -7,6 +7,7 @@ documents are then picked by a seeded order within their length.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,22 +52,25 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, seed: int) ->
             break
     if left < 0:
         raise AssertionError("the span is at least four times the longest document")
-    mask = (1 << (left + 1)) - 1
-    reach, steps = 1, []
+    # By which step each sum was reached first: one number a sum, however many steps there are.
+    reached, first, steps = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int32), []
+    reached[0] = True
     for k in order:
         free, part = counts[k] - taken[k], 1
-        while free > 0 and not reach >> left & 1:
+        while free > 0 and not reached[left]:
             part = min(part, free)
-            if part * lengths[k] <= left:
-                steps.append((reach, part * lengths[k], k, part))
-                reach |= reach << part * lengths[k] & mask
+            size = part * lengths[k]
+            if size <= left:
+                new = np.flatnonzero(reached[: left + 1 - size] & ~reached[size:]) + size
+                first[new], reached[new] = len(steps), True
+                steps.append((size, k, part))
             free -= part
             part *= 2
-    at = reach.bit_length() - 1
-    for earlier, size, k, part in reversed(steps):
-        if not earlier >> at & 1:
-            taken[k] += part
-            at -= size
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        size, k, part = steps[first[at]]
+        taken[k] += part
+        at -= size
     return taken
 
 
@@ -77,7 +81,8 @@ def mixture(
 
     picked: source, doc_id, n_tokens, copies; one row per document used, copies from 1 to its source's cap.
     shares: source, target_share, max_repeats, docs_available, tokens_available, target_tokens, actual_tokens,
-    docs_used, actual_share, short_by (tokens); one row per row of ``targets``, also where nothing is there.
+    docs_used, actual_share, short_by (tokens), binds; one row per source of ``targets``, also where nothing is there.
+    ``binds`` tells which source keeps the total from being larger; none does where the total is given.
 
     Without ``total_tokens`` the total is the largest at which every source that has any tokens and a cap
     above 0 meets its target. A source without tokens or with cap 0 gets nothing and is reported as short of its whole target; the others'
@@ -101,10 +106,10 @@ def mixture(
     spread = cut(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")))
     have = spread.groupBy("source").agg(F.sum("docs").alias("docs_available"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens_available"))
     stock = wanted.join(have, "source", "left").fillna(0, ["docs_available", "tokens_available"])
+    usable = (F.col("tokens_available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    stock = stock.withColumn("reach", F.when(usable, F.floor(F.try_divide(F.col("tokens_available") * F.col("max_repeats"), F.col("target_share")))))
     if total_tokens is None:
-        whole = stock.where("tokens_available > 0 and target_share > 0 and max_repeats > 0").agg(
-            F.min(F.floor(F.col("tokens_available") * F.col("max_repeats") / F.col("target_share"))).alias("total")
-        )
+        whole = stock.agg(F.min("reach").alias("total"))
     else:
         whole = spark.range(1).select(F.lit(int(total_tokens)).cast("bigint").alias("total"))
     # One row per source of the targets.
@@ -161,6 +166,6 @@ def mixture(
     shares = reached.join(F.broadcast(everything), F.lit(True), "left").select(
         "source", "target_share", "max_repeats", "docs_available", "tokens_available", "target_tokens", "actual_tokens", "docs_used",
         F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), F.col("everything")), F.lit(0.0)).alias("actual_share"),
-        (F.col("target_tokens") - F.col("actual_tokens")).alias("short_by"),
+        (F.col("target_tokens") - F.col("actual_tokens")).alias("short_by"), (F.lit(total_tokens is None) & F.coalesce(F.col("reach") == F.col("total"), F.lit(False))).alias("binds"),
     )
     return picked, shares

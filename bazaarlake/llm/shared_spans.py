@@ -20,12 +20,14 @@ from ..session import stored
 
 SPAN = 200
 SEED_LENGTH = 64
-#: Super-k-mers of one minimiser beyond which its windows are spread over all tasks.
-HOT = 20_000
+#: Characters of one minimiser's strings beyond which its windows are spread over all tasks.
+HOT = 3_000_000
+#: Most windows of a super-k-mer; longer runs with one minimiser, such as a million blanks, are cut.
+PIECE = 2_000
 #: Characters of whole buckets that a task sorts at a time.
 CHUNK = 2_000_000
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -34,7 +36,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(codes: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of every n-gram of code points, by doubling: no loop over characters."""
     if len(codes) < n:
         return np.zeros(0, np.uint64)
@@ -71,9 +73,13 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def super_kmers(codes: np.ndarray, span: int, seed_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimiser) of each super-k-mer of a text of at least ``span`` characters."""
+    """(first window, number of windows, minimiser) of each super-k-mer of a text of at least ``span`` characters; none has more than ``PIECE``."""
     least = sliding_min(gram_hashes(codes, seed_length), span - seed_length + 1)
     begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    longest = int(np.diff(np.concatenate((begins, [len(least)]))).max())
+    if longest > PIECE:
+        ends = np.concatenate((begins[1:], [len(least)]))
+        begins = np.concatenate([np.arange(b, e, PIECE) for b, e in zip(begins, ends, strict=True)])
     counts = np.diff(np.concatenate((begins, [len(least)])))
     return begins, counts, least[begins].view(np.int64)
 
@@ -210,39 +216,52 @@ def _count(span: int, chunk: int):
 
 
 def _spread(span: int):
-    """Each window of a packed string by two hashes, 128 bits, with the string's name and the window's place in it."""
+    """A hash of each window of a packed string, with the string's number and the window's place in it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 texts = part.column("packed").to_pylist()
                 sizes = np.array([len(t) for t in texts])
                 codes, ends = codes_of("".join(texts)), np.cumsum(sizes)
                 which = np.repeat(np.arange(len(texts)), sizes)
                 places = np.flatnonzero(np.arange(len(codes)) + span <= ends[which])
                 string = which[places]
-                a, b = (gram_hashes(codes, span, base)[places].view(np.int64) for base in _BASES)
-                p, q, low, high = (part.column(c).to_numpy()[string] for c in ("p", "q", "low", "high"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, p, q, low, high, places - (ends - sizes)[string])], names=["a", "b", "p", "q", "low", "high", "off"])
+                sid, low, high = (part.column(c).to_numpy()[string] for c in ("sid", "low", "high"))
+                hashes = gram_hashes(codes, span)[places].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hashes, sid, low, high, places - (ends - sizes)[string])], names=["hash", "sid", "low", "high", "off"])
 
     return run
 
 
-def _spread_out(rows: DataFrame, span: int) -> DataFrame:
+def _spread_out(rows: DataFrame, span: int, spread=_spread) -> DataFrame:
     """(doc, th, lo, hi) of the shared runs in packed strings (doc, th, at, packed) of minimisers that many have.
 
-    Equal strings are one before their windows are spread, windows are counted with a combine before the shuffle,
-    and a string's shared windows are joined to runs before they meet the documents that have the string.
+    Equal strings are one before their windows are spread; a window's documents are counted with a combine before
+    the shuffle. Windows that only one document has differ from all others in their hash and go; of the others each
+    hash's texts are counted, combined likewise, and where a hash has several, windows are told apart by their texts.
     """
-    named = stored(rows.select("doc", "th", "at", "packed", F.xxhash64("packed").alias("p"), F.xxhash64(F.lit(span), "packed").alias("q")))
-    strings = named.groupBy("p", "q").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("packed").alias("packed"))
-    windows = stored(strings.mapInArrow(_spread(span), "a bigint, b bigint, p bigint, q bigint, low bigint, high bigint, off bigint"))
-    several = windows.groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "b")
-    place = F.row_number().over(Window.partitionBy("p", "q").orderBy("off"))  # a group is one string's windows
-    shared = windows.join(several, ["a", "b"]).select("p", "q", "off").withColumn("run", F.col("off") - place)
-    runs = shared.groupBy("p", "q", "run").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
-    return named.select("doc", "th", "at", "p", "q").join(runs, ["p", "q"]).select("doc", "th", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + span).alias("hi"))
+    named = stored(rows.select("doc", "th", "at", "packed"))
+    once = named.groupBy("packed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    strings = stored(once.withColumn("sid", F.monotonically_increasing_id()))
+    windows = stored(strings.select("sid", "low", "high", "packed").mapInArrow(spread(span), "hash bigint, sid bigint, low bigint, high bigint, off bigint"))
+    several = windows.groupBy("hash").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("hash")
+    shared = stored(windows.join(several, "hash"))
+    text = F.substring(F.col("packed"), F.col("off").cast("int") + 1, F.lit(span))
+    # A group is one string's windows, PIECE at most; the texts meet their hash again as the string's parts.
+    by_string = shared.groupBy("sid").agg(F.collect_list(F.struct("hash", "off")).alias("w")).join(strings, "sid").select("sid", "low", "high", "packed", F.explode("w").alias("w"))
+    texts = by_string.select("sid", "low", "high", "packed", F.col("w.hash").alias("hash"), F.col("w.off").alias("off")).withColumn("text", text)
+    mixed = stored(texts.groupBy("hash", "text").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    true = shared.select("hash", "sid", "off")
+    if not mixed.isEmpty():
+        apart = texts.join(mixed, "hash")
+        real = apart.groupBy("hash", "text").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("hash", "text")
+        true = true.join(mixed, "hash", "left_anti").unionByName(apart.join(real, ["hash", "text"]).select("hash", "sid", "off"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("off"))  # a group is one string's windows
+    runs = true.withColumn("run", F.col("off") - place).groupBy("sid", "run").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
+    having = named.join(strings.select("packed", "sid"), "packed").select("doc", "th", "at", "sid")
+    return having.join(runs, "sid").select("doc", "th", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + span).alias("hi"))
 
 
 def shared_intervals(
@@ -250,16 +269,16 @@ def shared_intervals(
 ) -> DataFrame:
     """(doc, th, lo, hi): runs of characters of a document that lie in spans another document has too; they may overlap.
 
-    Buckets of up to ``hot`` super-k-mers are sorted in one task, strings compared as they are. The windows of
-    fuller ones, such as those of a text that a third of all documents has, are spread over all tasks by 128-bit
-    hashes and pre-aggregated, so no bucket grows with the corpus.
+    Buckets of up to ``hot`` characters are sorted in one task, windows compared as they are. The windows of fuller
+    ones, such as those of a text that a third of all documents has, are spread over all tasks by their hash,
+    pre-aggregated and compared as they are too, so no bucket grows with the corpus.
     """
     source = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(
         F.col(key).cast("bigint").alias("doc"), F.shiftright(F.xxhash64(text), 32).alias("th"), F.col(text).alias("text")
     )
     marks = stored(source.mapInArrow(_marks(span, seed_length), "doc bigint, th bigint, at bigint, n bigint, key bigint"))
     common = stored(
-        marks.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", (F.col("n") > hot).alias("hot"))
+        marks.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum(F.col("n") + (span - 1)).alias("n")).where("low < high").select("key", (F.col("n") > hot).alias("hot"))
     )
 
     def packed(keys: DataFrame) -> DataFrame:

@@ -56,6 +56,9 @@ def test_shares_and_caps_hold(spark, monkeypatch, parts):
         assert abs(told[source].target_tokens - told[source].actual_tokens) <= 1
     assert told["missing"].actual_tokens == 0 and told["missing"].short_by == told["missing"].target_tokens > 0
     assert sum(r.actual_share for r in told.values()) == pytest.approx(1)
+    binding = [r.source for r in told.values() if r.binds]
+    assert len(binding) == 1 and told[binding[0]].actual_tokens == told[binding[0]].tokens_available * told[binding[0]].max_repeats
+    assert not any(r.binds for r in mixing.mixture(docs, targets, total_tokens=50)[1].collect())
 
 
 @pytest.mark.parametrize("cap", [0, None, -1])

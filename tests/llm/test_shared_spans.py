@@ -34,7 +34,7 @@ def corpus(seed):
     return rows + [(100, None), (101, ""), (102, "short"), (0, rows[0][1]), (103, rows[1][1]), (104, hot + hot)]
 
 
-@pytest.mark.parametrize(("seed", "hot", "chunk"), [(1, 20_000, 2_000_000), (2, 1, 300), (3, 5, 50), (4, 20_000, 10)])
+@pytest.mark.parametrize(("seed", "hot", "chunk"), [(1, 3_000_000, 2_000_000), (2, 1, 300), (3, 500, 50), (4, 3_000_000, 10)])
 def test_equals_brute_force(spark, seed, hot, chunk):
     rows = corpus(seed)
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id bigint, text string, th int, lo int")
@@ -64,3 +64,35 @@ def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(ss, "gram_hashes", lambda codes, n, base=0: np.zeros(max(0, len(codes) - n + 1), np.uint64))
     string, lo, hi = ss.shared_windows(["abcdef", "abcxyz", "zzzzzz"], np.array([1, 2, 3]), 3)
     assert list(zip(string.tolist(), lo.tolist(), hi.tolist())) == [(0, 0, 1), (1, 0, 1)]
+
+
+def coarse(span):
+    """The windows of hot strings with two hashes in all, so nearly every hash has several texts."""
+    import pyarrow as pa
+
+    inner = ss._spread(span)
+
+    def run(batches):
+        for batch in inner(batches):
+            hashes = batch.column("hash").to_numpy() & 1
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
+
+    return run
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_equal_hashes_in_hot_buckets_are_told_apart(spark, seed):
+    rows = [(d, t) for d, t in corpus(seed) if t and len(t) >= 40]
+    packed = spark.createDataFrame([(d, hash(t) % 1000, 0, t) for d, t in rows], "doc bigint, th bigint, at bigint, packed string")
+    plain, mixed = (sorted(map(tuple, ss._spread_out(packed, 40, spread).distinct().collect())) for spread in (ss._spread, coarse))
+    assert plain == mixed and plain
+
+
+@pytest.mark.parametrize("hot", [1, 3_000_000])
+def test_long_runs_of_blanks_in_many_texts(spark, monkeypatch, hot):
+    """A million blanks are one minimiser; they are cut, and equal pieces are one."""
+    rows = [(k, f"text {k} " + " " * 1_000_000 + f" end {k}") for k in range(6)] + [(9, "no blanks " * 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_chars for r in ss.shared_chars(df, hot=hot).collect()}
+    assert got == {k: len(" " * 1_000_000) + len(" " + " end ") for k in range(6)}
+    assert max(ss.super_kmers(ss.codes_of(rows[0][1]), 200, 64)[1]) == ss.PIECE
