@@ -1,9 +1,11 @@
 """Mapping freely typed values to a list of canonical entries.
 
-Values and entries become sets of character tokens. A set-similarity join finds the pairs: tokens are ordered
-by their rarity over both sides, only each set's rare prefix is joined, pairs are pruned by the length and the
-positional filter, and Jaccard is computed exactly for what is left. Pairs are then checked by edit distance
-and each value keeps its best entry. Only distinct values are joined, however often they occur.
+Values and entries become sets of pairs of neighbouring letters. A set-similarity join finds the pairs: tokens are
+ordered by their rarity over both sides, only each set's rare prefix is joined, pairs are pruned by the length and
+the positional filter, and Jaccard is computed exactly for what is left. Letters in another order, which leave few
+neighbours together, are found by their equal sorted letters. Pairs are then checked by edit distance, where exchanged
+letters count one less, and each value keeps the entry with fewest edits for its length; Jaccard decides among
+equals. Only distinct values are joined, however often they occur.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from ..functions import measures
 from ..session import small, stored
 
 #: Least Jaccard of the token sets of a value and its entry.
-SIMILARITY = 0.4
+SIMILARITY = 0.28
 #: Most edits between a value and its entry, as a share of the entry's length; names of under four letters must be equal.
 EDITS = 0.4
 SHORT = 4
@@ -66,18 +68,19 @@ def key_of(name: Column) -> Column:
 
 
 def tokens_of(key: Column) -> Column:
-    """The set of a key's letters and pairs of neighbours, ends marked; linear in the key's length."""
-    padded = F.concat(F.lit("^"), key, F.lit("$"))
-    letters = F.regexp_extract_all(padded, F.lit(r"(?s)."), F.lit(0))
+    """The set of a key's pairs of neighbours, ends marked; linear in the key's length."""
+    letters = F.split(F.concat(F.lit("^"), key, F.lit("$")), "")
     pairs = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1), lambda a, b: F.concat(a, b))
-    return F.when(F.length(key) > 0, F.array_distinct(F.concat(pairs, F.slice(letters, F.lit(2), F.size(letters) - 2)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(key) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(l, r, jaccard) of the rows (id, tokens) of both sides whose token sets reach ``similarity``.
 
     Each pair comes once. Rows with an empty set or a null id have no pair. No cap applies: a token that many
-    rows share is ordered last and is joined only by sets too small to have rarer ones.
+    rows share is ordered last and is joined only by sets too small to have rarer ones. The index of the right side
+    is sent to all tasks if it is small, so no token is a hot key; a large one is joined by token, where adaptive
+    execution splits what is skewed.
     """
     tagged = left.select(F.lit(0).alias("side"), F.col("id"), "tokens").unionByName(right.select(F.lit(1).alias("side"), F.col("id"), "tokens")).where("id is not null and size(tokens) > 0")
     single = tagged.select("side", "id", F.explode("tokens").alias("token"))
@@ -92,8 +95,8 @@ def set_similarity_join(left: DataFrame, right: DataFrame, similarity: float = S
     indexed = ordered.select("side", "id", "tokens", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"))
     # Few rows mean much work here, so they are spread by number, not by size.
     spread = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a = indexed.where("side = 0").repartition(spread, "token").select("token", F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.col("at").alias("la"))
-    b = indexed.where("side = 1").select("token", F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("size").alias("rs"), F.col("at").alias("ra"))
+    a = indexed.where("side = 0").repartition(spread).select("token", F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.col("at").alias("la"))
+    b = small(indexed.where("side = 1").select("token", F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("size").alias("rs"), F.col("at").alias("ra")))
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("ls") + F.col("rs")) - SLACK)
     lengths = (F.col("rs") >= F.lit(similarity) * F.col("ls") - SLACK) & (F.col("ls") >= F.lit(similarity) * F.col("rs") - SLACK)
     position = F.least(F.col("ls") - F.col("la"), F.col("rs") - F.col("ra")) >= needed
@@ -114,16 +117,21 @@ def _forms(df: DataFrame, name: str, value: str) -> DataFrame:
 def best_entries(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, edits: float = EDITS) -> DataFrame:
     """(value, entry_id, jaccard, edits) for each distinct value of ``values`` (value); 0 where no entry fits.
 
-    ``entries`` has (entry_id, name): the names and aliases of an entry, a row each. Of several entries the one
-    with fewest edits for its length is kept, then the most similar, then the lowest id. A value may lose
+    ``entries`` has (entry_id, name): the names and aliases of an entry, a row each. A pair counts if its edits are at
+    most ``edits`` of the entry's length. Of several entries the one with fewest edits for its length is kept, then
+    the one with the highest Jaccard, then the lowest id. A value may lose
     the words around a name. Null and blank values have no row.
     """
     distinct = values.where("value is not null and value rlike '[^\\\\s\\\\p{Z}]'").select("value").distinct()
     typed = stored(_forms(distinct, "value", "value"))  # used for the join and to find the values again
     listed = _forms(entries.where("entry_id is not null and name is not null"), "entry_id", "name")
     sets = lambda df: df.select("form").distinct().select(F.col("form").alias("id"), tokens_of(F.col("form")).alias("tokens"))
-    pairs = set_similarity_join(sets(typed), sets(listed), similarity)
+    near = set_similarity_join(sets(typed), sets(listed), similarity)
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    by_letters = lambda df, name: sets(df).select(F.array_join(letters("id"), "").alias("letters"), F.col("id").alias(name), F.col("tokens").alias(f"{name}_tokens"))
+    turned = by_letters(typed, "l").join(small(by_letters(listed, "r")), "letters")
+    alike = F.size(F.array_intersect("l_tokens", "r_tokens")) / F.size(F.array_union("l_tokens", "r_tokens"))
+    pairs = near.unionByName(turned.select("l", "r", alike.alias("jaccard")).where(F.col("jaccard") < similarity))
     distance = F.levenshtein("l", "r") - F.when((F.col("l") != F.col("r")) & (letters("l") == letters("r")), 1).otherwise(0)
     checked = pairs.select("l", "r", "jaccard", distance.alias("edits")).where(F.col("edits") <= F.when(F.length("r") < SHORT, 0.0).otherwise(F.lit(edits) * F.length("r")))
     named = checked.join(listed.withColumnRenamed("form", "r"), "r")

@@ -32,7 +32,7 @@ def test_join_equals_brute_force(spark):
     frame = lambda xs: spark.createDataFrame([(x,) for x in set(xs)], "id string").select("id", cv.tokens_of(F.col("id")).alias("tokens"))
     a, b = frame(left), frame(right)
     sets = {r.id: set(r.tokens) for r in a.unionByName(b).collect()}
-    for least in (0.4, 0.6, 1.0):
+    for least in (0.28, 0.4, 0.6, 1.0):
         got = {(r.l, r.r): round(r.jaccard, 9) for r in cv.set_similarity_join(a, b, least).collect()}
         jac = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
         assert got == {(x, y): round(jac(x, y), 9) for x in set(left) for y in set(right) if jac(x, y) >= least}
@@ -45,3 +45,24 @@ def test_records(spark, reference):
     assert got == [(2, 1), (2, 1), (5, 0)]
     assert cv.mapped([df.limit(0)], reference).count() == 0
     assert sorted((r.record_id, r.brand_id) for r in cv.mapped([df], reference.limit(0)).collect()) == [(1, 0), (2, 0), (2, 0), (5, 0)]
+
+
+def test_recall_against_all_pairs(spark, data):
+    """Every value of the whole tables whose edits allow an entry gets one, as a comparison with all entries would give."""
+    values = spark.read.parquet(f"{data}/scraped_items.parquet").select(F.col("brand").alias("value")).unionByName(spark.read.parquet(f"{data}/tech_specs.parquet").select(F.col("brand").alias("value")))
+    entries = cv.entries_of(spark.read.parquet(f"{data}/brand_reference.parquet"))
+    got = {r.value: r.entry_id for r in cv.best_entries(values, entries).collect()}
+    typed, listed = (cv._forms(df, n, v).collect() for df, n, v in ((values.where("value is not null").distinct(), "value", "value"), (entries, "entry_id", "name")))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1] - (a != b and sorted(a) == sorted(b))
+
+    near = {r.value for r in typed for e in listed if distance(r.form, e.form) <= (cv.EDITS * len(e.form) if len(e.form) >= cv.SHORT else 0)}
+    found = {v for v, e in got.items() if e}
+    assert found <= near and len(found) >= 0.99 * len(near), near - found
