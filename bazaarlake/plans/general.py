@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _table(spark, sf_dir, "listing_updates")
-    said = history.patches(log, "listing_id", _STATE)
-    return history.as_of(said, history.checkpoints(said, "listing_id", _STATE), "listing_id", _STATE, F.lit("2025-10-15 12:00:00").cast("timestamp_ntz")).select(
-        "listing_id", F.col("current_price_lkr").cast("double").alias("price"), "in_stock"
-    )
+    """The state of each listing at a moment, read from one era of the store."""
+    store = history.store_of(_table(spark, sf_dir, "listing_updates"), "listing_id", _STATE)
+    return store.as_of(datetime(2025, 10, 15, 12)).select("listing_id", F.col("current_price_lkr").cast("double").alias("price"), "in_stock")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

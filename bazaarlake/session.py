@@ -39,7 +39,7 @@ def ship(spark: SparkSession) -> None:
     out.write(bytearray(archive.getvalue()))
     out.close()
     sc.addPyFile(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -69,10 +69,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/bazaarlake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder when the driver's process ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
@@ -82,10 +87,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows up to which a side of a join is sent to all tasks.
-SMALL = 20_000
+#: Rows and bytes up to which a side of a join is sent to all tasks.
+SMALL, SMALL_BYTES = 20_000, 8 << 20
+
 
+def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, else as it is, for a shuffle.
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, which are counted; else as it is, for a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    Rows are counted and the bytes of their text form are summed over as many rows as may be sent, in one pass.
+    """
+    width = F.octet_length(F.to_csv(F.struct(*(F.col(f"`{c}`").cast("string") for c in df.columns)))) if df.columns else F.lit(0)
+    counted = df.limit(rows + 1).select(F.coalesce(width, F.lit(0)).cast("bigint").alias("w")).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if counted[0] <= rows and counted[1] <= size else df

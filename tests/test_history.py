@@ -47,32 +47,50 @@ def frame(spark, rows):
     return spark.createDataFrame([(a, b, None if c is None else Decimal(c), d, e, f, g) for a, b, c, d, e, f, g in rows], SCHEMA)
 
 
+def plain(versions):
+    return sorted([(r.listing_id, r.valid_from, r.valid_to, None if r.price is None else int(r.price), r.stock) for r in versions.collect()], key=str)
+
+
 def test_versions_equal_brute_force(spark):
-    for seed, days in ((1, 7), (2, 1), (3, 400)):
+    for seed, era, span in ((1, 30, 7), (2, 5, 1), (3, 400, 400), (4, 1, 7)):
         rows = rows_of(seed)
-        got = history.versions(frame(spark, rows), "listing_id", ["price", "stock"], days=days).collect()
-        want = brute(rows)
-        have = sorted([(r.listing_id, r.valid_from, r.valid_to, None if r.price is None else int(r.price), r.stock) for r in got], key=str)
-        assert have == want
+        assert plain(history.versions(frame(spark, rows), "listing_id", ["price", "stock"], era, span)) == brute(rows)
 
 
 def test_state_at_a_moment_equals_the_version_then(spark):
     rows = rows_of(4)
-    log = frame(spark, rows)
-    said = history.patches(log, "listing_id", ["price", "stock"])
-    marks = history.checkpoints(said, "listing_id", ["price", "stock"])
-    moment = BASE + timedelta(days=31)
-    got = {r.listing_id: (r.price, r.stock) for r in history.as_of(said, marks, "listing_id", ["price", "stock"], F.lit(moment).cast("timestamp_ntz")).collect()}
-    want = {k: (p, s) for k, a, b, p, s in brute(rows) if a <= moment and (b is None or b > moment)}
-    assert got == want
+    store = history.store_of(frame(spark, rows), "listing_id", ["price", "stock"], era_days=20)
+    for moment in (BASE - timedelta(days=1), BASE, BASE + timedelta(days=31), BASE + timedelta(days=45, hours=5), BASE + timedelta(days=900)):
+        got = {r.listing_id: (r.price, r.stock) for r in store.as_of(moment).collect()}
+        assert got == {k: (p, s) for k, a, b, p, s in brute(rows) if a <= moment and (b is None or b > moment)}
 
 
-def test_nothing_gives_nothing(spark):
-    assert history.versions(frame(spark, []), "listing_id", ["price", "stock"]).count() == 0
+def test_a_moment_reads_its_era_alone(spark):
+    store = history.store_of(frame(spark, rows_of(4)), "listing_id", ["price", "stock"], era_days=20)
+    files = store.as_of(BASE + timedelta(days=31)).inputFiles()
+    assert len({f.rsplit("/", 2)[1] for f in files}) == 1 and {f.split("/")[-4] for f in files} == {"patches", "checkpoints"}
+
 
+def test_batches_give_what_one_log_gives(spark, tmp_path):
+    """Late rows, rows of new eras and batches that are appended again; checkpoints are those of the whole log."""
+    rows = rows_of(6)
+    early, late, last = [r for r in rows if r[0] % 3 == 0], [r for r in rows if r[0] % 3 == 1], [r for r in rows if r[0] % 3 == 2]
+    early = [r for r in early if r[4] is None or r[4] < BASE + timedelta(days=30)]
+    store = history.Store(spark, f"file://{tmp_path}/store", "listing_id", ["price", "stock"], era_days=15, span_days=4)
+    whole = [*early, *late, *last]
+    for batch, part in enumerate((early, [], late, last, last)):
+        store.append(frame(spark, part), min(batch, 3))
+    assert plain(store.versions()) == brute(whole)
+    one = history.store_of(frame(spark, whole), "listing_id", ["price", "stock"], era_days=15, span_days=4)
+    assert sorted(map(tuple, store.checkpoints().collect()), key=str) == sorted(map(tuple, one.checkpoints().collect()), key=str)
 
-def test_store_is_written_and_rebuilt(spark, tmp_path):
-    rows = rows_of(5)
-    history.write_store(frame(spark, rows), str(tmp_path), "listing_id", ["price", "stock"])
-    said, marks = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("patches", "checkpoints"))
-    assert history.reconstruct(said, marks, "listing_id", ["price", "stock"]).count() == len(brute(rows))
+
+def test_there_are_few_checkpoints(spark):
+    log = spark.read.parquet("/root/testdata/sf0.01/listing_updates.parquet")
+    store = history.store_of(log, "listing_id", ["current_price_lkr", "in_stock"])
+    assert 0 < store.checkpoints().count() <= 0.2 * store.patches().count()
+
+
+def test_nothing_gives_nothing(spark):
+    store = history.store_of(frame(spark, []), "listing_id", ["price", "stock"])
+    assert store.versions().count() == store.as_of(BASE).count() == store.checkpoints().count() == 0
