@@ -78,39 +78,55 @@ def memory_text(col: Column) -> Column:
     return F.regexp_replace(s, r"(?<![\w.])5g(?![a-z0-9])(?!\s*(?:of\s+)?(?:ram|memory|rom|storage|internal))", " ")
 
 
-def _factor(unit: Column) -> Column:
-    """MB of a memory unit, from the table of aliases."""
-    cases = [(u, f) for u, f in {(u, f) for _, k, u, f, _ in ALIASES if k == "memory"}]
-    named = F.upper(F.substring(unit, 1, 1))
-    return reduce(lambda w, c: w.when(named == c[0][0], F.lit(c[1])), sorted(cases)[1:], F.when(named == sorted(cases)[0][0][0], F.lit(sorted(cases)[0][1])))
+def _told(number: Column, unit: Column) -> Column:
+    """struct(number, unit) of an amount, the unit as it is written; null where there is no number."""
+    return F.when(number.isNotNull(), F.struct(number.alias("number"), unit.alias("unit")))
 
 
-def memory_of(s: Column) -> Column:
-    """struct(ram_mb, storage_mb): built-in amounts that a ``memory_text`` tells, in MB; null where it tells none.
+def in_mb(amount: Column) -> Column:
+    """MB of a told amount of memory, where no join with the table of aliases is at hand."""
+    cases = sorted({(u, f) for _, k, u, f, _ in ALIASES if k == "memory"})
+    named = F.upper(F.substring(amount["unit"], 1, 1))
+    return amount["number"] * reduce(lambda w, c: w.when(named == c[0][0], F.lit(c[1])), cases[1:], F.when(named == cases[0][0][0], F.lit(cases[0][1])))
+
 
-    Read are ``8+256GB`` and the like, an amount before RAM or memory, and of the amounts left the first.
-    Card slots' limits, cloud space and the radio standard 5G are no amounts.
+def memory_told(s: Column) -> Column:
+    """struct(ram, storage): built-in amounts that a ``memory_text`` tells, each struct(number, unit) or null.
+
+    Read are ``8+256GB`` and the like, an amount before RAM or memory, and of the amounts left the first. A number
+    without unit in a pair has GB, or MB where the other has MB. Card slots' limits, cloud space and the radio
+    standard 5G are no amounts.
     """
     number = lambda text, k, pattern: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("double")
     unit = lambda text, k, pattern: F.regexp_extract(text, pattern, k)
 
     def of_pair(p: Column) -> Column:
         second = unit(p, 5, _IN_PAIR)
-        shared = F.when(second.startswith("m"), F.lit("m")).otherwise(F.lit("g"))
-        ram = F.coalesce(number(p, 1, _IN_PAIR) * _factor(shared), number(p, 2, _IN_PAIR) * _factor(unit(p, 3, _IN_PAIR)))
-        return F.struct(ram.alias("ram_mb"), (number(p, 4, _IN_PAIR) * _factor(second)).alias("storage_mb"))
+        shared = F.when(second.startswith("m"), F.lit("mb")).otherwise(F.lit("gb"))
+        ram = F.coalesce(_told(number(p, 1, _IN_PAIR), shared), _told(number(p, 2, _IN_PAIR), unit(p, 3, _IN_PAIR)))
+        return F.struct(ram.alias("ram"), _told(number(p, 4, _IN_PAIR), second).alias("storage"))
 
     def of_singles(r: Column) -> Column:
         rest = F.when(r != "", F.regexp_replace(s, _RAM, " # ")).otherwise(s)
-        ram = number(r, 1, _QUANTITY) * _factor(unit(r, 2, _QUANTITY))
-        return bound(F.regexp_extract(rest, _QUANTITY + _AFTER, 0), lambda q: F.struct(ram.alias("ram_mb"), (number(q, 1, _QUANTITY) * _factor(unit(q, 2, _QUANTITY))).alias("storage_mb")))
+        ram = _told(number(r, 1, _QUANTITY), unit(r, 2, _QUANTITY))
+        return bound(F.regexp_extract(rest, _QUANTITY + _AFTER, 0), lambda q: F.struct(ram.alias("ram"), _told(number(q, 1, _QUANTITY), unit(q, 2, _QUANTITY)).alias("storage")))
 
     return bound(F.regexp_extract(s, _PAIR, 0), lambda p: F.when(p != "", of_pair(p)).otherwise(bound(F.regexp_extract(s, _RAM, 0), of_singles)))
 
 
+def memory_of(s: Column) -> Column:
+    """struct(ram_mb, storage_mb): ``memory_told`` in MB."""
+    return bound(memory_told(s), lambda m: F.struct(in_mb(m["ram"]).alias("ram_mb"), in_mb(m["storage"]).alias("storage_mb")))
+
+
+def amount_told(s: Column) -> Column:
+    """struct(number, unit) of a ``memory_text`` that is an amount and nothing else, such as ``16 GB`` or ``one terabyte``."""
+    return bound(F.regexp_extract(s, _QUANTITY + _AFTER, 0), lambda q: _told(F.nullif(F.regexp_extract(q, _QUANTITY, 1), F.lit("")).try_cast("double"), F.regexp_extract(q, _QUANTITY, 2)))
+
+
 def amount_of(s: Column) -> Column:
-    """MB of a ``memory_text`` that is an amount and nothing else, such as ``16 GB`` or ``one terabyte``."""
-    return bound(F.regexp_extract(s, _QUANTITY + _AFTER, 0), lambda q: F.regexp_extract(q, _QUANTITY, 1).try_cast("double") * _factor(F.regexp_extract(q, _QUANTITY, 2)))
+    """``amount_told`` in MB."""
+    return bound(amount_told(s), in_mb)
 
 
 CURRENCY, SCALE = f"({_one_of('currency')})", f"({_one_of('scale')})"

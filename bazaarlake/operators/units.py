@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import measures
 from ..session import small
 
-#: A number this near to an amount, relatively, is in the amount's unit.
+#: A number this near to an amount, relatively, is in the amount's unit: shown prices are rounded, such as 25.9k.
 NEAR = 0.02
 
 _DATED = r"(?:from|since)\s+(\d{4}-\d{2}-\d{2})"
@@ -116,12 +116,12 @@ def memory_amounts(products: DataFrame) -> DataFrame:
         "id", "ram_gb", "storage_gb", measures.memory_text(F.col("raw_title")).alias("a"), measures.memory_text(F.col("clean_title")).alias("b"),
         measures.memory_text(attribute(F.col("attributes"), RAM_KEYS)).alias("r"), measures.memory_text(attribute(F.col("attributes"), STORAGE_KEYS)).alias("s"),
     )
-    told = texts.select("id", "ram_gb", "storage_gb", "r", "s", measures.memory_of(F.col("a")).alias("a"), measures.memory_of(F.col("b")).alias("b"))
-    return told.select(
-        "id", "ram_gb", "storage_gb",
-        F.coalesce("a.ram_mb", "b.ram_mb", measures.amount_of(F.col("r"))).alias("ram_told"),
-        F.coalesce("a.storage_mb", "b.storage_mb", measures.amount_of(F.col("s"))).alias("storage_told"),
-    )
+    told = texts.select("id", "ram_gb", "storage_gb", measures.memory_told(F.col("a")).alias("a"), measures.memory_told(F.col("b")).alias("b"), measures.amount_told(F.col("r")).alias("r"), measures.amount_told(F.col("s")).alias("s"))
+    first = told.select("id", "ram_gb", "storage_gb", F.coalesce("a.ram", "b.ram", "r").alias("ram"), F.coalesce("a.storage", "b.storage", "s").alias("storage"))
+    units = first.select("*", F.col("ram.unit").alias("ram_alias"), F.col("storage.unit").alias("storage_alias"))
+    named = _join_alias(_join_alias(units, "ram_alias", "memory", "ram_unit"), "storage_alias", "memory", "storage_unit")
+    mb = lambda name: F.col(f"{name}.number") * F.col(f"{name}_unit_factor") + F.col(f"{name}_unit_offset")
+    return named.select("id", "ram_gb", "storage_gb", mb("ram").alias("ram_told"), mb("storage").alias("storage_told"))
 
 
 def wrong_units(items: DataFrame, merchants: DataFrame, fx_rates: DataFrame, products: DataFrame) -> DataFrame:
