@@ -74,8 +74,9 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode's compatibility form; plain ASCII never leaves the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Unicode's compatibility form. Python sees null for plain ASCII, since a condition around it would not hold rows back."""
+    more = text.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_nfkc(F.when(more, text)), text)
 
 
 def lines_of(text: Column) -> Column:

@@ -133,21 +133,23 @@ def hints_at_product(url: Column) -> Column:
 @F.pandas_udf(StringType())
 def _join(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b, h):
-        if b is None or h is None:
-            return None
         try:
             return urljoin(b, h)
         except ValueError:
             return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+    out = pd.Series([None] * len(base), dtype=object)
+    told = (base.notna() & href.notna()).to_numpy().nonzero()[0]
+    for k in told:
+        out.iat[k] = one(base.iat[k], href.iat[k])
+    return out
 
 
 def resolved(base: Column, href: Column) -> Column:
     """A reference against the address of its page, by RFC 3986.
 
-    Absolute ones, those from the root and plain names are joined by expressions; only those with dot segments
-    or a query alone go to Arrow.
+    Absolute ones, those from the root and plain names are joined by expressions; for them Python sees nulls, which it
+    passes on. Only those with dot segments or a query alone are joined there.
     """
     site = F.concat(F.lower(_part(base, _SCHEME)), F.lit("://"), _part(base, _AUTHORITY))
     folder = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*", 0), r"(?<=[^/:]/)[^/]*$", "")
@@ -159,4 +161,4 @@ def resolved(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(site, href))
         .otherwise(F.concat(folder, href))
     )
-    return F.when(dotted, _join(base, href)).otherwise(simple)
+    return F.when(dotted, _join(F.when(dotted, base), F.when(dotted, href))).otherwise(simple)

@@ -266,22 +266,43 @@ def x20_normalised(spark: SparkSession, d: str) -> DataFrame:
     return titles.normalised(_table(spark, d, "canonical_products").select("id", "raw_title", "brand"), "raw_title", "brand").select("id", "spec.*")
 
 
+_PAYMENTS = """concat_ws(' ', text,
+  CASE WHEN doc_id % 5 = 0 THEN concat('Pay ', 2 + doc_id % 64, ' x Rs. ', 1000 + doc_id * 37 % 90000, ' with ', {p}, '.')
+       WHEN doc_id % 5 = 1 THEN concat({p}, ': ', 2 + doc_id % 64, ' installments of LKR ', 1000 + doc_id * 37 % 90000, '.50 only.')
+       WHEN doc_id % 5 = 2 THEN concat('Pay in ', 2 + doc_id % 64, ' of 1,', 100 + doc_id % 900, '/- by ', {p}, ' or ', {q}, '.')
+       WHEN doc_id % 5 = 3 THEN concat('Choose ', {p}, ' and make ', 2 + doc_id % 64, ' payments of rs ', 1000 + doc_id * 37 % 90000, '; ', {q}, ' too.')
+       ELSE concat({p}, ' is accepted here.') END,
+  concat({a}, ' credit cards ', doc_id % 97, '% off for ', 3 + doc_id % 30, ' months.'), CASE WHEN doc_id % 3 > 0 THEN concat({b}, ' offers 0% interest for ', 6 + doc_id % 9, ' month plans.') END,
+  CASE WHEN doc_id % 4 = 0 THEN concat('A ', doc_id % 5, '.5% credit card surcharge applies.') WHEN doc_id % 4 = 1 THEN concat('Convenience fee of Rs. ', 100 + doc_id % 400, '.')
+       WHEN doc_id % 4 = 2 THEN concat('Visa payment has a fee of ', 1 + doc_id % 6, '%. Processing surcharge of LKR ', doc_id % 90 + 10) ELSE concat('payment processing fee ', 1 + doc_id % 3, '.25%') END)"""
+
+
+def _payments(pick) -> str:
+    """An expression, the same in both engines, for a document's text with what shops say of paying beside it; ``pick`` takes the k-th of some words."""
+    providers, banks = "'Koko', 'MintPay', 'payhere', 'KKO', 'WebXPay', 'Afterpay'", "'HNB', 'combank', 'Sampath Bank', 'Peoples Bank', 'BOC', 'HSBC', 'Seylan', 'Commercial  Bank', 'NDB', 'Amana Bank', 'No Bank'"
+    return _PAYMENTS.format(p=pick(providers, "doc_id % 6"), q=pick(providers, "(doc_id * 5 + 2) % 6"), a=pick(banks, "doc_id % 11"), b=pick(banks, "(doc_id * 7 + 3) % 11"))
+
+
+def _paying(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.expr(_payments(lambda words, k: f"element_at(array({words}), CAST({k} AS INT) + 1)")).alias("text"))
+
+
+_PAYING = f"(SELECT doc_id, {_payments(lambda words, k: f'([{words}])[{k} + 1]')} AS t FROM documents)"
+
+
 def x7_plans(spark: SparkSession, d: str) -> DataFrame:
-    """Instalment plans in the texts of all documents."""
-    docs = _table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"Split (?:LKR|Rs\.?) ([\d,]+) into (\d+) parts", "Pay $2 x Rs. $1 with koko").alias("text"))
-    return docs.select("doc_id", F.explode(commerce.plans(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    """Instalment plans in the texts of all documents, each with what a shop says of paying beside it."""
+    return _paying(spark, d).select("doc_id", F.explode(commerce.plans(F.col("text"))).alias("p")).select("doc_id", "p.*")
 
 
 def x8_offers(spark: SparkSession, d: str) -> DataFrame:
-    """Bank offers in the texts of all documents."""
-    docs = _table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "Card holders save", "HNB card holders save").alias("text"))
-    return docs.select("doc_id", F.explode(commerce.offers(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    """Bank offers in the same texts."""
+    return _paying(spark, d).select("doc_id", F.explode(commerce.offers(F.col("text"))).alias("p")).select("doc_id", "p.*")
 
 
 def x9_surcharges(spark: SparkSession, d: str) -> DataFrame:
-    """Fees of at most two digits percent that texts put on cards; texts say 'save', so the word is made one of fees."""
-    docs = _table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"Card holders save (\d+)%", "card fee of $1%").alias("text"))
-    return docs.select("doc_id", F.explode(commerce.surcharges(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("s.surcharge_pct").alias("total"))
+    """Fees in the same texts: how many there are, and the sums of those in percent and in rupees."""
+    return _paying(spark, d).select("doc_id", F.explode(commerce.surcharges(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("s.surcharge_pct").alias("percent"), F.sum("s.surcharge_lkr").alias("rupees"))
 
 
 def s15_defect_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -314,24 +335,21 @@ def _normalised_sql() -> str:
     lit = lambda p: "'(?i)" + p.replace("'", "''") + "'"
     word = lambda p: lit(rf"\b(?:{p})\b")
     one = lambda p, k=1: f"nullif(regexp_extract(c, {lit(p)}, {k}), '')"
-    has = lambda p: f"regexp_matches(c, {lit(p)})"
     junk = "|".join(rf"\b{j.replace(' ', _S)}" + ("" if j.startswith("\\") else r"\b") for j in titles.JUNK)
     conditions = " ".join(f"WHEN regexp_matches(raw_title, {word(p)}) THEN '{n}'" for n, p in titles.CONDITIONS)
     subs = " ".join(f"WHEN regexp_matches(c, {word(m.replace(' ', _S))}) THEN '{m.lower()}'" for m in titles.SUB_MODELS)
     pair, single, region = r"(\d+)\s*gb?\s*/\s*(\d+)\s*gb|(\d+)\s*/\s*(\d+)\s*gb", r"\d+\s*gb", r"\b(" + "|".join(titles.REGIONS) + r")\b"
-    tight = lambda x: f"regexp_replace(lower({x}), '\\s+', '', 'g')"
-    plug = lambda n, k: f"CASE WHEN ports IS NULL THEN coalesce({one(rf'(\d)\s*[-x]?\s*(?:{k})' + _B)} || '{n}', CASE WHEN {has(_B + f'(?:{k})' + _B)} THEN '1{n}' END) END"
-    parts = [
-        tight(one(r"\b(rtx\s*[34]0\d0(?:\s*ti)?|rx\s*7\d00(?:\s*xtx|\s*xt)?)\b")), f"lower({one(r'\b(b650e?|x670e?|z790|b760|x870e?|z890|am5|lga1700)\b')})", f"{one(r'(\d{1,2})\s*gb\s*vram\b')} || 'gb_vram'", f"lower({one(r'\b(ddr5|ddr4)\b')})",
-        f"replace(lower({one(r'\b(gen5|gen4|nvme|m\.2)\b')}), '.', '')", f"{one(r'(\d{1,4})\s*w\b')} || 'w'", tight(one(r"\b((?:110|120|220|230|240)\s*v)\b")), "lower(ports)", plug("c", r"usb[-\s]?c|type[-\s]?c"), plug("a", r"usb[-\s]?a"), f"{one(r'(\d{4,6})\s*mah\b')} || 'mah'",
-        *(f"CASE WHEN {has(_B + f'(?:{p})' + ('' if 'cancell' in p else _B))} THEN '{t}' END" for t, p in titles.TAGS),
-    ]
+    def part(row) -> str:
+        shown = [f"CASE WHEN {one(p)} IS NOT NULL THEN replace('{t}', '{{}}', regexp_replace(lower({one(p)}), '[\\s.]+', '', 'g')) END" for p, t in row]
+        return f"coalesce({', '.join(shown)})"
+
+    parts = [part(row) for row in titles.ATTRIBUTES]
     symbol = "[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
     return f"""
 WITH a AS (SELECT id, brand, raw_title, CASE {conditions} ELSE 'new' END AS k,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(raw_title, ''), '{titles._EMOJI}', ' ', 'g'), {lit(junk)}, ' ', 'g'), '\\([^)]{{0,60}}\\)', ' ', 'g'), '[★✓✅☆►•·\\-]{{2,}}', ' ', 'g'), '{_BLANKS}', ' ', 'g')) AS c FROM canonical_products),
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(raw_title, ''), '{titles.EMOJI}', ' ', 'g'), {lit(junk)}, ' ', 'g'), '\\([^)]{{0,60}}\\)', ' ', 'g'), '[★✓✅☆►•·\\-]{{2,}}', ' ', 'g'), '{_BLANKS}', ' ', 'g')) AS c FROM canonical_products),
 b AS (SELECT *, coalesce(lower({one(_B + '(' + '|'.join(titles.BRANDS) + ')' + _B)}), trim(lower(brand)), '') AS b, CASE {subs} ELSE '' END AS s, lower(regexp_extract(c, {lit(region)}, 1)) AS r,
-  coalesce({one(r"\b(\dc\da)\b")}, {one(r"\b(\dc)\b")}, {one(r"\b(\da)\b")}) AS ports, regexp_matches(c, {lit(pair)}) AS paired FROM a),
+  regexp_matches(c, {lit(pair)}) AS paired FROM a),
 m AS (SELECT *, CASE WHEN paired THEN TRY_CAST(coalesce({one(pair, 1)}, {one(pair, 3)}) AS INTEGER) END AS ram, TRY_CAST(CASE WHEN paired THEN coalesce({one(pair, 2)}, {one(pair, 4)}) ELSE {one(r"(\d+)\s*gb")} END AS INTEGER) AS sto,
   coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(parts)}], lambda x: x IS NOT NULL))), '_'), '') AS att,
   CASE WHEN b <> '' THEN regexp_replace(c, '(?i)\\b' || regexp_escape(b) || '\\b', '', 'g') ELSE c END AS f1 FROM b),
@@ -344,14 +362,33 @@ SELECT id, b AS brand, trim(fam) AS model_family, s AS sub_model, ram AS ram_gb,
 FROM i"""
 
 
-_AMOUNT = "(?:rs[.]?|lkr|₨)?\\s*([0-9][0-9,]*(?:[.][0-9]{1,2})?)"
+def _quote(pattern: str) -> str:
+    return "'(?is)" + pattern.replace("'", "''") + "'"
+
+
 _PLANS = f"""
-WITH d AS (SELECT doc_id, regexp_replace(text, 'Split (?:LKR|Rs[.]?) ([0-9,]+) into ([0-9]+) parts', 'Pay \\2 x Rs. \\1 with koko', 'g') AS t FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, t, unnest(range(1, CAST(length(t) AS BIGINT) - 2)) AS pos FROM d WHERE contains(lower(t), 'koko')),
-w AS (SELECT doc_id, substring(t, greatest(1, pos - 80), pos + 160 - greatest(1, pos - 80)) AS w FROM p WHERE lower(substring(t, pos, 4)) = 'koko'),
-m AS (SELECT doc_id, regexp_extract(w, '(?i)([0-9]{{1,2}})\\s*(?:x|×|installments?\\s+of|payments?\\s+of|of)\\s*{_AMOUNT}', 1) AS n, regexp_extract(w, '(?i)([0-9]{{1,2}})\\s*(?:x|×|installments?\\s+of|payments?\\s+of|of)\\s*{_AMOUNT}', 2) AS v FROM w),
-c AS (SELECT DISTINCT doc_id, TRY_CAST(n AS INTEGER) AS n, TRY_CAST(replace(v, ',', '') AS DOUBLE) AS v FROM m)
-SELECT doc_id, 'koko' AS provider, n AS cycles, v AS installment_amount, round(n * v, 2) AS total_payable FROM c WHERE n BETWEEN 2 AND 60 AND v > 0"""
+WITH p AS (SELECT doc_id, t, unnest(range(1, CAST(length(t) AS BIGINT) + 1)) AS pos FROM {_PAYING} WHERE regexp_matches(lower(t), '{"|".join(commerce.PROVIDERS)}')),
+w AS (SELECT doc_id, n.name, substring(t, greatest(1, pos - {commerce.BEFORE_PLAN}), pos + {commerce.AFTER_PLAN} - greatest(1, pos - {commerce.BEFORE_PLAN})) AS w FROM p JOIN (SELECT unnest({commerce.PROVIDERS}) AS name) n ON lower(substring(t, pos, length(n.name))) = n.name),
+m AS (SELECT doc_id, name, k, regexp_extract(w, CASE k WHEN 0 THEN {_quote(commerce.CYCLES[0])} ELSE {_quote(commerce.CYCLES[1])} END, 1) AS n, regexp_extract(w, CASE k WHEN 0 THEN {_quote(commerce.CYCLES[0])} ELSE {_quote(commerce.CYCLES[1])} END, 2) AS v, w FROM w, (SELECT unnest([0, 1]) AS k)),
+c AS (SELECT doc_id, name, w, k, TRY_CAST(n AS INTEGER) AS n, TRY_CAST(replace(v, ',', '') AS DOUBLE) AS v FROM m),
+f AS (SELECT doc_id, name, w, arg_min(n, k) AS n, arg_min(v, k) AS v FROM c WHERE n BETWEEN {commerce.LEAST_CYCLES} AND {commerce.MOST_CYCLES} AND v > 0 GROUP BY doc_id, name, w)
+SELECT DISTINCT doc_id, CASE name WHEN 'kko' THEN 'koko' ELSE name END AS provider, n AS cycles, v AS installment_amount, round(n * v, 2) AS total_payable FROM f"""
+
+_BANK_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, t, '{bank.replace(chr(39), chr(39) * 2)}' AS bank, length(regexp_extract(t, {_quote('^(.*?)(?:' + p + ')')}, 1)) AS b, length(regexp_extract(t, {_quote('^.*?(?:' + p + ')')}, 0)) AS e FROM d WHERE regexp_matches(t, {_quote(p)})" for bank, p in commerce.BANKS
+)
+_OFFERS = f"""
+WITH d AS (SELECT * FROM {_PAYING}), h AS ({_BANK_HITS}),
+n AS (SELECT *, greatest(coalesce(lag(e) OVER w, 0), b - {commerce.BEFORE_OFFER}) AS l, least(coalesce(lead(b) OVER w, length(t)), e + {commerce.AFTER_OFFER}) AS r FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY b, e, bank)),
+s AS (SELECT doc_id, bank, substring(t, l + 1, r - l) AS a, substring(t, e + 1, r - e) AS f FROM n)
+SELECT doc_id, bank, TRY_CAST(coalesce(nullif(regexp_extract(f, {_quote(commerce.PERCENT)}, 1), ''), nullif(regexp_extract(a, {_quote(commerce.PERCENT)}, 1), '')) AS DOUBLE) AS discount_pct,
+ TRY_CAST(coalesce(nullif(regexp_extract(f, {_quote(commerce.MONTHS)}, 1), ''), nullif(regexp_extract(a, {_quote(commerce.MONTHS)}, 1), '')) AS INTEGER) AS installment_months,
+ substring(regexp_replace(a, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'), 1, {commerce.OFFER_SHOWN}) AS raw_text FROM s WHERE regexp_matches(a, {_quote(commerce.OFFER)})"""
+
+_FEES = f"""
+WITH m AS ({" UNION ALL ".join(f"SELECT doc_id, '{method}' AS method, unnest(regexp_extract_all(t, {_quote(p)}, 0)) AS m FROM {_PAYING}" for method, p in commerce.SURCHARGES)}),
+v AS (SELECT DISTINCT doc_id, method, contains(m, '%') AS pct, TRY_CAST(replace(regexp_extract(m, '[0-9][0-9,]*(?:[.][0-9]{{1,2}})?'), ',', '') AS DOUBLE) AS v FROM m)
+SELECT doc_id, count(*) AS n, sum(v) FILTER (pct) AS percent, sum(v) FILTER (NOT pct) AS rupees FROM v WHERE v IS NOT NULL GROUP BY doc_id"""
 
 SQL = {
     "x7_plans": _PLANS,
@@ -373,8 +410,8 @@ SQL = {
  TRY_CAST(nullif(coalesce(nullif(regexp_extract(t, '[0-9]+\\s*(gb?)?\\s*/\\s*([0-9]+)\\s*gb', 2), ''), regexp_extract(t, '([0-9]+)\\s*gb', 1)), '') AS BIGINT) AS storage_gb,
  regexp_matches(t, '\\b(monitor|display|keyboard|ssd|nvme|drone|headphones?|earbuds?|tws|charger|powerbank|power\\s+bank|mouse|gpu|graphics\\s+card)\\b') AS no_phone
  FROM (SELECT id, lower(raw_title) AS t FROM canonical_products)""",
-    "x9_surcharges": """SELECT doc_id, CAST(len(f) AS BIGINT) AS n, list_sum(CAST(f AS DOUBLE[])) AS total
- FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, 'Card holders save ([0-9]{1,2})%', 1)) AS f FROM documents WHERE text IS NOT NULL) WHERE len(f) > 0""",
+    "x8_offers": _OFFERS,
+    "x9_surcharges": _FEES,
     "f1_canonical_url": f"SELECT item_id, {_CANON.format(u='product_url')} AS url FROM scraped_items",
     "f2_canonical_keeping_query": "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(product_url, '#.*$', ''), '/+([?]|$)', '\\1'), '[?]$', '') AS url FROM scraped_items",
     "f4_hosts": """SELECT inspection_id, h AS host, h AS netloc, CASE WHEN len(p) <= 2 THEN h ELSE array_to_string(p[-2:], '.') END AS site, 'https://' || h || '/' AS origin
@@ -415,5 +452,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x8_offers", "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
+_NAMES = [*SQL, "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
 QUERIES = {name: globals()[name] for name in _NAMES}

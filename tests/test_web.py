@@ -142,17 +142,41 @@ def test_robots_sitemaps_and_results(spark):
 
 
 def test_instalments_offers_and_fees(spark):
-    plans = commerce.plans_in("Pay 12 x Rs. 10,000 with Koko or 3 x USB cables")
-    assert plans == [{"provider": "koko", "cycles": 12, "installment_amount": 10000.0, "total_payable": 120000.0}]
-    assert commerce.plans_in("3 x 9,900") == [] and commerce.plans_in(None) == []
+    said = lambda text: [p.asDict() for p in one(spark, text, commerce.plans(F.col("v")).alias("p")).p]
+    assert said("Pay 12 x Rs. 10,000 with Koko or 3 x USB cables") == [{"provider": "koko", "cycles": 12, "installment_amount": 10000.0, "total_payable": 120000.0}]
+    assert said("3 x 9,900") == said(None) == said("koko " * 3000) == []
+    assert [(p["provider"], p["cycles"]) for p in said("😍 KKO: 4 of Rs 500. " + "x" * 300 + " webxpay pay in 61 of 5, pay in 6 of 700/-")] == [("koko", 4)]
     got = one(spark, "Mintpay: 3 installments of 9,900", commerce.with_markup(commerce.plans(F.col("v")), F.lit(27000.0)).alias("p")).p
     assert [(p.provider, p.cycles, p.markup_pct) for p in got] == [("mintpay", 3, 10.0)]
-    offers = commerce.offers_in("HNB cards 15% off for 12 months. Sampath Bank credit card 10% discount")
-    assert [(o["bank"], o["discount_pct"], o["installment_months"]) for o in offers] == [("HNB", 15.0, 12), ("Sampath Bank", 10.0, 12)]  # silent after its name, so what stands before counts
+    offers = one(spark, "👍🏽 HNB cards 15% off for 12 months. Sampath Bank credit card 10% discount", commerce.offers(F.col("v")).alias("o")).o
+    assert [(o.bank, o.discount_pct, o.installment_months) for o in offers] == [("HNB", 15.0, 12), ("Sampath Bank", 10.0, 12)]  # silent after its name, so what stands before counts
+    assert offers[1].raw_text == "cards 15% off for 12 months. Sampath Bank credit card 10% discount" and one(spark, None, commerce.offers(F.col("v")))[0] == []
     fees = one(spark, "3% credit card surcharge. Convenience fee of Rs. 250. convenience fee of Rs 250. processing fee 2.5%", commerce.surcharges(F.col("v")).alias("s")).s
     assert [(f.method, f.surcharge_pct, f.surcharge_lkr) for f in fees] == [("credit_card", 3.0, None), ("convenience_fee", None, 250.0), ("processing_fee", 2.5, None)]
     assert one(spark, None, commerce.surcharges(F.col("v")))[0] == []
-    assert one(spark, "Hurry! Suite #12, only 3 left", commerce.homepage_signals(F.col("v")))[0] == ["fake_urgency_timer", "false_scarcity_counter", "virtual_office_detected", "no_physical_address"]
+
+
+def test_python_sees_only_what_needs_it(spark):
+    """Rows that expressions can do come to Python as nulls."""
+    import pandas as pd
+    from pyspark.sql.types import StringType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(*columns: pd.Series) -> pd.Series:
+        seen.add(int(columns[0].notna().sum()))
+        return columns[-1]
+
+    df = spark.createDataFrame([("plain", "https://a.example/x", "/p/1")] * 50 + [("ｗide", "https://a.example/x/", "../y")] * 3, "t string, base string, href string")
+    for module, name, column in ((T, "_nfkc", lambda: T.nfkc(F.col("t"))), (U, "_join", lambda: U.resolved(F.col("base"), F.col("href")))):
+        real, seen.value = getattr(module, name), 0
+        setattr(module, name, F.pandas_udf(count, StringType()))
+        try:
+            df.select(column().alias("x")).collect()
+        finally:
+            setattr(module, name, real)
+        assert seen.value == 3
+    assert {r.x for r in df.select(T.nfkc(F.col("t")).alias("x")).collect()} == {"plain", "wide"}
 
 
 def test_rings_and_evidence(spark):
