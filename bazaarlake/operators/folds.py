@@ -78,6 +78,35 @@ def claimed(queue: DataFrame, n: int, status: str = "status", pending: str = "pe
     return queue.where(F.col(status) == pending).orderBy(*order).limit(n)
 
 
+def claimed_per(queue: DataFrame, n: int, group: str, status: str = "status", pending: str = "pending", order: list[str] = ("enqueued_at", "id")) -> DataFrame:
+    """The first ``n`` pending rows of each group; groups are cut as they sort, so a hot group sends few rows on."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return queue.where(F.col(status) == pending).withColumn("__bl_n", place).where(F.col("__bl_n") <= n).drop("__bl_n")
+
+
+def job_states(log: DataFrame, key: str, status: str, order: list[str], at: str) -> DataFrame:
+    """(key, status, attempts, claimed_at, completed_at): what a log of pending, claimed, done, failed and retried leaves.
+
+    A job is as its last event says, pending again after retried and as long as nothing but pending was said. A
+    retry takes away when it was claimed and ended before; attempts are all claims. Two aggregates, each combined
+    before its shuffle, so a job with a third of all events is no hot task.
+    """
+    what = F.col(status)
+    reset = log.where(what == "retried").groupBy(key).agg(F.max(_order(order)).alias("__bl_reset"))
+    after = F.col("__bl_reset").isNull() | (_order(order) > F.col("__bl_reset"))
+    folded = log.join(reset, key, "left").groupBy(key).agg(
+        F.max_by(status, F.when(what != "pending", _order(order))).alias("__bl_s"), F.count_if(what == "claimed").alias("attempts"),
+        F.max(F.when((what == "claimed") & after, F.col(at))).alias("claimed_at"), F.max(F.when(what.isin("done", "failed") & after, F.col(at))).alias("completed_at"),
+    )
+    return folded.select(key, F.coalesce(F.nullif("__bl_s", F.lit("retried")), F.lit("pending")).alias("status"), "attempts", "claimed_at", "completed_at")
+
+
+def stale_claims(jobs: DataFrame, as_of: Column, ttl_seconds: int) -> DataFrame:
+    """Jobs (status, claimed_at) that were claimed more than ``ttl_seconds`` before a moment and never ended; such may be retried."""
+    age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("claimed_at").cast("timestamp"))
+    return jobs.where((F.col("status") == "claimed") & (age > ttl_seconds))
+
+
 def latest_status(events: DataFrame, key: str, status: str, order: list[str], since: str) -> DataFrame:
     """(key, status, attempts, changed_at): the state that a log of events leaves; attempts are claims."""
     return events.groupBy(key).agg(F.max_by(status, _order(order)).alias("status"), F.count_if(F.col(status) == "claimed").alias("attempts"), F.max(since).alias("changed_at"))

@@ -28,8 +28,9 @@ _QUEUE = """(SELECT inspection_id AS id, url, lower(regexp_extract(url, '://([^/
   inspected_at AS found_at, CASE WHEN http_status >= 400 THEN page_title END AS error_msg, merchant_id FROM page_inspections)"""
 
 
-def _jobs(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "claimed").otherwise("pending")
+def _jobs(spark: SparkSession, d: str, signup: str = "pending") -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "done").when(kind == "error", "failed").when(kind == "click", "claimed").when(kind == "signup", signup).otherwise("pending")
     return _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("product_id"), status.alias("status"), F.col("ts").alias("enqueued_at"))
 
 
@@ -37,30 +38,38 @@ _JOBS = """(SELECT event_id AS id, user_id AS product_id,
   CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'claimed' ELSE 'pending' END AS status, ts AS enqueued_at FROM events)"""
 
 
+def _placed(page: DataFrame, order: list[Column], offset: int = 0) -> DataFrame:
+    """A page of results with the place of each row; a page is as small as its limit says."""
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint") + offset)
+
+
 def catalog(spark: SparkSession, d: str, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Products with their lowest price, listings and documents, newest first; listings are summed before the join.
+    """Products with their lowest price, listings and documents, newest first; ``place`` is the place in that order.
 
-    A page of results is chosen before anything is joined to it.
+    A page of results is chosen before anything is joined to it, and it is sorted again at the end.
     """
     products = _table(spark, d, "canonical_products")
     if search and search.strip():
         like = f"%{search.strip()}%"
         products = products.where(F.col("clean_title").ilike(like) | F.col("raw_title").ilike(like) | F.col("brand").ilike(like) | F.col("model_family").ilike(like))
-    page = products.select("id", "clean_title", "brand", "first_seen_at").orderBy(F.desc("first_seen_at"), F.desc("id")).offset(offset).limit(limit)
-    listed = _table(spark, d, "listings").join(F.broadcast(page.select(F.col("id").alias("product_id"))), "product_id", "left_semi")
+    order = [F.desc("first_seen_at"), F.desc("id")]
+    chosen = products.select("id", "clean_title", "brand", "first_seen_at").orderBy(*order).offset(offset).limit(limit)
+    page = _placed(chosen, order, offset)
+    ids = small(page.select(F.col("id").alias("product_id")))
+    listed = _table(spark, d, "listings").join(ids, "product_id", "left_semi")
     prices = listed.groupBy("product_id").agg(F.min("current_price_lkr").alias("low"), F.count("id").alias("n"))
-    notes = _table(spark, d, "documents").join(F.broadcast(page.select(F.col("id").alias("product_id"))), "product_id", "left_semi").groupBy("product_id").agg(F.count("doc_id").alias("docs"))
+    notes = _table(spark, d, "documents").join(ids, "product_id", "left_semi").groupBy("product_id").agg(F.count("doc_id").alias("docs"))
     full = page.join(prices, page["id"] == prices["product_id"], "left").drop("product_id").join(notes, F.col("id") == notes["product_id"], "left")
-    return full.select(
-        F.col("id").alias("product_id"), "clean_title", "brand", F.col("low").cast("double").alias("lowest_price"), F.coalesce("n", F.lit(0)).alias("listing_count"), F.coalesce("docs", F.lit(0)).alias("document_count")
+    return full.orderBy("place").select(
+        "place", F.col("id").alias("product_id"), "clean_title", "brand", F.col("low").cast("double").alias("lowest_price"), F.coalesce("n", F.lit(0)).alias("listing_count"), F.coalesce("docs", F.lit(0)).alias("document_count")
     )
 
 
 def _catalog_sql(where: str, tail: str) -> str:
-    return f"""WITH page AS (SELECT id, clean_title, brand FROM canonical_products {where} ORDER BY first_seen_at DESC, id DESC {tail})
-SELECT p.id AS product_id, p.clean_title, p.brand, CAST(min(l.current_price_lkr) AS DOUBLE) AS lowest_price, count(l.id) AS listing_count,
+    return f"""WITH page AS (SELECT id, clean_title, brand, row_number() OVER (ORDER BY first_seen_at DESC, id DESC) AS place FROM canonical_products {where} ORDER BY first_seen_at DESC, id DESC {tail})
+SELECT p.place, p.id AS product_id, p.clean_title, p.brand, CAST(min(l.current_price_lkr) AS DOUBLE) AS lowest_price, count(l.id) AS listing_count,
        (SELECT count(*) FROM documents d WHERE d.product_id = p.id) AS document_count
-FROM page p LEFT JOIN listings l ON l.product_id = p.id GROUP BY p.id, p.clean_title, p.brand"""
+FROM page p LEFT JOIN listings l ON l.product_id = p.id GROUP BY p.place, p.id, p.clean_title, p.brand"""
 
 
 def e1_system_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +83,13 @@ def e1_system_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e3_queue_jobs(spark: SparkSession, d: str, status: str | None = "failed", limit: int = 50) -> DataFrame:
-    """The newest jobs with the titles of their products; the page is chosen first."""
+    """The newest jobs with the titles of their products, newest first; the page is chosen first and sorted again at the end."""
     jobs = _jobs(spark, d)
     jobs = jobs if status is None else jobs.where(F.col("status") == status)
-    page = jobs.orderBy(F.desc("enqueued_at"), F.desc("id")).limit(limit)
+    order = [F.desc("enqueued_at"), F.desc("id")]
+    page = _placed(jobs.orderBy(*order).limit(limit), order)
     titles = _table(spark, d, "canonical_products").select(F.col("id").alias("product_id"), "clean_title", "brand")
-    return page.join(titles, "product_id", "left").select("id", "product_id", "status", "clean_title", "brand")
+    return page.join(titles, "product_id", "left").orderBy("place").select("place", "id", "product_id", "status", "clean_title", "brand")
 
 
 def e5_product_listings(spark: SparkSession, d: str) -> DataFrame:
@@ -104,9 +114,14 @@ def e5_bundle(spark: SparkSession, d: str) -> DataFrame:
     )
     docs = _table(spark, d, "documents").where("product_id is not null").groupBy("product_id").agg(F.count(F.lit(1)).alias("documents"), F.max("crawled_at").alias("seen"))
     base = _table(spark, d, "canonical_products").select(F.col("id").alias("product_id"), "pipeline_status")
-    return base.join(offers, "product_id", "left").join(docs, "product_id", "left").select(
+    owners = _table(spark, d, "listings").select(F.col("id").alias("listing_id"), "product_id")
+    newest = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("updated_at"), F.desc("received_at"), F.desc("update_id")))
+    points = _table(spark, d, "listing_updates").where("updated_at is not null").select("listing_id", "update_id", "updated_at", "received_at").distinct().join(owners, "listing_id").withColumn("n", newest).where("n <= 5")
+    logs = points.groupBy("product_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "update_id"))), lambda x: x["update_id"].cast("string")), ",").alias("log_ids"))  # five at most
+    return base.join(offers, "product_id", "left").join(docs, "product_id", "left").join(logs, "product_id", "left").select(
         "product_id", "pipeline_status", F.coalesce(F.size("listings"), F.lit(0)).cast("bigint").alias("listing_count"), F.get("listings", F.lit(0))["listing_id"].alias("cheapest_listing"),
         F.array_join(F.transform("listings", lambda x: x["listing_id"].cast("string")), ",").alias("listing_ids"), F.coalesce("documents", F.lit(0)).alias("documents"),
+        "log_ids",
     )
 
 
@@ -125,7 +140,10 @@ def e7_last_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e8_domain_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _queue(spark, d).groupBy("domain").agg(*_crawl_counts(), F.max(F.col("at")).alias("m")).select("domain", "total", "pending", "completed", "failed", F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("last_discovered"))
+    """Each domain's counts, that with the newest find first; a row per domain."""
+    per = _queue(spark, d).groupBy("domain").agg(*_crawl_counts(), F.max(F.col("at")).alias("m"))
+    order = [F.col("m").desc_nulls_last(), F.col("domain").asc_nulls_first()]
+    return _placed(per, order).orderBy("place").select("place", "domain", "total", "pending", "completed", "failed", F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("last_discovered"))
 
 
 def e9_domain_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +174,25 @@ def j6_new_vs_known(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j10_authorised(spark: SparkSession, d: str) -> DataFrame:
-    """Products offered by merchants that are authorised for their brand."""
-    pairs = _table(spark, d, "merchants").select(F.col("id").alias("merchant_id"), F.explode("authorized_brands").alias("brand")).distinct()
-    offers = _table(spark, d, "listings").select("product_id", "merchant_id")
-    products = _table(spark, d, "canonical_products").select(F.col("id").alias("product_id"), "brand").where("brand is not null")
-    return offers.join(products, "product_id").join(small(pairs), ["merchant_id", "brand"]).groupBy("brand").agg(F.count(F.lit(1)).alias("offers"), F.countDistinct("merchant_id").alias("merchants"))
+    """Scraped offers by brand, and how many are at a host that holds the name of a merchant authorised for the brand.
+
+    Brands must be equal, the name must be contained in the host; distinct pairs of both are compared, not rows.
+    """
+    agents = _table(spark, d, "merchants").select(F.explode("authorized_brands").alias("brand"), F.regexp_extract("domain", r"^([^.]+)", 1).alias("agent")).where("agent <> ''").distinct()
+    offers = _table(spark, d, "scraped_items").where("brand is not null").groupBy("brand", U.host(F.col("product_url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    told = offers.alias("o").join(small(agents).alias("a"), (F.col("o.brand") == F.col("a.brand")) & F.col("o.host").contains(F.col("a.agent")), "left_semi").withColumn("ok", F.lit(True))
+    return offers.join(told.select("brand", "host", "ok"), ["brand", "host"], "left").groupBy("brand").agg(F.sum("n").alias("offers"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("authorised"))
+
+
+def e6_dossiers(spark: SparkSession, d: str) -> DataFrame:
+    """Each product's dossier, null where nobody wrote of it; documents stand in for what is told of a product."""
+    docs = _table(spark, d, "documents").where("product_id is not null")
+    told = docs.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("source_count"), F.max_by("doc_id", F.struct("crawled_at", "doc_id")).alias("latest"), F.min("crawled_at").alias("a"), F.max("crawled_at").alias("b")
+    )
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    base = _table(spark, d, "canonical_products").select(F.col("id").alias("product_id"))
+    return base.join(told, "product_id", "left").select("product_id", "documents", "source_count", "latest", when("a").alias("generated_at"), when("b").alias("updated_at"))
 
 
 def j11_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +223,27 @@ def q1_claim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q2_claim_of_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The two oldest pending addresses of each domain as they are once claimed: in progress, with one attempt more.
+
+    Attempts so far are the failed inspections of the address.
+    """
     q = _queue(spark, d).withColumn("enqueued_at", F.col("at"))
-    first = q.where("status = 'pending'").groupBy("domain").agg(F.min_by("id", F.struct("enqueued_at", "id")).alias("id"))
-    return first
+    tried = q.where("status = 'failed'").groupBy("url").agg(F.count(F.lit(1)).alias("attempts"))
+    first = folds.claimed_per(q, 2, "domain")
+    return first.join(tried, "url", "left").select("domain", "id", F.lit("in_progress").alias("status"), (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"))
+
+
+def q13_stale_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs whose claim is older than a day at a moment and that nothing ended since."""
+    jobs = folds.job_states(_jobs(spark, d), "product_id", "status", ["enqueued_at", "id"], "enqueued_at")
+    return folds.stale_claims(jobs, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 86_400).select("product_id", F.date_format("claimed_at", "yyyy-MM-dd HH:mm:ss").alias("claimed_at"))
+
+
+def m11_job_states(spark: SparkSession, d: str) -> DataFrame:
+    """What a log of claims, ends and retries leaves of each job: a retry takes claim, end and error away again."""
+    out = folds.job_states(_jobs(spark, d, "retried"), "product_id", "status", ["enqueued_at", "id"], "enqueued_at")
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select("product_id", "status", "attempts", when("claimed_at").alias("claimed_at"), when("completed_at").alias("completed_at"))
 
 
 def s22_context(spark: SparkSession, d: str) -> DataFrame:
@@ -231,26 +281,31 @@ SQL = {
     "e1_system_counters": f"""SELECT {", ".join(f"(SELECT count(*) FROM {_JOBS} WHERE status = '{s}') AS jobs_{s}" for s in ("pending", "claimed", "done", "failed"))},
  (SELECT count(*) FROM canonical_products) AS products, (SELECT count(*) FROM merchants) AS merchants, (SELECT count(*) FROM listings) AS listings,
  (SELECT count(*) FROM listing_updates) AS price_points, (SELECT count(*) FROM documents) AS documents""",
-    "e3_queue_jobs": f"""SELECT j.id, j.product_id, j.status, p.clean_title, p.brand FROM (SELECT * FROM {_JOBS} WHERE status = 'failed' ORDER BY enqueued_at DESC, id DESC LIMIT 50) j
+    "e3_queue_jobs": f"""SELECT j.place, j.id, j.product_id, j.status, p.clean_title, p.brand FROM (SELECT *, row_number() OVER (ORDER BY enqueued_at DESC, id DESC) AS place FROM {_JOBS} WHERE status = 'failed' ORDER BY enqueued_at DESC, id DESC LIMIT 50) j
  LEFT JOIN canonical_products p ON p.id = j.product_id""",
     "e5_product_listings": f"SELECT * FROM {_LISTINGS}",
     "e5_recent_prices": """SELECT listing_id, update_id, n, CAST(current_price_lkr AS DOUBLE) AS price FROM (
  SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY updated_at DESC, received_at DESC, update_id DESC) AS n
  FROM (SELECT DISTINCT listing_id, update_id, updated_at, received_at, current_price_lkr FROM listing_updates WHERE listing_id IS NOT NULL)) WHERE n <= 5""",
-    "e5_bundle": f"""SELECT p.id AS product_id, p.pipeline_status, coalesce(o.n, 0) AS listing_count, o.cheapest AS cheapest_listing, o.ids AS listing_ids, coalesce(dd.n, 0) AS documents
+    "e5_bundle": f"""SELECT p.id AS product_id, p.pipeline_status, coalesce(o.n, 0) AS listing_count, o.cheapest AS cheapest_listing, o.ids AS listing_ids, coalesce(dd.n, 0) AS documents, g.ids AS log_ids
  FROM canonical_products p
  LEFT JOIN (SELECT product_id, count(*) AS n, min(listing_id) FILTER (rank = 1) AS cheapest, string_agg(CAST(listing_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM {_LISTINGS} GROUP BY product_id) o ON o.product_id = p.id
- LEFT JOIN (SELECT product_id, count(*) AS n FROM documents WHERE product_id IS NOT NULL GROUP BY product_id) dd ON dd.product_id = p.id""",
+ LEFT JOIN (SELECT product_id, count(*) AS n FROM documents WHERE product_id IS NOT NULL GROUP BY product_id) dd ON dd.product_id = p.id
+ LEFT JOIN (SELECT product_id, string_agg(CAST(update_id AS VARCHAR), ',' ORDER BY n) AS ids FROM (SELECT l.product_id, u.update_id, row_number() OVER (PARTITION BY l.product_id ORDER BY u.updated_at DESC, u.received_at DESC, u.update_id DESC) AS n
+   FROM (SELECT DISTINCT listing_id, update_id, updated_at, received_at FROM listing_updates WHERE updated_at IS NOT NULL) u JOIN listings l ON l.id = u.listing_id) WHERE n <= 5 GROUP BY product_id) g ON g.product_id = p.id""",
     "e7_crawl_stats": f"SELECT {_COUNTS}, count(*) FILTER (found_at >= TIMESTAMP '2026-06-01') AS since_june FROM {_QUEUE}",
     "e7_last_error": f"SELECT id, domain, error_msg FROM {_QUEUE} WHERE error_msg IS NOT NULL ORDER BY found_at DESC NULLS LAST, id DESC LIMIT 1",
-    "e8_domain_rollup": f"SELECT domain, total, pending, completed, failed, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_discovered FROM (SELECT domain, {_COUNTS}, max(found_at) AS m FROM {_QUEUE} GROUP BY domain)",
+    "e8_domain_rollup": f"SELECT row_number() OVER (ORDER BY m DESC NULLS LAST, domain ASC NULLS FIRST) AS place, domain, total, pending, completed, failed, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_discovered FROM (SELECT domain, {_COUNTS}, max(found_at) AS m FROM {_QUEUE} GROUP BY domain)",
     "e9_domain_profiles": f"SELECT q.id, regexp_replace(q.domain, '^www\\.', '') AS site, m.id AS profile_id, m.city FROM {_QUEUE} q LEFT JOIN merchants m ON m.domain = regexp_replace(q.domain, '^www\\.', '')",
     "e10_complete_products": "SELECT id, pipeline_status FROM (SELECT * FROM canonical_products ORDER BY first_seen_at DESC, id DESC LIMIT 40) WHERE pipeline_status = 'complete' ORDER BY first_seen_at DESC, id DESC LIMIT 10",
     "a3_status_tally": "SELECT pipeline_status AS status, count(*) AS n FROM canonical_products GROUP BY 1",
     "a13_site_outcomes": f"SELECT domain, count(*) FILTER (status = 'completed') AS successes, count(*) FILTER (status = 'failed') AS failures FROM {_QUEUE} GROUP BY domain",
     "j6_new_vs_known": "SELECT known, count(*) AS n, min(item_id) AS first_item FROM (SELECT item_id, raw_title IN (SELECT raw_title FROM canonical_products WHERE raw_title IS NOT NULL) AS known FROM scraped_items WHERE raw_title IS NOT NULL) GROUP BY known",
-    "j10_authorised": """SELECT p.brand, count(*) AS offers, count(DISTINCT l.merchant_id) AS merchants FROM listings l JOIN canonical_products p ON p.id = l.product_id
- JOIN (SELECT DISTINCT id, unnest(authorized_brands) AS brand FROM merchants) a ON a.id = l.merchant_id AND a.brand = p.brand GROUP BY p.brand""",
+    "j10_authorised": """WITH a AS (SELECT DISTINCT brand, regexp_extract(domain, '^([^.]+)', 1) AS agent FROM (SELECT unnest(authorized_brands) AS brand, domain FROM merchants)),
+ o AS (SELECT brand, lower(regexp_extract(product_url, '://([^/?#:]*)', 1)) AS host FROM scraped_items WHERE brand IS NOT NULL)
+SELECT brand, count(*) AS offers, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.brand = o.brand AND contains(o.host, a.agent))) AS authorised FROM o GROUP BY brand""",
+    "e6_dossiers": """SELECT p.id AS product_id, t.documents, t.source_count, t.latest, strftime(t.a, '%Y-%m-%d %H:%M:%S') AS generated_at, strftime(t.b, '%Y-%m-%d %H:%M:%S') AS updated_at FROM canonical_products p LEFT JOIN (
+ SELECT product_id, count(*) AS documents, count(DISTINCT source) AS source_count, arg_max(doc_id, (crawled_at, doc_id)) AS latest, min(crawled_at) AS a, max(crawled_at) AS b FROM documents WHERE product_id IS NOT NULL GROUP BY product_id) t ON t.product_id = p.id""",
     "j11_rates": """SELECT strftime(d.day, '%Y-%m-%d') AS day, f.currency, CAST(f.lkr_per_unit AS DOUBLE) AS rate FROM (SELECT DISTINCT CAST(scraped_timestamp AS DATE) AS day FROM scraped_items WHERE scraped_timestamp IS NOT NULL) d
  JOIN fx_rates f ON f.rate_date = (SELECT max(g.rate_date) FROM fx_rates g WHERE g.currency = f.currency AND g.rate_date <= d.day)""",
     "m21_monthly_history": "SELECT strftime(updated_at, '%Y_%m') AS month, count(*) AS points, CAST(sum(current_price_lkr) AS DOUBLE) AS total FROM listing_updates WHERE updated_at IS NOT NULL GROUP BY 1",
@@ -258,7 +313,15 @@ SQL = {
  SELECT q.vec_id AS query, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance
  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
     "q1_claim": f"SELECT id, product_id FROM {_JOBS} WHERE status = 'pending' ORDER BY enqueued_at, id LIMIT 25",
-    "q2_claim_of_domain": f"SELECT domain, id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY found_at, id) AS n FROM {_QUEUE} WHERE status = 'pending') WHERE n = 1",
+    "q2_claim_of_domain": f"""SELECT q.domain, q.id, 'in_progress' AS status, 1 + (SELECT count(*) FROM {_QUEUE} f WHERE f.url = q.url AND f.status = 'failed') AS attempts
+ FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY found_at, id) AS n FROM {_QUEUE} WHERE status = 'pending') q WHERE q.n <= 2""",
+    "q13_stale_claims": f"""SELECT product_id, strftime(claimed, '%Y-%m-%d %H:%M:%S') AS claimed_at FROM (SELECT product_id, arg_max(status, (enqueued_at, id)) FILTER (status <> 'pending') AS s, max(enqueued_at) FILTER (status = 'claimed') AS claimed FROM {_JOBS} GROUP BY product_id)
+ WHERE s = 'claimed' AND claimed < TIMESTAMP '2024-01-19 00:00:00'""",
+    "m11_job_states": """WITH e AS (SELECT user_id AS product_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'claimed' WHEN 'signup' THEN 'retried' ELSE 'pending' END AS s FROM events),
+ r AS (SELECT product_id, max((ts, event_id)) FILTER (s = 'retried') AS reset FROM e GROUP BY product_id),
+ f AS (SELECT e.product_id, arg_max(s, (ts, event_id)) FILTER (s <> 'pending') AS s, count(*) FILTER (s = 'claimed') AS attempts, max(ts) FILTER (s = 'claimed' AND (reset IS NULL OR (ts, event_id) > reset)) AS c,
+  max(ts) FILTER (s IN ('done', 'failed') AND (reset IS NULL OR (ts, event_id) > reset)) AS d FROM e JOIN r ON r.product_id = e.product_id GROUP BY e.product_id)
+SELECT product_id, CASE WHEN s IS NULL OR s = 'retried' THEN 'pending' ELSE s END AS status, attempts, strftime(c, '%Y-%m-%d %H:%M:%S') AS claimed_at, strftime(d, '%Y-%m-%d %H:%M:%S') AS completed_at FROM f""",
     "s22_context": f"SELECT product_id, '<local_listings>' || string_agg('<listing merchant=\"' || replace(replace(replace(domain, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;') || '\" rank=\"' || rank || '\"/>', '' ORDER BY rank) || '</local_listings>' AS context FROM {_LISTINGS} GROUP BY product_id",
     "pred12_usable": "SELECT merchant_id, count(*) AS usable FROM scraped_items WHERE price_lkr > 0 AND coalesce(raw_title, '') <> '' GROUP BY merchant_id",
 }
