@@ -92,3 +92,20 @@ def vector(text: Column) -> Column:
 
 def vector_text(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: v.cast("string")), ","), F.lit("]"))
+
+
+def pairs_to_map(pairs: Column, key: str = "key", value: str = "value") -> Column:
+    """A list of pairs as a map; of a key that comes again the last value counts, null keys go, null gives an empty map."""
+    rows = F.filter(F.coalesce(pairs, F.array()), lambda p: p[key].isNotNull())
+    last = F.filter(rows, lambda p, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda q: q[key] == p[key]))
+    return F.map_from_arrays(F.transform(last, lambda p: p[key]), F.transform(last, lambda p: p[value]))
+
+
+def coerced(parsed: Column, text: Column, schema: str, needed: str) -> Column:
+    """A structured answer: the parsed one if there is one, else its text read as JSON; null if neither has ``needed``.
+
+    Text around a JSON object, such as a code fence, is left out.
+    """
+    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    read = F.from_json(F.nullif(bare, F.lit("")), schema)
+    return F.coalesce(F.when(parsed[needed].isNotNull(), parsed), F.when(read[needed].isNotNull(), read))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..session import cut
 
 
@@ -43,6 +44,22 @@ def sitemap_leaves(locations: DataFrame, starts: DataFrame, max_rounds: int = 8)
     return locations.where("not is_index").join(maps, "url", "left_semi").select("loc").distinct()
 
 
+def sitemap_products(locations: DataFrame, starts: DataFrame, max_sitemaps: int = 100, max_rounds: int = 8) -> DataFrame:
+    """(site, place, url): the product pages that each site's sitemaps lead to, in the order in which a walk finds them.
+
+    ``locations`` has (url, is_index, pos, loc). Only places of the site itself are followed and kept; addresses are
+    in canonical form. Of a site at most ``max_sitemaps`` files are opened, by depth and name, so a walk ends whatever
+    its files say; sitemaps and pages that come again count once.
+    """
+    within = locations.select(U.canonical(F.col("url")).alias("url"), "is_index", "pos", U.canonical(F.col("loc")).alias("loc"), U.site_of(F.col("url")).alias("site")).where(U.site_of(F.col("loc")) == F.col("site"))
+    children = within.where("is_index").select(F.col("url").alias("src"), F.col("loc").alias("dst"))
+    maps = reached(children, starts.select(U.canonical(F.col("url")).alias("node")), max_rounds)
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("depth", "url"))  # a site's files, not its pages
+    opened = maps.select(F.col("node").alias("url"), "depth", U.site_of(F.col("node")).alias("site")).withColumn("nth", nth).where(F.col("nth") <= max_sitemaps)
+    leaves = within.where(~F.col("is_index") & U.is_product(F.col("loc"))).join(opened.select("url", "nth"), "url")
+    return leaves.groupBy("site", F.col("loc").alias("url")).agg(F.min(F.struct("nth", "pos")).alias("place"))
+
+
 def in_order(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """``df`` with its rank within all rows; meant for results that are small by nature."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

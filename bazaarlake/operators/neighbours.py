@@ -21,55 +21,54 @@ def nearest_to(vectors: DataFrame, query: list[float], k: int, key: str = "vec_i
     return vectors.select(key, cosine_distance(F.col(vector), F.array(*(F.lit(float(v)) for v in query))).alias("distance")).where("distance is not null").orderBy("distance", key).limit(k)
 
 
-#: Query vectors that every task holds at a time.
-BLOCK = 2_000
+#: Query vectors of a block and vectors of a chunk; a task multiplies one with the other.
+BLOCK, CHUNK = 1_000, 4_000
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """(name, name_id, name_v): rows in groups of about ``size``, each group's keys and vectors as two arrays."""
+    parts = max(1, -(-rows.count() // size))
+    grouped = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias(name)).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("r"))
+    return grouped.select(name, F.col("r.id").alias(f"{name}_id"), F.col("r.v").alias(f"{name}_v"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query, rank, key, distance): the k nearest vectors of each query vector but itself, exactly.
 
-    Queries go block by block (at most ``block`` vectors are sent to the tasks); each task multiplies its
-    vectors with a block and keeps k per query, and the candidates, k per query and task, are merged. Null,
-    empty and zero vectors have no neighbours and are none; ties go to the lower key.
+    Queries against all vectors, in blocks: every block of queries meets every chunk of vectors in some task, which
+    multiplies the two and keeps k per query; the candidates, k per query and chunk, are merged. Nothing comes to the
+    driver. Null, empty and zero vectors and those of another length than the query have no distance and are
+    none; ties go to the lower key; repeated rows repeat.
     """
-    spark = vectors.sparkSession
-    usable = queries.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(key, vector)
-    numbered = usable.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(max(1, -(-usable.count() // max(1, block // 2))))))
-    parts = []
-    for (b,) in sorted(numbered.select("_b").distinct().collect()):
-        rows = numbered.where(F.col("_b") == b).select(key, vector).collect()
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]))
-
-        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            best: dict[int, list[tuple[float, int]]] = {}
-            for pdf in batches:
-                pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == matrix.shape[1])] if len(matrix) else pdf[:0]
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(m, axis=1)
-                keys, m = pdf[key].to_numpy()[n > 0], m[n > 0] / n[n > 0, None]
-                far = 1 - matrix @ m.T
-                take = np.argpartition(far, min(k, far.shape[1] - 1), axis=1)[:, : k + 1]
-                for q in range(len(ids)):
-                    edge = far[q, take[q]].max()
-                    found = [(far[q, j], keys[j]) for j in np.flatnonzero(far[q] <= edge) if keys[j] != ids[q]]
-                    best[q] = sorted(best.get(q, []) + found)[:k]
-            rows = [(ids[q], d, i) for q, found in best.items() for d, i in found]
-            yield pd.DataFrame(rows, columns=["query", "distance", key])
-
-        kind = vectors.schema[key].dataType.simpleString()
-        parts.append(vectors.select(key, vector).mapInPandas(run, f"query {kind}, distance double, `{key}` {kind}"))
-    if not parts:
-        kind = vectors.schema[key].dataType.simpleString()
-        return spark.createDataFrame([], f"query {kind}, rank bigint, `{key}` {kind}, distance double")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    # A group has k rows of each task at most.
-    top = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", key))), 1, k).alias("t"))
+    usable = lambda df: df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(key, vector)
+    pairs = _packed(usable(queries), key, vector, block, "b").crossJoin(_packed(usable(vectors), key, vector, chunk, "c"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def unit(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+        m = np.array([v for v in rows if len(v) == width], np.float64).reshape(-1, width)
+        n = np.linalg.norm(m, axis=1)
+        at = np.array([j for j, v in enumerate(rows) if len(v) == width], np.int64)
+        good = n > 0
+        return at[good], m[good] / n[good, None]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, keys, out = np.asarray(r.b_id), np.asarray(r.c_id), []
+                for width in sorted({len(v) for v in r.b_v}):
+                    q_at, q = unit(r.b_v, width)
+                    c_at, m = unit(r.c_v, width)
+                    if not len(q_at) or not len(c_at):
+                        continue
+                    far = 1 - q @ m.T
+                    take = np.argpartition(far, min(k, far.shape[1] - 1), axis=1)[:, : k + 1]
+                    edge = np.take_along_axis(far, take, 1).max(axis=1)
+                    for row, at in enumerate(q_at):
+                        found = sorted((far[row, j], keys[c_at[j]]) for j in np.flatnonzero(far[row] <= edge[row]) if keys[c_at[j]] != ids[at])
+                        out.extend((ids[at], d, i) for d, i in found[:k])
+                yield pd.DataFrame(out, columns=["query", "distance", key])
+
+    best = pairs.mapInPandas(run, f"query {kind}, distance double, `{key}` {kind}")
+    # A group has k rows of each chunk at most.
+    top = best.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", key))), 1, k).alias("t"))
     return top.select("query", F.posexplode("t").alias("rank", "t")).select("query", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col(f"t.{key}").alias(key), F.col("t.distance").alias("distance"))

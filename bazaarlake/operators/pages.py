@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.measures import bound
+from . import commerce
 
 # Marks of bot checks and phrases of missing pages.
 CHALLENGES = [
@@ -19,8 +21,14 @@ NOT_FOUND = ["404 not found", "error 404", "page not found", "this page could no
 SOLD_OUT = ["out of stock", "sold out", "out-of-stock", "currently unavailable", "unavailable", "no longer available", "call for availability", "pre-order", "preorder", "notify me when"]
 IN_STOCK = ["in stock", "in-stock", "available now", "add to cart", "add to basket", "buy now", "ready to ship"]
 
+# How markup and polled pages are read.
+LD_BLOCK = r"(?is)<script[^>]+type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+LOOSE_PRICE = r"(?i)itemprop\s*=\s*[\"']price[\"'][^>]*\bcontent\s*=\s*[\"']([\d,.]+)[\"']"
+AVAILABILITY = r"(?i)availability\W+(?:https?://schema\.org/)?(InStock|OutOfStock|SoldOut|PreOrder|BackOrder|Discontinued)"
+POLLED_PRICES = (r"(?i)\"price\"\s*:\s*[\"']?([\d,]+(?:\.\d{2})?)[\"']?", r"(?i)(?:Rs\.?|LKR)\s*([\d,]{3,}(?:\.\d{2})?)")
+POLLED_OUT, POLLED_IN = r"(?i)\b(out of stock|sold out|unavailable|discontinued|no stock)\b", r"(?i)\b(in stock|add to cart|buy now|available)\b"
+
 FACT = "struct<title:string,brand:string,price:double,in_stock:boolean,tier:string>"
-_LD_BLOCK = r"(?is)<script[^>]+type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -43,12 +51,23 @@ def _truthy(text: Column) -> Column:
     return F.when(~text.isin("", "0", "0.0", "false"), text)
 
 
+#: Levels of lists and graphs within each other that are looked through in a JSON-LD block.
+LEVELS = 5
+
+
 def _nodes(block: Column) -> Column:
-    """The objects of a JSON-LD block: itself, its elements, and those of @graph, two levels deep."""
-    whole = F.try_parse_json(F.trim(block))
+    """The objects of a JSON-LD block: itself, the elements of lists and those of @graph, however they lie in each other (``LEVELS`` deep)."""
     listed = lambda v, at: F.coalesce(F.try_variant_get(v, at, "array<variant>"), F.array().cast("array<variant>"))
-    first = F.concat(F.array(whole), listed(whole, "$"))
-    return F.filter(F.flatten(F.transform(first, lambda v: F.concat(F.array(v), listed(v, "$['@graph']")))), lambda v: v.isNotNull())
+    one = lambda v: F.filter(F.array(F.try_variant_get(v, "$['@graph']", "variant")), lambda g: F.coalesce(F.schema_of_variant(g).startswith("OBJECT"), F.lit(False)))
+    inner = lambda v: F.concat(listed(v, "$"), listed(v, "$['@graph']"), one(v))
+
+    def below(level: Column, left: int) -> Column:
+        if not left:
+            return level
+        return F.concat(level, bound(F.flatten(F.transform(level, inner)), lambda deeper: F.when(F.size(deeper) > 0, below(deeper, left - 1)).otherwise(deeper)))
+
+    whole = F.filter(F.array(F.try_parse_json(F.trim(block))), lambda v: v.isNotNull())
+    return bound(whole, lambda first: below(first, LEVELS))
 
 
 def jsonld(html: Column) -> Column:
@@ -57,7 +76,7 @@ def jsonld(html: Column) -> Column:
     Blocks that are no JSON are skipped. The price is the first offer's price or lowPrice; a brand may be an
     object with a name.
     """
-    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_LD_BLOCK), F.lit(1))
+    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LD_BLOCK), F.lit(1))
     nodes = F.flatten(F.transform(blocks, _nodes))
 
     def is_product(v: Column) -> Column:
@@ -90,28 +109,30 @@ def opengraph(html: Column) -> Column:
 
 
 def microdata(html: Column) -> Column:
-    loose = F.nullif(F.regexp_extract(html, r"(?i)itemprop\s*=\s*[\"']price[\"'][^>]*\bcontent\s*=\s*[\"']([\d,.]+)[\"']", 1), F.lit(""))
+    loose = F.nullif(F.regexp_extract(html, LOOSE_PRICE, 1), F.lit(""))
     price = F.coalesce(N.price(meta(html, "price")), N.price(loose))
     return _fact(meta(html, "name"), F.lit(None).cast("string"), price, N.available(meta(html, "availability")), "microdata")
 
 
-def remembered(html: Column, selector: Column, tier: Column) -> Column:
+def remembered(html: Column, selector: Column, tier: Column, facts: tuple[Column, Column, Column] | None = None) -> Column:
     """The fact by a site's remembered way: jsonld, og, microdata or re:<pattern> with the price in its first group.
 
     A site without way gives null, as does a pattern without match. Facts carry the tier 'cached' and fall
-    back on the page's title.
+    back on the page's title. ``facts`` are those of the markup where they are computed already.
     """
     way = F.trim(F.coalesce(selector, F.lit("")))
     kind = F.trim(F.coalesce(tier, F.lit("")))
+    ld, og, data = facts or (jsonld(html), opengraph(html), microdata(html))
     pattern = F.concat(F.lit("(?is)"), F.substring(way, F.lit(4), F.length(way)))
     matched = N.price(F.when(way.startswith("re:") & html.isNotNull(), F.call_function("regexp_extract", html, pattern, F.lit(1))))
     found = (
-        F.when((way == "jsonld") | (kind == "jsonld"), jsonld(html))
-        .when((way == "og") | (kind == "opengraph"), opengraph(html))
-        .when((way == "microdata") | (kind == "microdata"), microdata(html))
-        .when(way.startswith("re:"), _fact(T.title(html), F.lit(None).cast("string"), matched, F.lit(None).cast("boolean"), "cached"))
+        F.when((way == "jsonld") | (kind == "jsonld"), ld)
+        .when((way == "og") | (kind == "opengraph"), og)
+        .when((way == "microdata") | (kind == "microdata"), data)
+        .when(way.startswith("re:"), _fact(F.lit(None).cast("string"), F.lit(None).cast("string"), matched, F.lit(None).cast("boolean"), "cached"))
     )
-    return F.when(found.isNotNull(), found.withField("tier", F.lit("cached")).withField("title", F.coalesce(found["title"], T.title(html))))
+    title = lambda f: F.coalesce(f["title"], T.title(html))
+    return bound(found, lambda f: F.when(f.isNotNull(), F.struct(title(f).alias("title"), f["brand"].alias("brand"), f["price"].alias("price"), f["in_stock"].alias("in_stock"), F.lit("cached").alias("tier"))))
 
 
 def accepted_pattern(pattern_price: Column, told_price: Column) -> Column:
@@ -126,22 +147,25 @@ def cascade(pages: DataFrame, html: str = "html", selector: str = "price_selecto
     agreeing signals, else the fact's, else in stock. A page without price has a fact of tier 'none'.
     """
     page = F.col(html)
-    tiers = [jsonld(page), opengraph(page), microdata(page), remembered(page, F.col(selector), F.col(tier))]
+    # Each way of markup is read once; later steps refer to what it gave.
+    read = pages.withColumns({"__bl_ld": jsonld(page), "__bl_og": opengraph(page), "__bl_md": microdata(page)})
+    facts = (F.col("__bl_ld"), F.col("__bl_og"), F.col("__bl_md"))
+    tiers = [*facts, remembered(page, F.col(selector), F.col(tier), facts)]
     if told:
         tiers.append(F.col(told))
     none = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("boolean").alias("in_stock"), F.lit("none").alias("tier"))
-    first = pages.withColumn("fact", F.coalesce(*tiers, none)).withColumn("__bl_vote", vote(button_signal(page), schema_signal(page), text_signal(page)))
-    full = (
-        F.col("fact")
-        .withField("title", F.coalesce(F.col("fact.title"), T.title(page)))
-        .withField("in_stock", F.coalesce(F.col("__bl_vote.in_stock"), F.col("fact.in_stock"), F.lit(True)))
+    first = read.withColumns({"__bl_fact": F.coalesce(*tiers, none), "__bl_vote": vote(button_signal(page), schema_signal(page), text_signal(page))["in_stock"]})
+    f = F.col("__bl_fact")
+    full = F.struct(
+        F.coalesce(f["title"], T.title(page)).alias("title"), f["brand"].alias("brand"), f["price"].alias("price"), F.coalesce("__bl_vote", f["in_stock"], F.lit(True)).alias("in_stock"), f["tier"].alias("tier")
     )
-    return first.withColumn("fact", full).drop("__bl_vote").withColumn("usable", F.coalesce(F.col("fact.price") > 0, F.lit(False)) & F.col("fact.title").isNotNull())
+    out = first.withColumn("fact", full).drop("__bl_ld", "__bl_og", "__bl_md", "__bl_fact", "__bl_vote")
+    return out.withColumn("usable", F.coalesce(F.col("fact.price") > 0, F.lit(False)) & F.col("fact.title").isNotNull())
 
 
 def schema_signal(html: Column) -> Column:
     """Stock by the first schema.org availability; only InStock is in stock here."""
-    token = F.lower(F.regexp_extract(html, r"(?i)availability\W+(?:https?://schema\.org/)?(InStock|OutOfStock|SoldOut|PreOrder|BackOrder|Discontinued)", 1))
+    token = F.lower(F.regexp_extract(html, AVAILABILITY, 1))
     return F.when(token != "", token == "instock")
 
 
@@ -169,16 +193,14 @@ def vote(button: Column, schema: Column, text: Column) -> Column:
 
 def polled_price(html: Column) -> Column:
     """The price of a page polled again: the first JSON price, else the first after Rs or LKR."""
-    first = F.regexp_extract(html, r"(?i)\"price\"\s*:\s*[\"']?([\d,]+(?:\.\d{2})?)[\"']?", 1)
-    second = F.regexp_extract(html, r"(?i)(?:Rs\.?|LKR)\s*([\d,]{3,}(?:\.\d{2})?)", 1)
+    first, second = (F.regexp_extract(html, p, 1) for p in POLLED_PRICES)
     value = lambda s: F.nullif(F.replace(s, F.lit(","), F.lit("")), F.lit("")).try_cast("double")
     return F.coalesce(*(F.when(value(s) > 0, value(s)) for s in (first, second)))
 
 
 def polled_stock(html: Column, status: Column, before: Column) -> Column:
     """The stock of a page polled again; here in-stock words win, and a missing page is sold out."""
-    out = html.rlike(r"(?i)\b(out of stock|sold out|unavailable|discontinued|no stock)\b")
-    there = html.rlike(r"(?i)\b(in stock|add to cart|buy now|available)\b")
+    out, there = html.rlike(POLLED_OUT), html.rlike(POLLED_IN)
     return F.when(status == 404, F.lit(False)).when((status == 200) & out & ~there, F.lit(False)).when((status == 200) & there, F.lit(True)).otherwise(before)
 
 
@@ -216,14 +238,47 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return full.where(F.col("link").rlike(r"^https?://"))
 
 
+def all_links(pages: DataFrame, hrefs: str = "hrefs", url: str = "url", html: str = "html") -> DataFrame:
+    """(url, pos, link): the references that a browser found (an array), then those in the HTML; repeated ones repeat."""
+    told = pages.select(F.col(url).alias("url"), F.posexplode(F.coalesce(F.col(hrefs), F.array())).alias("pos", "link")).where("link is not null and link <> ''")
+    return told.withColumn("pos", F.col("pos").cast("bigint")).unionByName(links(pages, url, html).select("url", (F.col("pos") + (1 << 30)).cast("bigint").alias("pos"), "link"))
+
+
+def _children(canon: DataFrame, mine: Column, most: int) -> DataFrame:
+    """(url, rank, link) of the links (url, pos, link) that are of the page's site, each once, product-like first."""
+    once = canon.where(mine & (F.col("link") != U.canonical(F.col("url")))).groupBy("url", "link").agg(F.min("pos").alias("pos"))
+    # A group is one page's links.
+    ordered = once.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct((~U.hints_at_product(F.col("link"))).alias("other"), "pos", "link"))), 1, most).alias("l"))
+    return ordered.select("url", F.posexplode("l").alias("rank", "l")).select("url", F.col("rank").cast("bigint").alias("rank"), F.col("l.link").alias("link"))
+
+
 def child_links(pages: DataFrame, most: int = 20, url: str = "url", html: str = "html") -> DataFrame:
     """(url, rank, link): links to other pages of the same host, each once in canonical form, product-like first.
 
     Each page keeps its first ``most`` links.
     """
     canon = links(pages, url, html).select("url", "pos", U.canonical(F.col("link")).alias("link"))
-    mine = canon.where((U.host(F.col("link")) == U.host(F.col("url"))) & (F.col("link") != U.canonical(F.col("url"))))
-    once = mine.groupBy("url", "link").agg(F.min("pos").alias("pos"))
-    # A group is one page's links.
-    ordered = once.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct((~U.hints_at_product(F.col("link"))).alias("other"), "pos", "link"))), 1, most).alias("l"))
-    return ordered.select("url", F.posexplode("l").alias("rank", "l")).select("url", F.col("rank").cast("bigint").alias("rank"), F.col("l.link").alias("link"))
+    return _children(canon, U.host(F.col("link")) == U.host(F.col("url")), most)
+
+
+def internal_links(pages: DataFrame, most: int = 20, hrefs: str = "hrefs", url: str = "url") -> DataFrame:
+    """(url, rank, link): as ``child_links``, of references as a browser told them (an array), within the registered domain.
+
+    References are not resolved here, so relative ones have no host and are left out.
+    """
+    told = pages.select(F.col(url).alias("url"), F.posexplode(F.coalesce(F.col(hrefs), F.array())).alias("pos", "href")).where("href <> ''")
+    canon = told.select("url", "pos", U.canonical(F.col("href")).alias("link"))
+    return _children(canon, (U.host(F.col("link")) != "") & (U.site_of(F.col("link")) == U.site_of(F.col("url"))), most)
+
+
+def bundle(html: Column, cash: Column) -> Column:
+    """struct(plans, stock, offers, surcharges): all that a page's text tells beside its product; null is an empty page.
+
+    Stock is the vote of the buy button and the words, without markup; plans carry what they cost beyond ``cash``.
+    """
+    raw = F.coalesce(html, F.lit(""))
+    text = T.visible(raw)
+    none = F.lit(None).cast("boolean")
+    return F.struct(
+        commerce.with_markup(commerce.plans(text), cash).alias("plans"), vote(button_signal(raw), none, text_signal(raw)).alias("stock"), commerce.offers(text).alias("offers"), commerce.surcharges(text).alias("surcharges")
+    )

@@ -78,9 +78,9 @@ def m20_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m16_upsert_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Of each label the vector written last."""
-    out = folds.upserted(_table(spark, d, "embeddings"), ["label"], ["vec_id"], last_wins=["vec_id"])
-    return out
+    """Of each label the vector written last, by its first numbers."""
+    out = folds.upserted(_table(spark, d, "embeddings"), ["label"], ["vec_id"], last_wins=["vec_id", "embedding"])
+    return out.select("label", "vec_id", *(F.round(F.get("embedding", F.lit(k)).cast("double"), 5).alias(f"v{k}") for k in range(3)))
 
 
 def q_status_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ SELECT i.item_id, i.product_url = f.url AS kept FROM scraped_items i JOIN f ON f
     "m12_unseen_urls": f"SELECT url, min(item_id) AS pos FROM (SELECT {_CANON.format(u='product_url')} AS url, item_id FROM scraped_items) WHERE url NOT IN (SELECT {_CANON.format(u='url')} FROM page_inspections WHERE url IS NOT NULL) GROUP BY url",
     "a6_enqueue_delta": f"SELECT count(DISTINCT url) AS added FROM (SELECT {_CANON.format(u='product_url')} AS url FROM scraped_items) WHERE url NOT IN (SELECT {_CANON.format(u='url')} FROM page_inspections WHERE url IS NOT NULL)",
     "m20_orphans": "SELECT id, product_id FROM listings WHERE product_id NOT IN (SELECT id FROM canonical_products WHERE pipeline_status = 'complete')",
-    "m16_upsert_vectors": "SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label",
+    "m16_upsert_vectors": "SELECT label, max(vec_id) AS vec_id, " + ", ".join(f"round(CAST(arg_max(embedding[{k + 1}], vec_id) AS DOUBLE), 5) AS v{k}" for k in range(3)) + " FROM embeddings GROUP BY label",
     "q_status_fold": f"SELECT product_id, arg_max(status, (enqueued_at, id)) AS status, count(*) FILTER (status = 'claimed') AS attempts FROM {_JOBS} GROUP BY product_id",
     "w5_runs": """SELECT user_id, count(*) AS length, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins FROM (
  SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) WHERE event_type = 'error' GROUP BY user_id, island HAVING count(*) >= 3""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import commerce, dedup, graph, pages, titles
+from ..operators import commerce, dedup, graph, ingest, pages, titles
 from ..sources import web
 from ..session import small
 from .general import _table
@@ -125,8 +125,14 @@ def x16_child_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.child_links(once).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ADDRESS = """concat(CASE WHEN item_id % 5 = 0 THEN 'HTTPS' WHEN item_id % 5 = 1 THEN 'http' ELSE 'https' END, '://', CASE WHEN item_id % 7 = 0 THEN 'User:pw@' ELSE '' END, CASE WHEN item_id % 2 = 0 THEN 'WWW.Shop' ELSE 'shop' END, merchant_id, '.Example',
+  CASE WHEN item_id % 6 = 0 THEN ':443' WHEN item_id % 6 = 1 THEN ':80' WHEN item_id % 6 = 2 THEN ':8443' ELSE '' END, '/Item/', item_id % 50, CASE WHEN item_id % 4 = 0 THEN '//' WHEN item_id % 4 = 1 THEN '/' ELSE '' END,
+  CASE WHEN item_id % 3 = 0 THEN concat('?utm_source=feed&b=', item_id % 9, '&a=2&gclid=x') WHEN item_id % 3 = 1 THEN concat('?Sort=z&page=', item_id % 4, '&ref=home&a=') ELSE '' END, CASE WHEN item_id % 11 = 0 THEN '#top' ELSE '' END)"""
+
+
 def f1_canonical_url(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "scraped_items").select("item_id", U.canonical(F.col("product_url")).alias("url"))
+    """Addresses of items written in many ways, in one form: ports, users, cases, parameters in any order."""
+    return _table(spark, d, "scraped_items").select("item_id", U.canonical(F.expr(_ADDRESS)).alias("url"))
 
 
 def f2_canonical_keeping_query(spark: SparkSession, d: str) -> DataFrame:
@@ -172,8 +178,13 @@ def f20_first_truthy(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "scraped_items").select("item_id", N.first_truthy(F.col("original_price_lkr"), F.col("price_lkr")).alias("price"))
 
 
+_STOCK = """CASE id % 12 WHEN 0 THEN 'https://schema.org/InStock' WHEN 1 THEN 'http://schema.org/OutOfStock' WHEN 2 THEN 'PreOrder' WHEN 3 THEN 'schema.org/SoldOut' WHEN 4 THEN 'LimitedAvailability' WHEN 5 THEN 'in_stock' WHEN 6 THEN 'Discontinued' WHEN 7 THEN pipeline_status
+  WHEN 8 THEN '' WHEN 9 THEN 'OnlineOnly' WHEN 10 THEN 'BackOrder, InStock soon' END"""
+
+
 def f39_available(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "canonical_products").select("id", N.available(F.concat(F.lit("https://schema.org/"), F.initcap(F.replace("pipeline_status", F.lit("complete"), F.lit("PreOrder"))), F.lit("SoldOut"))).alias("a"))
+    """Availability as it is told in many ways, nulls among them."""
+    return _table(spark, d, "canonical_products").select("id", N.available(F.expr(_STOCK)).alias("a"))
 
 
 def c1_preflight(spark: SparkSession, d: str) -> DataFrame:
@@ -197,20 +208,31 @@ def u3_evidence(spark: SparkSession, d: str) -> DataFrame:
     return dedup.evidence(docs, ["product_id"], "text", ["doc_id"]).select("product_id", "doc_id")
 
 
+_ROBOTS = """concat('# robots of ', domain, chr(10), 'User-agent: *', chr(10), chr(10), CASE WHEN id % 3 = 0 THEN 'Disallow: /cart' WHEN id % 3 = 1 THEN concat('disallow:/private/', id, chr(10), ' DISALLOW :  /x?y=1:2 ') ELSE 'Disallow:' END, chr(10),
+  CASE WHEN id % 4 = 0 THEN concat('SITEMAP: https://', domain, '/sitemap.xml', chr(13)) WHEN id % 4 = 1 THEN concat('Sitemap:https://', domain, ':8080/a.xml', chr(10), '#Sitemap: https://no.example/x.xml') ELSE 'no colon here' END, chr(10), 'Allow: /', chr(10), 'Sitemap: https://', domain, '/more', id % 7, '.xml')"""
+
+
 def s11_robots(spark: SparkSession, d: str) -> DataFrame:
-    files = _table(spark, d, "merchants").select(
-        "domain", F.concat(F.lit("# robots\nUser-agent: *\n\nDisallow: /cart\nSITEMAP: https://"), "domain", F.lit("/sitemap.xml\r\n Disallow:\nbad line\nSitemap:https://"), "domain", F.lit("/more.xml\n")).alias("body")
-    )
+    files = _table(spark, d, "merchants").select("domain", F.expr(_ROBOTS).alias("body"))
     rules = web.robots_rules(files, "domain")
     return rules.select("domain", F.array_join("sitemaps", " ").alias("sitemaps"), F.array_join("disallows", " ").alias("disallows"))
 
 
+#: Inspections whose addresses one sitemap file holds at most.
+_FILE = 10_000
+
+
 def _sitemaps(spark: SparkSession, d: str, indexed: str = "id % 2 = 0") -> DataFrame:
-    """The locations in a sitemap of each merchant's pages and in the index of each merchant that is indexed."""
+    """The locations in sitemap files of each merchant's pages, bounded in size, and in the index of each merchant that is indexed."""
     sites = _table(spark, d, "merchants").select("id", "domain")
-    one = _table(spark, d, "page_inspections").join(small(sites), F.col("merchant_id") == F.col("id")).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
-    leaf = one.select(F.concat("domain", F.lit("/pages.xml")).alias("url"), F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("body"))
-    index = sites.where(indexed).select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex><sitemap><loc>"), "domain", F.lit("/pages.xml</loc></sitemap><loc></loc></SitemapIndex>")).alias("body"))
+    pages_ = _table(spark, d, "page_inspections").select("url", "merchant_id", F.floor(F.col("inspection_id") / _FILE).alias("file"))
+    # A group is one file's addresses.
+    one = pages_.join(small(sites), F.col("merchant_id") == F.col("id")).groupBy("domain", "file").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
+    name = F.concat(F.lit("https://"), "domain", F.lit("/pages"), F.coalesce("file", F.lit(0)).cast("string"), F.lit(".xml"))
+    leaf = one.select(name.alias("url"), F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("body"))
+    files = sites.where(indexed).select("domain").join(one.select("domain", "file"), "domain", "left").select("domain", name.alias("loc"))  # a merchant without pages names a file that isn't there
+    index = files.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "loc", F.lit("</loc></sitemap>")))), "").alias("l"))
+    index = index.select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex>"), "l", F.lit("<loc></loc></SitemapIndex>")).alias("body"))
     return web.sitemap_locations(leaf.unionByName(index))
 
 
@@ -224,20 +246,36 @@ def s12_sitemap_locs_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s13_sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
-    starts = _table(spark, d, "merchants").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"))
+    starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
     return graph.sitemap_leaves(_sitemaps(spark, d), starts)
 
 
+def s13_sitemap_products(spark: SparkSession, d: str) -> DataFrame:
+    """The product pages of every merchant's own site that its sitemaps lead to."""
+    starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
+    return graph.sitemap_products(_sitemaps(spark, d, "true"), starts, max_sitemaps=1_000_000).select("site", "url")
+
+
 def s13_sitemap_walk_all(spark: SparkSession, d: str) -> DataFrame:
     """The same where every merchant has an index."""
-    starts = _table(spark, d, "merchants").select(F.concat("domain", F.lit("/sitemap.xml")).alias("url"))
+    starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
     return graph.sitemap_leaves(_sitemaps(spark, d, "true"), starts)
 
 
+#: Listings of a merchant that are at most so far from each other are linked.
+_NEAR = 40
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Products that one merchant lists next to each other, as links."""
-    a = _table(spark, d, "listings").select("merchant_id", "product_id", "id")
-    return a.alias("a").join(a.alias("b"), (F.col("a.merchant_id") == F.col("b.merchant_id")) & (F.col("b.id") - F.col("a.id")).between(1, 40)).select(F.col("a.product_id").alias("src"), F.col("b.product_id").alias("dst"))
+    """Products that one merchant lists next to each other, as links.
+
+    Listings meet in buckets of neighbours, each bucket with itself and the next, so a merchant with a third of all
+    listings is many small groups.
+    """
+    a = _table(spark, d, "listings").select("merchant_id", "product_id", "id", F.floor(F.col("id") / _NEAR).alias("bucket"))
+    left = a.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
+    both = left.alias("a").join(a.alias("b"), (F.col("a.merchant_id") == F.col("b.merchant_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.id") - F.col("a.id")).between(1, _NEAR))
+    return both.select(F.col("a.product_id").alias("src"), F.col("b.product_id").alias("dst"))
 
 
 def q7_reached(spark: SparkSession, d: str) -> DataFrame:
@@ -305,20 +343,50 @@ def x9_surcharges(spark: SparkSession, d: str) -> DataFrame:
     return _paying(spark, d).select("doc_id", F.explode(commerce.surcharges(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("s.surcharge_pct").alias("percent"), F.sum("s.surcharge_lkr").alias("rupees"))
 
 
+def x14_page_signals(spark: SparkSession, d: str) -> DataFrame:
+    """All that the text of every document tells beside a product, in one pass."""
+    b = pages.bundle(F.col("text"), F.lit(100_000.0))
+    docs = _paying(spark, d).select("doc_id", b.alias("b"))
+    return docs.select("doc_id", F.size("b.plans").alias("plans"), F.size("b.offers").alias("offers"), F.size("b.surcharges").alias("surcharges"), F.col("b.stock.in_stock").alias("in_stock"), F.round(F.array_max(F.transform("b.plans", lambda p: p["markup_pct"])), 2).alias("markup"))
+
+
+def _ingested(spark: SparkSession, d: str):
+    known = titles.normalised(_table(spark, d, "canonical_products").select("raw_title", "brand"), "raw_title", "brand").select("spec.spec_fingerprint")
+    fetched = _pages(spark, d).withColumn("price_selector", F.lit(r"re:Rs\. ([\d.]+)")).withColumn("extraction_tier", F.lit(None).cast("string")).withColumn("fetched_at", F.timestamp_seconds(F.col("id")))
+    return ingest.ingested(fetched, known)
+
+
+def e12_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every page of a batch: its status, and the fingerprint, price and stock of its product."""
+    return _ingested(spark, d).results
+
+
+def m19_rows(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a batch of pages adds to each table."""
+    out = _ingested(spark, d)
+    parts = [frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rows_of"), "n") for name, frame in out._asdict().items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def s15_defect_queries(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "canonical_products")
     return p.select("id", F.array_join(web.defect_queries(F.col("brand"), F.col("clean_title"), F.col("model_family")), "|").alias("queries"))
 
 
 def s3_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors through their text form and back."""
-    v = _table(spark, d, "embeddings").select("vec_id", T.vector(T.vector_text(F.col("embedding"))).alias("v"), "embedding")
-    return v.select("vec_id", F.size("v").cast("bigint").alias("dim"), (F.col("v") == F.col("embedding")).alias("same"))
+    """Vectors through their text form and back, by their sum, their norm and their last number."""
+    v = _table(spark, d, "embeddings").select("vec_id", T.vector(T.vector_text(F.col("embedding"))).alias("v"))
+    total = lambda f: F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x.cast("double"))), 4)
+    return v.select("vec_id", F.size("v").cast("bigint").alias("dim"), total(lambda x: x).alias("total"), total(lambda x: x * x).alias("norm"), F.round(F.element_at("v", -1).cast("double"), 5).alias("last"))
 
 
 def s18_form_lines(spark: SparkSession, d: str) -> DataFrame:
-    p = _table(spark, d, "page_inspections").groupBy("merchant_id").agg(F.array_join(F.array_sort(F.collect_list("url")), "\n # no\n\n ").alias("field"))
-    return p.select("merchant_id", F.size(web.form_urls(F.col("field"))).cast("bigint").alias("n"))
+    """The addresses that fields of bounded size hold, counted by merchant."""
+    p = _table(spark, d, "page_inspections").groupBy("merchant_id", F.floor(F.col("inspection_id") / _FILE).alias("form")).agg(F.array_join(F.array_sort(F.collect_list("url")), "\n # no\n\n ").alias("field"))
+    return p.select("merchant_id", F.explode(web.form_urls(F.col("field"))).alias("url")).groupBy("merchant_id").agg(F.countDistinct("url").alias("n"))
 
 
 _BLANKS = "[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
@@ -412,7 +480,10 @@ SQL = {
  FROM (SELECT id, lower(raw_title) AS t FROM canonical_products)""",
     "x8_offers": _OFFERS,
     "x9_surcharges": _FEES,
-    "f1_canonical_url": f"SELECT item_id, {_CANON.format(u='product_url')} AS url FROM scraped_items",
+    "f1_canonical_url": f"""WITH u AS (SELECT item_id, {_ADDRESS} AS u FROM scraped_items),
+ p AS (SELECT item_id, lower(regexp_extract(u, '^([A-Za-z]+):', 1)) AS s, lower(regexp_extract(u, '://(?:[^@/]*@)?([^:/?#]*)', 1)) AS h, regexp_extract(u, '://(?:[^@/]*@)?[^:/?#]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '://[^/]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(u, '[?]([^#]*)', 1) AS q FROM u),
+ k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|gclid=|ref=)'))) AS ps FROM p)
+SELECT item_id, s || '://' || h || CASE WHEN port = '' OR (s = 'http' AND port = '80') OR (s = 'https' AND port = '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS url FROM k""",
     "f2_canonical_keeping_query": "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(product_url, '#.*$', ''), '/+([?]|$)', '\\1'), '[?]$', '') AS url FROM scraped_items",
     "f4_hosts": """SELECT inspection_id, h AS host, h AS netloc, CASE WHEN len(p) <= 2 THEN h ELSE array_to_string(p[-2:], '.') END AS site, 'https://' || h || '/' AS origin
  FROM (SELECT inspection_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.') AS p FROM page_inspections)""",
@@ -425,7 +496,7 @@ SQL = {
  SELECT *, TRY_CAST(nullif(replace(regexp_extract(replace(price_text, ' ', ''), '([0-9,]+(\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS p FROM scraped_items)""",
     "f18_confidence": "SELECT inspection_id, coalesce(greatest(0.0, least(1.0, confidence_score * 3 - 1)), 0.0) AS confidence FROM page_inspections",
     "f20_first_truthy": "SELECT item_id, coalesce(nullif(original_price_lkr, 0), price_lkr) AS price FROM scraped_items",
-    "f39_available": "SELECT id, CASE WHEN pipeline_status IS NOT NULL THEN false END AS a FROM canonical_products",
+    "f39_available": f"SELECT id, CASE WHEN regexp_matches(lower(t), '{N.NOT_AVAILABLE}') THEN false WHEN regexp_matches(lower(t), '{N.AVAILABLE}') THEN true END AS a FROM (SELECT id, {_STOCK} AS t FROM canonical_products)",
     "c1_preflight": f"""SELECT inspection_id, CASE WHEN regexp_matches(h, '{_quoted(pages.CHALLENGES)}') THEN 'BOT_CHALLENGE_CAPTCHA' WHEN http_status IN (404, 410) THEN 'ERROR_404_PAGE' WHEN http_status >= 500 THEN 'UNKNOWN_JUNK'
   WHEN length(trim(h, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) < 40 THEN 'UNKNOWN_JUNK' WHEN regexp_matches(h, '{_quoted(pages.NOT_FOUND)}') THEN 'ERROR_404_PAGE' END AS page_type,
  CASE WHEN regexp_matches(h, '{_quoted(pages.CHALLENGES)}') THEN 0.97 WHEN http_status IN (404, 410) THEN 0.98 WHEN http_status >= 500 THEN 0.85
@@ -436,9 +507,13 @@ SQL = {
     "u1_first_of_url": f"SELECT min(inspection_id) AS inspection_id FROM page_inspections GROUP BY {_CANON.format(u='url')}",
     "u3_evidence": """SELECT product_id, doc_id FROM (SELECT product_id, doc_id, row_number() OVER (PARTITION BY product_id ORDER BY doc_id) AS r FROM (
  SELECT product_id, doc_id, row_number() OVER (PARTITION BY product_id, left(text, 160) ORDER BY doc_id) AS n FROM documents WHERE product_id IS NOT NULL AND text IS NOT NULL AND text <> '') WHERE n = 1) WHERE r <= 5""",
-    "s11_robots": "SELECT domain, 'https://' || domain || '/sitemap.xml https://' || domain || '/more.xml' AS sitemaps, '/cart' AS disallows FROM merchants",
-    "s12_sitemap_locs": """SELECT false AS is_index, count(*) AS n FROM (SELECT DISTINCT m.domain, p.url FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id)
- UNION ALL SELECT true, count(*) FROM merchants WHERE id % 2 = 0""",
+    "s11_robots": f"""WITH l AS (SELECT domain, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS n FROM (SELECT domain, {_ROBOTS} AS body FROM merchants)),
+ t AS (SELECT domain, n, trim(line, ' ' || chr(13)) AS line FROM l), k AS (SELECT domain, n, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS k, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS v FROM t WHERE contains(line, ':') AND NOT starts_with(line, '#'))
+SELECT domain, coalesce(string_agg(v, ' ' ORDER BY n) FILTER (k = 'sitemap' AND v <> ''), '') AS sitemaps, coalesce(string_agg(v, ' ' ORDER BY n) FILTER (k = 'disallow' AND v <> ''), '') AS disallows FROM k GROUP BY domain""",
+    "s12_sitemap_locs": f"""SELECT false AS is_index, count(*) AS n FROM (SELECT DISTINCT m.domain, p.url, p.inspection_id // {_FILE} FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id)
+ UNION ALL SELECT true, count(*) FROM (SELECT DISTINCT m.domain, p.inspection_id // {_FILE} FROM merchants m LEFT JOIN page_inspections p ON m.id = p.merchant_id WHERE m.id % 2 = 0)""",
+    "s13_sitemap_products": f"""SELECT DISTINCT regexp_replace(m.domain, '^.*?([^.]+[.](?:(?:com|co|net|org|gov|ac|edu)[.][a-z][a-z]|[^.]+))$', '\\1') AS site, {_CANON.format(u='p.url')} AS url FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id
+ WHERE regexp_matches({_CANON.format(u='p.url')}, '{U.PRODUCT_PAGE}') AND NOT regexp_matches({_CANON.format(u='p.url')}, '{U.NO_PRODUCT}') AND contains(regexp_extract(p.url, '://([^/?#]*)', 1), m.domain)""",
     "s13_sitemap_walk": "SELECT DISTINCT p.url AS loc FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id WHERE m.id % 2 = 0",
     "q7_reached": """WITH RECURSIVE e AS (SELECT a.product_id AS src, b.product_id AS dst FROM listings a JOIN listings b ON a.merchant_id = b.merchant_id AND b.id - a.id BETWEEN 1 AND 40),
  w AS (SELECT product_id AS node, 0 AS depth FROM listings WHERE id <= 5 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
@@ -448,9 +523,9 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s15_defect_queries": """SELECT id, array_to_string(list_distinct_in_order, '|') AS queries FROM (SELECT id, [a, b] AS list_distinct_in_order FROM (SELECT id,
  trim(regexp_replace(trim(coalesce(brand, '')) || ' ' || trim(coalesce(nullif(model_family, ''), clean_title, '')) || ' hardware problems site:reddit.com', '[\\s\\x{a0}]+', ' ', 'g')) AS a,
  trim(regexp_replace(trim(clean_title) || ' known defects issues teardown', '[\\s\\x{a0}]+', ' ', 'g')) AS b FROM canonical_products))""",
-    "s3_vectors": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, true AS same FROM embeddings",
+    "s3_vectors": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 4) AS norm, round(CAST(embedding[-1] AS DOUBLE), 5) AS last FROM embeddings",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
+_NAMES = [*SQL, "x14_page_signals", "e12_ingested", "m19_rows", "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
 QUERIES = {name: globals()[name] for name in _NAMES}

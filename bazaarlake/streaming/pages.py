@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,23 +21,55 @@ def fresh(pages: DataFrame, at: str = "fetched_at", url: str = "url", body: str
     return keyed.withWatermark(at, keep).dropDuplicatesWithinWatermark(["canonical_url"]).dropDuplicatesWithinWatermark(["digest"])
 
 
-def upsert_into(path: str, key: list[str], order: list[str], last_wins: list[str], known_wins: list[str] = ()) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the state of a log under ``path``, a version per batch.
+#: Parts of a kept state; a batch rewrites only those that hold its keys.
+BUCKETS = 256
 
-    A batch is folded with the last version. Versions are named after batches and written whole before they
-    count, so a batch that is run again gives the same version.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [*key, *order, *last_wins, *known_wins]
-        rows = batch.select(*columns)
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{batch_id - 1}").select(*columns))
-        state = folds.upserted(rows, key, order, last_wins=[*order, *last_wins], known_wins=list(known_wins))
-        state.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+class Upserts:
+    """The state of a log under ``path``, kept by ``write`` as a foreachBatch function and read by ``state``.
 
-    return write
+    Keys lie in buckets by hash; bucket=K/batch=B holds a bucket as batch B left it. A batch is folded with the last state
+    of the buckets that hold its keys, and only these are written. Of each bucket the last two states are kept, so a batch
+    that is run again begins from what was there before it and gives the same.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], last_wins: list[str], known_wins: list[str] = (), buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.order, self.last_wins, self.known_wins, self.buckets = spark, path, key, order, last_wins, list(known_wins), buckets
+
+    def _kept(self, before: int | None = None) -> dict[int, list[int]]:
+        """The batches of each bucket, in order."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        found: dict[int, list[int]] = {}
+        for status in jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/bucket=*")) or []:
+            batch, bucket = (int(x.partition("=")[2]) for x in str(status.getPath().toString()).rstrip("/").rsplit("/", 2)[1:])
+            if before is None or batch < before:
+                found.setdefault(bucket, []).append(batch)
+        return {k: sorted(v) for k, v in found.items()}
+
+    def _read(self, last: dict[int, int]) -> DataFrame | None:
+        if not last:
+            return None
+        paths = [f"{self.path}/batch={b}/bucket={k}" for k, b in sorted(last.items())]
+        return self.spark.read.parquet(*paths).select(*self.key, *self.order, *self.last_wins, *self.known_wins)
+
+    def state(self) -> DataFrame | None:
+        """The whole state; None before the first batch."""
+        return self._read({k: v[-1] for k, v in self._kept().items()})
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*self.key, *self.order, *self.last_wins, *self.known_wins)
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = {r[0] for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most BUCKETS numbers
+        earlier = self._kept(batch_id)
+        old = self._read({k: v[-1] for k, v in earlier.items() if k in touched})
+        both = rows if old is None else rows.unionByName(old)
+        state = folds.upserted(both, self.key, self.order, last_wins=[*self.order, *self.last_wins], known_wins=self.known_wins)
+        state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch_id}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for k in touched:
+            for stale in earlier.get(k, [])[:-1]:
+                target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={stale}/bucket={k}")
+                target.getFileSystem(conf).delete(target, True)
 
 
 def history_sink(path: str, at: str = "updated_at") -> Callable[[DataFrame, int], None]:

@@ -41,3 +41,36 @@ def granted(calls: DataFrame, rpm: int = 15, margin: float = 0.8) -> DataFrame:
         yield pd.DataFrame(out, columns=["slot", "id", "at", "granted", "calls"])
 
     return calls.groupBy("slot").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+ROTATED = "pool string, id bigint, at double, slot int, tried int"
+_POOL = "begun array<double>, calls array<int>, rest_until array<double>"
+
+
+def rotated(calls: DataFrame, slots: int, rpm: int = 15, margin: float = 0.8) -> DataFrame:
+    """Each call (pool, id, at, limited) of a stream with the key that answered it: the first of ``slots`` keys, in their order, that is free.
+
+    ``limited`` is an array with what each key would answer: a key that is rate-limited rests, and the next is
+    tried. ``tried`` is the number of keys asked; slot is null where all rest or are used up.
+    """
+
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = [list(x) for x in zip(*state.get, strict=True)] if state.exists else [[-WINDOW, 0, 0.0] for _ in range(slots)]
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples():
+            answered, tried = None, 0
+            for k in range(slots):
+                limited = r.limited is not None and k < len(r.limited) and bool(r.limited[k])
+                ok, then = step(tuple(now[k]), r.at, limited, rpm, margin)
+                now[k] = list(then)
+                tried += ok
+                if ok and not limited:
+                    answered = k
+                    break
+            out.append((key[0], r.id, r.at, answered, tried))
+        state.update(tuple([x[j] for x in now] for j in range(3)))
+        frame = pd.DataFrame(out, columns=["pool", "id", "at", "slot", "tried"])
+        frame["slot"] = frame["slot"].astype("Int32")
+        yield frame
+
+    return calls.groupBy("pool").applyInPandasWithState(run, ROTATED, _POOL, "append", GroupStateTimeout.NoTimeout)

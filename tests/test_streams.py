@@ -45,12 +45,25 @@ def test_upserts_keep_the_last_and_survive_a_second_run_of_a_batch(spark, tmp_pa
     schema = "k string, at int, price int, brand string"
     one = spark.createDataFrame([("a", 1, 10, "x"), ("b", 1, 5, None)], schema)
     two = spark.createDataFrame([("a", 2, None, None), ("c", 1, 7, "y")], schema)
-    write = pages.upsert_into(str(tmp_path), ["k"], ["at"], ["price"], ["brand"])
-    write(one, 0)
-    write(two, 1)
-    write(two, 1)
-    got = {r.k: (r.price, r.brand) for r in spark.read.parquet(f"{tmp_path}/v1").collect()}
-    assert got == {"a": (None, "x"), "b": (5, None), "c": (7, "y")}
+    kept = pages.Upserts(spark, str(tmp_path / "state"), ["k"], ["at"], ["price"], ["brand"], buckets=8)
+    assert kept.state() is None
+    kept.write(one, 0)
+    kept.write(two, 1)
+    kept.write(two, 1)
+    assert {r.k: (r.price, r.brand) for r in kept.state().collect()} == {"a": (None, "x"), "b": (5, None), "c": (7, "y")}
+    written = {p.name for p in (tmp_path / "state/batch=1").glob("bucket=*")}
+    assert 0 < len(written) < 8  # only buckets with keys of the batch
+    for n in range(2, 6):
+        kept.write(spark.createDataFrame([("a", n, n, None)], schema), n)
+    assert {r.k: (r.price, r.brand) for r in kept.state().collect()} == {"a": (5, "x"), "b": (5, None), "c": (7, "y")}
+    bucket = next(p.name for p in (tmp_path / "state/batch=5").glob("bucket=*"))
+    assert len(list((tmp_path / "state").glob(f"batch=*/{bucket}"))) == 2
+
+
+def test_keys_are_tried_in_their_order(spark, tmp_path):
+    calls = [("p", 0, 0.0, [False, False]), ("p", 1, 1.0, [False, False]), ("p", 2, 2.0, [False, False]), ("p", 3, 3.0, [False, True]), ("p", 4, 4.0, [False, False]), ("p", 5, 61.0, [True, False]), ("p", 6, 70.0, [False, False]), ("p", 7, 127.0, None)]
+    live = run(slots.rotated(stream(spark, calls, "pool string, id bigint, at double, limited array<boolean>", tmp_path / "in"), slots=2, rpm=3, margin=0.8), "rotated", str(tmp_path / "c"))
+    assert {r.id: (r.slot, r.tried) for r in live.collect()} == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (None, 1), 4: (None, 0), 5: (None, 1), 6: (1, 1), 7: (0, 1)}
 
 
 def test_history_by_month(spark, tmp_path):

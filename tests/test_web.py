@@ -292,3 +292,91 @@ def test_pages_without_an_index_are_not_reached(spark):
     files = spark.createDataFrame([("a/sitemap.xml", "<sitemapindex><sitemap><loc>a/pages.xml</loc></sitemap></sitemapindex>"), ("a/pages.xml", "<urlset><loc>a/1</loc></urlset>"), ("b/pages.xml", "<urlset><loc>b/1</loc></urlset>")], "url string, body string")
     starts = spark.createDataFrame([("a/sitemap.xml",), ("b/sitemap.xml",)], "url string")
     assert [r.loc for r in graph.sitemap_leaves(web.sitemap_locations(files), starts).collect()] == ["a/1"]
+
+
+def test_nested_json_ld_is_looked_through(spark):
+    page = lambda ld: f'<script type="application/ld+json">{ld}</script>'
+    product = '{"@type":"Product","name":"Lens","offers":{"price":"5"}}'
+    deep = '[{"@type":"WebSite"},{"@graph":[{"@type":"Thing","@graph":{"@type":"List","@graph":[' + product + "]}}]}]"
+    for ld in (product, f"[{product}]", f'{{"@graph":{product}}}', f'{{"@graph":[[{product}]]}}', deep):
+        assert one(spark, page(ld), pages.jsonld(F.col("v")).alias("f")).f.title == "Lens", ld
+
+
+def test_links_of_browsers(spark):
+    html = '<a href="/shop/x">a</a>'
+    rows = [("https://www.a.example/p", ["https://a.example/product/1?utm_source=x", "about", None, "https://other.example/p/1", "https://a.example/help", "https://a.example/product/1"], html), ("https://b.example/", None, html)]
+    df = spark.createDataFrame(rows, "url string, hrefs array<string>, html string")
+    assert [(r.rank, r.link) for r in pages.internal_links(df).orderBy("url", "rank").collect()] == [(0, "https://a.example/product/1"), (1, "https://a.example/help")]
+    assert [r.link for r in pages.all_links(df).where("url like '%b.%'").orderBy("pos").collect()] == ["https://b.example/shop/x"]
+    assert [r.link for r in pages.all_links(df).where("url like '%a.%'").orderBy("pos").collect()][-1] == "https://www.a.example/shop/x"
+
+
+def test_all_that_a_page_tells(spark):
+    html = "<p>Pay 3 x Rs. 9,900 with Koko. HNB cards 15% off. Convenience fee of Rs 250.</p><button disabled data-x='add-to-cart'>Sold out</button>"
+    b = one(spark, html, pages.bundle(F.col("v"), F.lit(27000.0)).alias("b")).b
+    assert (b.plans[0].markup_pct, b.stock.in_stock, b.offers[0].bank, b.surcharges[0].surcharge_lkr) == (10.0, False, "HNB", 250.0)
+    b = one(spark, None, pages.bundle(F.col("v"), F.lit(None).cast("double")).alias("b")).b
+    assert (b.plans, b.offers, b.surcharges, b.stock.agreed) == ([], [], [], False)
+
+
+def test_structured_answers_and_pairs(spark):
+    schema = "title string, price double"
+    none = F.lit(None).cast(f"struct<{schema.replace(' ', ':')}>".replace(",:", ","))
+    told = lambda text, parsed=none: one(spark, text, T.coerced(parsed, F.col("v"), schema, "title").alias("x")).x
+    assert told('Sure:\n```json\n{"title": "a", "price": 5}\n```').price == 5.0
+    assert told("no json") is None and told(None) is None and told('{"price": 5}') is None
+    assert told("{}", F.struct(F.lit("p").alias("title"), F.lit(1.0).alias("price"))).title == "p"
+    pairs = spark.createDataFrame([([("a", "1"), (None, "x"), ("b", None), ("a", "2")],), (None,)], "p array<struct<key:string,value:string>>")
+    assert [r.m for r in pairs.select(T.pairs_to_map(F.col("p")).alias("m")).collect()] == [{"b": None, "a": "2"}, {}]
+
+
+def test_fingerprints_of_any_goods(spark):
+    import hashlib
+
+    from bazaarlake.operators import titles
+
+    df = spark.createDataFrame([({"watt": "65", "ports": '2"C'},), ({"ports": '2"C', "watt": "65"},), (None,), ({},)], "a map<string,string>")
+    lit = lambda v: F.lit(v).cast("string")
+    got = [r[0] for r in df.select(titles.universal_fingerprint(lit(" Anker "), lit("Prime"), lit(None), F.lit(None).cast("int"), F.lit(64), lit("US"), lit("new"), F.col("a"))).collect()]
+    base = "anker|prime|||64|us"
+    want = hashlib.sha256((base + "|new|" + json.dumps({"ports": '2"C', "watt": "65"}, sort_keys=True)).encode()).hexdigest()
+    assert got == [want, want, *[hashlib.sha256(base.encode()).hexdigest()] * 2]
+
+
+def test_pages_to_rows(spark):
+    from datetime import datetime
+
+    from bazaarlake.operators import ingest, titles
+
+    at = lambda h: datetime(2026, 1, 1, h)
+    page = lambda title, price: f'<html><head><title>{title}</title></head><p>Rs. {price}</p><button class="btn">Add to cart</button></html>'
+    rows = [
+        ("https://a.example/p/1", page("Pixel 8 8/128GB", 1000), at(1)), ("https://a.example/p/1", page("Pixel 8 8/128GB", 900), at(3)), ("https://b.example/p/1", page("Pixel 8 8/128GB", 950), at(2)),
+        ("https://b.example/p/2", page("Galaxy S9 64GB", 700), at(2)), ("https://b.example/p/3", "<title>No price</title>", at(2)), ("https://b.example/p/4", None, at(2)),
+    ]
+    df = spark.createDataFrame([(*r, r"re:Rs\. ([\d.]+)", None) for r in rows], "url string, html string, fetched_at timestamp, price_selector string, extraction_tier string")
+    known = titles.normalised(spark.createDataFrame([("Galaxy S9 64GB",)], "t string"), "t").select("spec.spec_fingerprint")
+    out = ingest.ingested(df, known)
+    assert sorted((r.url[-5:], r.status) for r in out.results.collect()) == [("e/p/1", "new_product_queued")] * 3 + [("e/p/2", "delta_updated"), ("e/p/3", "extract_failed"), ("e/p/4", "extract_failed")]
+    assert {(r.domain, r.first_seen.hour, r.last_seen.hour) for r in out.merchants.collect()} == {("a.example", 1, 3), ("b.example", 2, 2)}
+    assert [(r.raw_title, r.first_seen_at.hour) for r in out.products.collect()] == [("Pixel 8 8/128GB", 1)]
+    assert sorted((r.domain, r.price) for r in out.listings.collect()) == [("a.example", 900.0), ("b.example", 700.0), ("b.example", 950.0)]
+    assert out.prices.count() == 4 and [(r.domain, r.listing_url, r.enqueued_at.hour) for r in out.jobs.collect()] == [("a.example", "https://a.example/p/1", 1)]
+    assert {f.count() for f in ingest.ingested(df.limit(0), known)} == {0}
+
+
+def test_walk_of_one_site(spark):
+    maps = [("https://a.example/sitemap.xml", "<sitemapindex><loc>https://a.example/one.xml</loc><loc>https://evil.example/x.xml</loc><loc>https://a.example/sitemap.xml</loc></sitemapindex>"),
+            ("https://a.example/one.xml", "<urlset><loc>https://A.example/product/1?utm_source=x</loc><loc>https://a.example/product/1</loc><loc>https://b.example/product/9</loc><loc>https://a.example/about</loc></urlset>"),
+            ("https://evil.example/x.xml", "<urlset><loc>https://a.example/product/7</loc></urlset>")]
+    places = web.sitemap_locations(spark.createDataFrame(maps, "url string, body string"))
+    starts = spark.createDataFrame([("https://a.example/sitemap.xml",), ("https://a.example/gone.xml",)], "url string")
+    assert [(r.site, r.url) for r in graph.sitemap_products(places, starts).collect()] == [("a.example", "https://a.example/product/1")]
+    assert graph.sitemap_products(places, starts, max_sitemaps=2).count() == 0
+
+
+def test_jobs_with_retries(spark):
+    log = spark.createDataFrame([("a", 1, "pending"), ("a", 2, "claimed"), ("a", 3, "failed"), ("a", 4, "retried"), ("b", 1, "claimed"), ("c", 1, "pending"), ("d", 1, "retried"), ("d", 2, "claimed"), ("d", 3, "done"), ("d", 4, "pending")], "k string, t int, s string")
+    got = {r.k: (r.status, r.attempts, r.claimed_at, r.completed_at) for r in folds.job_states(log, "k", "s", ["t"], "t").collect()}
+    assert got == {"a": ("pending", 1, None, None), "b": ("claimed", 1, 1, None), "c": ("pending", 0, None, None), "d": ("done", 1, 2, 3)}
+    assert folds.job_states(log.limit(0), "k", "s", ["t"], "t").count() == 0
