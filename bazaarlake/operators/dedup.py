@@ -38,7 +38,12 @@ def ring(pages: DataFrame, url: Column, digest: Column, order: list[str]) -> Dat
 
 
 def evidence(snippets: DataFrame, group: list[str], text: str, order: list[str], head: int = 160, most: int = 5) -> DataFrame:
-    """At most ``most`` snippets of each group, in order, no two with the same first ``head`` characters."""
-    first = Window.partitionBy(*group, "__bl_head").orderBy(*order)
-    kept = snippets.withColumn("__bl_head", F.substring(text, 1, head)).where("__bl_head <> ''").withColumn("__bl_n", F.row_number().over(first)).where("__bl_n = 1")
-    return kept.withColumn("__bl_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__bl_r") <= most).drop("__bl_head", "__bl_n", "__bl_r")
+    """At most ``most`` snippets of each group, in order, no two with the same first ``head`` characters.
+
+    ``order`` must be unique within a group. Heads and order are ranked alone; whole rows are joined to the few that are
+    kept. Null and empty texts are none; null groups are no group.
+    """
+    heads = snippets.select(*group, *order, F.substring(text, 1, head).alias("__bl_head")).where("__bl_head <> ''")
+    first = heads.groupBy(*group, "__bl_head").agg(F.min(F.struct(*order)).alias("__bl_o"))
+    kept = first.withColumn("__bl_r", F.row_number().over(Window.partitionBy(*group).orderBy("__bl_o"))).where(F.col("__bl_r") <= most)
+    return snippets.join(kept.select(*group, "__bl_o.*"), [*group, *order], "left_semi")

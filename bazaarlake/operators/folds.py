@@ -117,15 +117,27 @@ def orphaned(children: DataFrame, parents: DataFrame, child_key: str, parent_key
     return children.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def runs(events: DataFrame, key: str, order: list[str], hit: Column) -> DataFrame:
+def runs(events: DataFrame, key: str, order: list[str], hit: Column, period: Column | None = None) -> DataFrame:
     """(key, run, length, begins, ends): runs of consecutive hits of each key, numbered from 1.
 
-    A key's events are sorted in one task; events of one key beyond a task's reach should be folded by a stream.
+    With ``period``, which must grow with the order (a month of its time, say), events meet row by row within a period
+    only; runs that touch its ends are put together from a row per key and period, so a key with a third of all
+    events is many tasks. Without it a key's events are sorted in one task.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("__bl_hit", F.coalesce(hit, F.lit(False))).withColumn("__bl_island", F.sum((~F.col("__bl_hit")).cast("int")).over(w))
-    found = marked.where("__bl_hit").groupBy(key, "__bl_island").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begins"), F.max(order[0]).alias("ends"))
-    return found.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("__bl_island")).cast("bigint")).drop("__bl_island")
+    marked = events.withColumn("__bl_hit", F.coalesce(hit, F.lit(False))).withColumn("__bl_p", F.lit(0) if period is None else period)
+    w = Window.partitionBy(key, "__bl_p").orderBy(*order)
+    isles = marked.withColumn("__bl_island", F.sum((~F.col("__bl_hit")).cast("int")).over(w))
+    pieces = isles.where("__bl_hit").groupBy(key, "__bl_p", "__bl_island").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begins"), F.max(order[0]).alias("ends"))
+    # Between two periods runs go on; a period with any miss ends the chain that it begins with and begins another.
+    misses = marked.groupBy(key, "__bl_p").agg(F.count_if(~F.col("__bl_hit")).alias("__bl_misses"))
+    before = Window.partitionBy(key).orderBy("__bl_p").rowsBetween(Window.unboundedPreceding, -1)
+    chained = misses.withColumn("__bl_chain", F.coalesce(F.sum((F.col("__bl_misses") > 0).cast("int")).over(before), F.lit(0)))
+    chain = F.when(F.col("__bl_island") == 0, F.col("__bl_chain")).when(F.col("__bl_island") == F.col("__bl_misses"), F.col("__bl_chain") + 1)
+    placed = pieces.join(chained.withColumnRenamed(key, "__bl_k"), pieces[key].eqNullSafe(F.col("__bl_k")) & (pieces["__bl_p"] == chained["__bl_p"])).select(
+        pieces[key], "length", "begins", "ends", chain.alias("__bl_chain"), F.when(chain.isNull(), F.struct(pieces["__bl_p"], "__bl_island")).alias("__bl_inner")
+    )
+    found = placed.groupBy(key, "__bl_chain", "__bl_inner").agg(F.sum("length").alias("length"), F.min("begins").alias("begins"), F.max("ends").alias("ends"))
+    return found.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("begins", "ends")).cast("bigint")).drop("__bl_chain", "__bl_inner")
 
 
 def changes(log: DataFrame, key: list[str], order: list[str], value: str, flag: str, period: Column, least: float = 0.01) -> DataFrame:

@@ -47,6 +47,17 @@ def rates_as_of(fx_rates: DataFrame) -> DataFrame:
     return one.withColumn("until", F.lead("since").over(Window.partitionBy("currency").orderBy("since")))
 
 
+def rates_or_default(days: DataFrame, rates: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """(day, currency, rate, stale) for each day of ``days`` (day) and each currency of ``defaults``: the rate as of the day.
+
+    Where no rate is known by then, the default holds and is marked as stale. ``rates`` are those of ``rates_as_of``.
+    """
+    wanted = days.where("day is not null").distinct().withColumn("currency", F.explode(F.array(*(F.lit(c) for c in defaults))))
+    held = (F.col("w.currency") == F.col("r.currency")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    usual = F.create_map(*(F.lit(x) for c, v in defaults.items() for x in (c, float(v))))
+    return wanted.alias("w").join(small(rates).alias("r"), held, "left").select("day", "w.currency", F.coalesce(F.col("rate").cast("double"), usual[F.col("w.currency")]).alias("rate"), F.col("rate").isNull().alias("stale"))
+
+
 def _join_alias(df: DataFrame, column: str, kind: str, name: str) -> DataFrame:
     table = measures.alias_table(df.sparkSession, kind).select(F.col("alias").alias(column), F.col("unit").alias(name), F.col("factor").alias(f"{name}_factor"), F.col("offset").alias(f"{name}_offset"))
     return df.join(F.broadcast(table), column, "left")

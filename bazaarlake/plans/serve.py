@@ -135,6 +135,13 @@ def e7_crawl_stats(spark: SparkSession, d: str, domain: str | None = None) -> Da
     return q.agg(*_crawl_counts(), F.count_if(F.col("at") >= F.lit("2026-06-01 00:00:00").cast("timestamp_ntz")).alias("since_june"))
 
 
+def e7_domain_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The same for each domain, with its last error."""
+    q = _queue(spark, d).where("domain <> ''")
+    last = F.max_by("error_msg", F.when(F.col("error_msg").isNotNull(), F.struct("at", "id"))).alias("last_error")
+    return q.groupBy("domain").agg(*_crawl_counts(), F.count_if(F.col("at") >= F.lit("2026-06-01 00:00:00").cast("timestamp_ntz")).alias("since_june"), last)
+
+
 def e7_last_error(spark: SparkSession, d: str) -> DataFrame:
     return _queue(spark, d).where("error_msg is not null").orderBy(F.col("at").desc_nulls_last(), F.desc("id")).limit(1).select("id", "domain", "error_msg")
 
@@ -152,10 +159,35 @@ def e9_domain_profiles(spark: SparkSession, d: str) -> DataFrame:
     return _queue(spark, d).withColumn("site", F.regexp_replace("domain", r"^www\.", "")).join(small(sites), "site", "left").select("id", "site", "profile_id", "city")
 
 
-def e10_complete_products(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    """The newest complete products among four times as many of the newest: the filter stays above the limit."""
-    newest = _table(spark, d, "canonical_products").orderBy(F.desc("first_seen_at"), F.desc("id")).limit(4 * k)
-    return newest.where("pipeline_status = 'complete'").limit(k).select("id", "pipeline_status")
+def e10_complete_products(spark: SparkSession, d: str, k: int = 10, search: str | None = None) -> DataFrame:
+    """The newest complete products among four times as many of the newest that a search finds: the status filter stays above the limit."""
+    products = _table(spark, d, "canonical_products")
+    if search:
+        products = products.where(F.col("clean_title").ilike(f"%{search}%") | F.col("brand").ilike(f"%{search}%"))
+    order = [F.desc("first_seen_at"), F.desc("id")]
+    newest = products.orderBy(*order).limit(4 * k)
+    return newest.where("pipeline_status = 'complete'").orderBy(*order).limit(k).select("id", "pipeline_status")
+
+
+def e10_complete_search(spark: SparkSession, d: str) -> DataFrame:
+    return e10_complete_products(spark, d, 5, "plus")
+
+
+def j4_listing_merchants(spark: SparkSession, d: str) -> DataFrame:
+    """Each listing with its merchant, and with what inspections of the merchant's pages found, if there were any."""
+    found = _table(spark, d, "page_inspections").where("merchant_id is not null").groupBy("merchant_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("http_status") >= 400).alias("errors"))
+    merchants = _table(spark, d, "merchants").select(F.col("id").alias("merchant_id"), "domain", "display_name")
+    both = merchants.join(small(found), "merchant_id", "left")  # a row per merchant
+    return _table(spark, d, "listings").select(F.col("id").alias("listing_id"), "merchant_id").join(small(both), "merchant_id").select("listing_id", "domain", "display_name", "pages", "errors")
+
+
+def s16_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rates of the days of scraping and of the days two years before, for which there are none."""
+    from ..operators import units
+
+    days = _table(spark, d, "scraped_items").select(F.explode(F.array(F.to_date("scraped_timestamp"), F.date_sub(F.to_date("scraped_timestamp"), 730))).alias("day"))
+    out = units.rates_or_default(days, units.rates_as_of(_table(spark, d, "fx_rates")), {"USD": 305.0, "AED": 83.1})
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "currency", "rate", "stale")
 
 
 def a3_status_tally(spark: SparkSession, d: str) -> DataFrame:
@@ -294,6 +326,13 @@ SQL = {
  LEFT JOIN (SELECT product_id, string_agg(CAST(update_id AS VARCHAR), ',' ORDER BY n) AS ids FROM (SELECT l.product_id, u.update_id, row_number() OVER (PARTITION BY l.product_id ORDER BY u.updated_at DESC, u.received_at DESC, u.update_id DESC) AS n
    FROM (SELECT DISTINCT listing_id, update_id, updated_at, received_at FROM listing_updates WHERE updated_at IS NOT NULL) u JOIN listings l ON l.id = u.listing_id) WHERE n <= 5 GROUP BY product_id) g ON g.product_id = p.id""",
     "e7_crawl_stats": f"SELECT {_COUNTS}, count(*) FILTER (found_at >= TIMESTAMP '2026-06-01') AS since_june FROM {_QUEUE}",
+    "e7_domain_stats": f"SELECT domain, {_COUNTS}, count(*) FILTER (found_at >= TIMESTAMP '2026-06-01') AS since_june, arg_max(error_msg, (found_at, id)) FILTER (error_msg IS NOT NULL) AS last_error FROM {_QUEUE} WHERE domain <> '' GROUP BY domain",
+    "e10_complete_search": "SELECT id, pipeline_status FROM (SELECT * FROM canonical_products WHERE clean_title ILIKE '%plus%' OR brand ILIKE '%plus%' ORDER BY first_seen_at DESC, id DESC LIMIT 20) WHERE pipeline_status = 'complete' ORDER BY first_seen_at DESC, id DESC LIMIT 5",
+    "j4_listing_merchants": """SELECT l.id AS listing_id, m.domain, m.display_name, p.pages, p.errors FROM listings l JOIN merchants m ON m.id = l.merchant_id
+ LEFT JOIN (SELECT merchant_id, count(*) AS pages, count(*) FILTER (http_status >= 400) AS errors FROM page_inspections GROUP BY merchant_id) p ON p.merchant_id = m.id""",
+    "s16_rates": """SELECT strftime(day, '%Y-%m-%d') AS day, currency, coalesce(rate, CASE currency WHEN 'USD' THEN 305.0 ELSE 83.1 END) AS rate, rate IS NULL AS stale FROM (SELECT day, currency,
+  CAST((SELECT arg_max(lkr_per_unit, rate_date) FROM fx_rates f WHERE f.currency = c.currency AND f.rate_date <= x.day) AS DOUBLE) AS rate
+  FROM (SELECT DISTINCT unnest([CAST(scraped_timestamp AS DATE), CAST(scraped_timestamp AS DATE) - 730]) AS day FROM scraped_items) x, (SELECT unnest(['USD', 'AED']) AS currency) c WHERE day IS NOT NULL)""",
     "e7_last_error": f"SELECT id, domain, error_msg FROM {_QUEUE} WHERE error_msg IS NOT NULL ORDER BY found_at DESC NULLS LAST, id DESC LIMIT 1",
     "e8_domain_rollup": f"SELECT row_number() OVER (ORDER BY m DESC NULLS LAST, domain ASC NULLS FIRST) AS place, domain, total, pending, completed, failed, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_discovered FROM (SELECT domain, {_COUNTS}, max(found_at) AS m FROM {_QUEUE} GROUP BY domain)",
     "e9_domain_profiles": f"SELECT q.id, regexp_replace(q.domain, '^www\\.', '') AS site, m.id AS profile_id, m.city FROM {_QUEUE} q LEFT JOIN merchants m ON m.domain = regexp_replace(q.domain, '^www\\.', '')",

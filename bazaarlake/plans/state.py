@@ -91,7 +91,7 @@ def q_status_fold(spark: SparkSession, d: str) -> DataFrame:
 def w5_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of at least three failures in a row of one user."""
     events = _table(spark, d, "events")
-    return folds.runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").where("length >= 3").select("user_id", "length", F.date_format("begins", "yyyy-MM-dd HH:mm:ss").alias("begins"))
+    return folds.runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.date_format("ts", "yyyyMM")).where("length >= 3").select("user_id", "length", F.date_format("begins", "yyyy-MM-dd HH:mm:ss").alias("begins"))
 
 
 def w4_price_changes(spark: SparkSession, d: str) -> DataFrame:

@@ -380,3 +380,25 @@ def test_jobs_with_retries(spark):
     got = {r.k: (r.status, r.attempts, r.claimed_at, r.completed_at) for r in folds.job_states(log, "k", "s", ["t"], "t").collect()}
     assert got == {"a": ("pending", 1, None, None), "b": ("claimed", 1, 1, None), "c": ("pending", 0, None, None), "d": ("done", 1, 2, 3)}
     assert folds.job_states(log.limit(0), "k", "s", ["t"], "t").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_runs_across_periods(spark, size):
+    import random
+
+    rng = random.Random(size)
+    rows = [(k, t, rng.random() < 0.75) for k in ("a", "b", None) for t in range(60)] + [("c", t, True) for t in range(10)] + [("d", 1, None)]
+    df = spark.createDataFrame(rows, "k string, t int, hit boolean")
+    want = set()
+    for k in {r[0] for r in rows}:
+        mine, begun = [r for r in rows if r[0] == k], None
+        for r in [*mine, (k, None, False)]:
+            if r[2] and begun is None:
+                begun = r[1]
+            if not r[2] and begun is not None:
+                want.add((k, last - begun + 1, begun, last))
+                begun = None
+            last = r[1]
+    for period in (None, (F.col("t") / size).cast("int")):
+        got = folds.runs(df, "k", ["t"], F.col("hit"), period).collect()
+        assert {(r.k, r.length, r.begins, r.ends) for r in got} == want and len(got) == len(want)
