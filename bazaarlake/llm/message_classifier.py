@@ -97,14 +97,12 @@ class Classifier:
             if len(self._kept) >= self.most:
                 self._kept.clear()
             places = self.features.of_unit(unit)
-            found = self._kept[unit] = self.weights[places].sum(axis=0) / max(1, len(places)) ** 0.5 if places else np.zeros(len(KINDS), self.weights.dtype)
+            found = self._kept[unit] = (self.weights[places].sum(axis=0) / len(places) ** 0.5 if places else np.zeros(len(KINDS))).astype(np.float64)
         return found
 
     def scores(self, message: str) -> np.ndarray:
         """The logarithm of each kind's probability."""
-        out = self.bias.astype(np.float64)
-        for unit in self.features.units(message):
-            out = out + self.vector(unit)
+        out = np.add.reduce([self.bias, *map(self.vector, self.features.units(message))])
         return out - np.logaddexp.reduce(out)
 
     def can_tell(self, message: str) -> bool:

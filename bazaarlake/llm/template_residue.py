@@ -251,8 +251,8 @@ def _without_shop(message: Column, host: Column) -> Column:
         name = F.regexp_replace(_letters(tail), "pvtltd$", "")
         out = F.when((F.length(name) >= 4) & host.startswith(name), F.substring(message, F.lit(1), F.greatest(F.lit(0), F.length(F.rtrim(message)) - F.length(tail)))).otherwise(out)
     # Most messages end with no word of the host's name.
-    last = _letters(F.regexp_extract(message, r"([\p{L}\p{N}().]+)[\s.]*$", 1))
-    return F.when(F.coalesce(host.contains(F.regexp_replace(last, "^pvtltd$|^ltd$", "")), F.lit(False)), out).otherwise(message)
+    last = _letters(F.substring_index(F.rtrim(F.translate(message, ".\t\u00a0", " ")), " ", -1))
+    return F.when(F.coalesce(host.contains(last) | last.isin("pvtltd", "ltd"), F.lit(False)), out).otherwise(message)
 
 
 def _masked(message: Column) -> Column:
