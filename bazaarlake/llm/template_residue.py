@@ -257,14 +257,16 @@ def _without_shop(message: Column, host: Column) -> Column:
 
 def _masked(message: Column) -> Column:
     """A message in lower case, without tags and entities, # for numbers and hexadecimal ids, one blank between words."""
-    bare = F.regexp_replace(message, r"<[^<>]{1,200}>|&#?\w{2,8};", " ")
-    ids = F.regexp_replace(F.lower(bare), r"(?<![\p{L}\p{N}])(?=[0-9a-f]*[0-9])[0-9a-f]{3,}(?![\p{L}\p{N}])|[0-9]+", "#")
-    return F.trim(F.regexp_replace(ids, r"(?U)\s+", " "))
+    bare = F.when(message.contains("<") | message.contains("&"), F.regexp_replace(message, r"<[^<>]{1,200}>|&#?\w{2,8};", " ")).otherwise(message)
+    hexed = r"[0-9][0-9a-f]{2,}|[a-f](?:[a-f]+[0-9]|[0-9][0-9a-f])[0-9a-f]*"
+    ids = F.regexp_replace(F.lower(bare), rf"(?<![\p{{L}}\p{{N}}])(?:{hexed})(?![\p{{L}}\p{{N}}])|[0-9]+", "#")
+    return F.trim(F.regexp_replace(ids, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def messages_of(fields: DataFrame) -> DataFrame:
     """(source_table, record_id, field, of, message, host, flagged): each message of a field, masked; ``of`` is their number."""
-    cut = F.transform(F.split("text", r"(?<=[.!?])\s+|[\r\n]+"), lambda m: _masked(_without_shop(m, F.col("host"))))
+    # In two steps, so that each is computed once.
+    cut = F.transform(F.transform(F.split("text", r"(?<=[.!?])\s+|[\r\n]+"), lambda m: _without_shop(m, F.col("host"))), _masked)
     told = fields.select("source_table", "record_id", "field", "host", "flagged", F.filter(cut, lambda m: m.rlike(r"\p{L}")).alias("said"))
     return told.select("source_table", "record_id", "field", "host", "flagged", F.size("said").alias("of"), F.explode("said").alias("message"))
 
