@@ -75,9 +75,10 @@ def x3_microdata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x4_remembered(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without markup by their site's remembered pattern."""
-    mine = _pages(spark, d).where("way = 'text'")
-    return _facts(mine, pages.remembered(F.col("html"), F.lit(r"re:Rs\. ([\d.]+)"), F.lit(None).cast("string"))).drop("in_stock")
+    """Every page by its site's remembered way: the markup it has, or a pattern where it has none."""
+    mine = _pages(spark, d)
+    way = F.when(F.col("way") == "text", F.lit(r"re:Rs\. ([\d.]+)")).when(F.col("way") == "opengraph", "og").otherwise(F.col("way"))
+    return _facts(mine, pages.remembered(F.col("html"), way, F.lit(None).cast("string"))).drop("in_stock")
 
 
 def x6_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -92,11 +93,7 @@ def _votes(mine: DataFrame) -> DataFrame:
 
 
 def x13_stock_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Votes on pages without markup; x13_stock_votes_all has those of all pages."""
-    return _votes(_pages(spark, d).where("way = 'text'"))
-
-
-def x13_stock_votes_all(spark: SparkSession, d: str) -> DataFrame:
+    """The votes of all pages' signals, whatever markup they have."""
     return _votes(_pages(spark, d))
 
 
@@ -107,12 +104,7 @@ def _polls(mine: DataFrame) -> DataFrame:
 
 
 def x17_polled(spark: SparkSession, d: str) -> DataFrame:
-    """What a poll of pages without markup brings, and whether it is news against the price and the stock before."""
-    return _polls(_pages(spark, d).where("way = 'text'"))
-
-
-def x17_polled_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for all pages; stock that a page does not tell is as before."""
+    """What a poll of every page brings, and whether it is news against the price and the stock before; stock that a page does not tell is as before."""
     return _polls(_pages(spark, d))
 
 
@@ -222,15 +214,15 @@ def s11_robots(spark: SparkSession, d: str) -> DataFrame:
 _FILE = 10_000
 
 
-def _sitemaps(spark: SparkSession, d: str, indexed: str = "id % 2 = 0") -> DataFrame:
-    """The locations in sitemap files of each merchant's pages, bounded in size, and in the index of each merchant that is indexed."""
+def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    """The locations in sitemap files of each merchant's pages, bounded in size, and in each merchant's index of its files."""
     sites = _table(spark, d, "merchants").select("id", "domain")
     pages_ = _table(spark, d, "page_inspections").select("url", "merchant_id", F.floor(F.col("inspection_id") / _FILE).alias("file"))
     # A group is one file's addresses.
     one = pages_.join(small(sites), F.col("merchant_id") == F.col("id")).groupBy("domain", "file").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<loc> "), "url", F.lit("</loc>")))), "").alias("l"))
     name = F.concat(F.lit("https://"), "domain", F.lit("/pages"), F.coalesce("file", F.lit(0)).cast("string"), F.lit(".xml"))
     leaf = one.select(name.alias("url"), F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("body"))
-    files = sites.where(indexed).select("domain").join(one.select("domain", "file"), "domain", "left").select("domain", name.alias("loc"))  # a merchant without pages names a file that isn't there
+    files = sites.select("domain").join(one.select("domain", "file"), "domain", "left").select("domain", name.alias("loc"))  # a merchant without pages names a file that isn't there
     index = files.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "loc", F.lit("</loc></sitemap>")))), "").alias("l"))
     index = index.select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<SitemapIndex>"), "l", F.lit("<loc></loc></SitemapIndex>")).alias("body"))
     return web.sitemap_locations(leaf.unionByName(index))
@@ -240,11 +232,6 @@ def s12_sitemap_locs(spark: SparkSession, d: str) -> DataFrame:
     return _sitemaps(spark, d).groupBy("is_index").agg(F.count(F.lit(1)).alias("n"))
 
 
-def s12_sitemap_locs_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same where every merchant has an index."""
-    return _sitemaps(spark, d, "true").groupBy("is_index").agg(F.count(F.lit(1)).alias("n"))
-
-
 def s13_sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
     starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
     return graph.sitemap_leaves(_sitemaps(spark, d), starts)
@@ -253,13 +240,7 @@ def s13_sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
 def s13_sitemap_products(spark: SparkSession, d: str) -> DataFrame:
     """The product pages of every merchant's own site that its sitemaps lead to."""
     starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
-    return graph.sitemap_products(_sitemaps(spark, d, "true"), starts, max_sitemaps=1_000_000).select("site", "url")
-
-
-def s13_sitemap_walk_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same where every merchant has an index."""
-    starts = _table(spark, d, "merchants").select(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")).alias("url"))
-    return graph.sitemap_leaves(_sitemaps(spark, d, "true"), starts)
+    return graph.sitemap_products(_sitemaps(spark, d), starts, max_sitemaps=1_000_000).select("site", "url")
 
 
 #: Listings of a merchant that are at most so far from each other are linked.
@@ -279,11 +260,6 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q7_reached(spark: SparkSession, d: str) -> DataFrame:
-    seeds = _table(spark, d, "listings").where("id <= 5").select(F.col("product_id").alias("node"))
-    return graph.reached(_edges(spark, d), seeds, 3).select("node", F.col("depth").cast("bigint").alias("depth"))
-
-
-def q7_reached_all(spark: SparkSession, d: str) -> DataFrame:
     """What is reached in three steps from the first listing of each merchant."""
     seeds = _table(spark, d, "listings").groupBy("merchant_id").agg(F.min_by("product_id", "id").alias("node")).select("node")
     return graph.reached(_edges(spark, d), seeds, 3).select("node", F.col("depth").cast("bigint").alias("depth"))
@@ -462,15 +438,12 @@ SQL = {
     "x7_plans": _PLANS,
     "x20_normalised": _normalised_sql(),
     **{f"x{k}_{way}": _facts_sql(way) for k, way in ((1, "jsonld"), (2, "opengraph"), (3, "microdata"))},
-    "x4_remembered": f"SELECT item_id AS id, plain AS title, price, 'cached' AS tier FROM {_ITEMS} WHERE way = 'text'",
+    "x4_remembered": f"SELECT item_id AS id, CASE way WHEN 'jsonld' THEN trim(regexp_replace(raw_title, '[\\s\\x{{a0}}]+', ' ', 'g')) ELSE plain END AS title, price, 'cached' AS tier FROM {_ITEMS}",
     "x6_cascade": f"SELECT CASE way WHEN 'text' THEN 'cached' ELSE way END AS tier, count(*) AS n, CAST(sum(CAST(price_lkr AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS usable FROM {_ITEMS} GROUP BY 1",
-    "x13_stock_votes": f"SELECT item_id AS id, CASE WHEN in_stock THEN (regexp_matches(lower(raw_title), '{_quoted(pages.SOLD_OUT)}') IS NOT TRUE) OR NULL ELSE false END AS in_stock, CAST(CASE WHEN in_stock AND regexp_matches(lower(plain), '{_quoted(pages.SOLD_OUT)}') THEN 0 ELSE 2 END AS BIGINT) AS confidence, NOT (coalesce(in_stock, false) AND regexp_matches(lower(plain), '{_quoted(pages.SOLD_OUT)}')) AS agreed FROM {_ITEMS} WHERE way = 'text'",
     "x15_links": f"""SELECT link, count(*) AS n FROM (
  SELECT unnest([regexp_extract(product_url, '^(https?://[^/?#]*)', 1) || '/product/', regexp_replace(regexp_extract(regexp_replace(product_url, '[?#].*$', ''), '^(.*/)', 1), '([^/:]/)[^/]+/$', '\\1') || 'shop/x', 'https://other.example/p/', 'https://cdn.example/i.png',
    regexp_extract(regexp_replace(product_url, '[?#].*$', ''), '^(.*/)', 1) || 'about?ref=home&amp=']) AS link FROM {_ITEMS}) GROUP BY link""",
     "x16_child_links": f"SELECT r.rank, count(DISTINCT product_url) AS n FROM {_ITEMS}, (SELECT unnest([0, 1, 2]) AS rank) r GROUP BY r.rank",
-    "x17_polled": f"""SELECT id, price, stock, stock <> sold OR coalesce(abs(price - was) > 0.01, false) AS news FROM (SELECT item_id AS id, price AS was, coalesce(TRY_CAST(replace(nullif(regexp_extract(lower(plain), '(?:rs[.]?|lkr)\\s*([0-9,]{{3,}}(?:[.][0-9]{{2}})?)', 1), ''), ',', '') AS DOUBLE), CASE WHEN price >= 100 THEN price END) AS price,
- coalesce(in_stock, false) OR regexp_matches(lower(plain), '\\b(in stock|add to cart|buy now|available)\\b') AS stock, coalesce(in_stock, false) AS sold FROM {_ITEMS} WHERE way = 'text')""",
     "f25_conditions": f"""SELECT id, CASE WHEN regexp_matches(t, '\\b(refurbished|renewed|refurb)\\b') THEN 'refurbished' WHEN regexp_matches(t, '\\b(used|pre-owned|preowned|second\\s*hand|2nd\\s*hand)\\b') THEN 'used'
   WHEN regexp_matches(t, '\\b(open\\s*box|open-box|demo\\s*unit|display\\s*unit)\\b') THEN 'open_box' ELSE 'new' END AS condition,
  CASE {" ".join(f"WHEN regexp_matches(t, '{_B}{m.lower().replace(' ', _S)}{_B}') THEN '{m.lower()}'" for m in titles.SUB_MODELS)} ELSE '' END AS sub_model,
@@ -511,12 +484,12 @@ SELECT item_id, s || '://' || h || CASE WHEN port = '' OR (s = 'http' AND port =
  t AS (SELECT domain, n, trim(line, ' ' || chr(13)) AS line FROM l), k AS (SELECT domain, n, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS k, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS v FROM t WHERE contains(line, ':') AND NOT starts_with(line, '#'))
 SELECT domain, coalesce(string_agg(v, ' ' ORDER BY n) FILTER (k = 'sitemap' AND v <> ''), '') AS sitemaps, coalesce(string_agg(v, ' ' ORDER BY n) FILTER (k = 'disallow' AND v <> ''), '') AS disallows FROM k GROUP BY domain""",
     "s12_sitemap_locs": f"""SELECT false AS is_index, count(*) AS n FROM (SELECT DISTINCT m.domain, p.url, p.inspection_id // {_FILE} FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id)
- UNION ALL SELECT true, count(*) FROM (SELECT DISTINCT m.domain, p.inspection_id // {_FILE} FROM merchants m LEFT JOIN page_inspections p ON m.id = p.merchant_id WHERE m.id % 2 = 0)""",
+ UNION ALL SELECT true, count(*) FROM (SELECT DISTINCT m.domain, p.inspection_id // {_FILE} FROM merchants m LEFT JOIN page_inspections p ON m.id = p.merchant_id)""",
     "s13_sitemap_products": f"""SELECT DISTINCT regexp_replace(m.domain, '^.*?([^.]+[.](?:(?:com|co|net|org|gov|ac|edu)[.][a-z][a-z]|[^.]+))$', '\\1') AS site, {_CANON.format(u='p.url')} AS url FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id
  WHERE regexp_matches({_CANON.format(u='p.url')}, '{U.PRODUCT_PAGE}') AND NOT regexp_matches({_CANON.format(u='p.url')}, '{U.NO_PRODUCT}') AND contains(regexp_extract(p.url, '://([^/?#]*)', 1), m.domain)""",
-    "s13_sitemap_walk": "SELECT DISTINCT p.url AS loc FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id WHERE m.id % 2 = 0",
+    "s13_sitemap_walk": "SELECT DISTINCT p.url AS loc FROM page_inspections p JOIN merchants m ON m.id = p.merchant_id",
     "q7_reached": """WITH RECURSIVE e AS (SELECT a.product_id AS src, b.product_id AS dst FROM listings a JOIN listings b ON a.merchant_id = b.merchant_id AND b.id - a.id BETWEEN 1 AND 40),
- w AS (SELECT product_id AS node, 0 AS depth FROM listings WHERE id <= 5 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
+ w AS (SELECT arg_min(product_id, id) AS node, 0 AS depth FROM listings GROUP BY merchant_id UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "f7_fingerprint": """SELECT id, sha256(trim(lower(coalesce(brand, ''))) || '|' || trim(lower(coalesce(model_family, ''))) || '|' || trim(lower(coalesce(sub_model, ''))) || '|' || coalesce(CAST(ram_gb AS VARCHAR), '') || '|'
  || coalesce(CAST(storage_gb AS VARCHAR), '') || '|' || trim(lower(coalesce(region_code, '')))) AS fp FROM canonical_products""",
@@ -527,5 +500,5 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node""",
     "s18_form_lines": "SELECT merchant_id, count(DISTINCT regexp_replace(url, '^#.*', '')) AS n FROM page_inspections WHERE url IS NOT NULL GROUP BY merchant_id",
 }
 
-_NAMES = [*SQL, "x14_page_signals", "e12_ingested", "m19_rows", "x13_stock_votes_all", "x17_polled_all", "s12_sitemap_locs_all", "s13_sitemap_walk_all", "q7_reached_all"]
+_NAMES = [*SQL, "x13_stock_votes", "x17_polled", "x14_page_signals", "e12_ingested", "m19_rows"]
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -233,8 +233,8 @@ def test_votes_and_polls_of_all_pages(spark, data):
 
     find = lambda p, s: re.search(p, s, re.I | re.A)
     rows = plans._pages(spark, data).collect()
-    votes = {r.id: (r.in_stock, r.confidence, r.agreed) for r in plans.QUERIES["x13_stock_votes_all"](spark, data).collect()}
-    polls = {r.id: (r.price, r.stock, r.news) for r in plans.QUERIES["x17_polled_all"](spark, data).collect()}
+    votes = {r.id: (r.in_stock, r.confidence, r.agreed) for r in plans.QUERIES["x13_stock_votes"](spark, data).collect()}
+    polls = {r.id: (r.price, r.stock, r.news) for r in plans.QUERIES["x17_polled"](spark, data).collect()}
     assert {r.way for r in rows} == set(plans._WAYS) and len(rows) == len(votes) == len(polls)
     cart = r"add[\s_-]?to[\s_-]?cart"
     with_schema = 0
@@ -268,8 +268,8 @@ def test_walks_from_every_merchant(spark, data):
     read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{data}/{name}.parquet").select(*columns).collect()]
     domains = dict(read("merchants", "id", "domain"))
     leaves = {(domains[m], u) for m, u in read("page_inspections", "merchant_id", "url") if m in domains and u}
-    assert {r.loc for r in plans.QUERIES["s13_sitemap_walk_all"](spark, data).collect()} == {u for _, u in leaves}
-    assert dict(map(tuple, plans.QUERIES["s12_sitemap_locs_all"](spark, data).collect())) == {False: len(leaves), True: len(domains)}
+    assert {r.loc for r in plans.QUERIES["s13_sitemap_walk"](spark, data).collect()} == {u for _, u in leaves}
+    assert dict(map(tuple, plans.QUERIES["s12_sitemap_locs"](spark, data).collect())) == {False: len(leaves), True: len(domains)}
 
     mine = {}
     for k, m, p in sorted(read("listings", "id", "merchant_id", "product_id")):
@@ -283,7 +283,7 @@ def test_walks_from_every_merchant(spark, data):
     for step in (1, 2, 3):
         edge = {q for p in edge for q in after.get(p, ())} - set(depth)
         depth |= dict.fromkeys(edge, step)
-    assert dict(map(tuple, plans.QUERIES["q7_reached_all"](spark, data).collect())) == depth
+    assert dict(map(tuple, plans.QUERIES["q7_reached"](spark, data).collect())) == depth
 
 
 def test_pages_without_an_index_are_not_reached(spark):
