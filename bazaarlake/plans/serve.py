@@ -268,7 +268,7 @@ def q2_claim_of_domain(spark: SparkSession, d: str) -> DataFrame:
 def q13_stale_claims(spark: SparkSession, d: str) -> DataFrame:
     """Jobs whose claim is older than a day at a moment and that nothing ended since."""
     jobs = folds.job_states(_jobs(spark, d), "product_id", "status", ["enqueued_at", "id"], "enqueued_at")
-    return folds.stale_claims(jobs, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 86_400).select("product_id", F.date_format("claimed_at", "yyyy-MM-dd HH:mm:ss").alias("claimed_at"))
+    return folds.stale_claims(jobs, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 86_400).select("product_id", F.date_format("claimed_at", "yyyy-MM-dd HH:mm:ss").alias("claimed_at"))
 
 
 def m11_job_states(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +355,7 @@ SELECT brand, count(*) AS offers, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE
     "q2_claim_of_domain": f"""SELECT q.domain, q.id, 'in_progress' AS status, 1 + (SELECT count(*) FROM {_QUEUE} f WHERE f.url = q.url AND f.status = 'failed') AS attempts
  FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY found_at, id) AS n FROM {_QUEUE} WHERE status = 'pending') q WHERE q.n <= 2""",
     "q13_stale_claims": f"""SELECT product_id, strftime(claimed, '%Y-%m-%d %H:%M:%S') AS claimed_at FROM (SELECT product_id, arg_max(status, (enqueued_at, id)) FILTER (status <> 'pending') AS s, max(enqueued_at) FILTER (status = 'claimed') AS claimed FROM {_JOBS} GROUP BY product_id)
- WHERE s = 'claimed' AND claimed < TIMESTAMP '2024-01-19 00:00:00'""",
+ WHERE s = 'claimed' AND claimed < TIMESTAMP '2024-01-30 00:00:00'""",
     "m11_job_states": """WITH e AS (SELECT user_id AS product_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'claimed' WHEN 'signup' THEN 'retried' ELSE 'pending' END AS s FROM events),
  r AS (SELECT product_id, max((ts, event_id)) FILTER (s = 'retried') AS reset FROM e GROUP BY product_id),
  f AS (SELECT e.product_id, arg_max(s, (ts, event_id)) FILTER (s <> 'pending') AS s, count(*) FILTER (s = 'claimed') AS attempts, max(ts) FILTER (s = 'claimed' AND (reset IS NULL OR (ts, event_id) > reset)) AS c,
